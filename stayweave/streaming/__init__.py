@@ -1,0 +1 @@
+"""Empty on purpose: the analysis is batch, by month, day and device group."""
