@@ -45,6 +45,17 @@ def is_finite(*cols) -> Column:
     return ok
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add long expressions as columns that filters and joins above do not copy into the scan.
+
+    The optimizer moves filters, and the NULL checks of join keys, below a projection by writing
+    its expressions out again. It does not move them below a one-row ``inline``.
+    """
+    row = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(row))
+
+
 @dataclass(frozen=True)
 class TransverseMercator:
     """Gauss-Krueger series on an ellipsoid, in metres, better than a millimetre near the meridian."""
@@ -82,10 +93,8 @@ class TransverseMercator:
             61 * n**3 / 240 - 103 * n**4 / 140,
             49561 * n**4 / 161280,
         )
-        # The points are known here: coalesce tells the optimizer so, and it adds no NULL checks.
         df = df.withColumns({
-            "_tm_lat": F.radians(F.coalesce(_col(lat), F.lit(0.0))),
-            "_tm_lon": F.radians(F.coalesce(_col(lon), F.lit(0.0)) - meridian),
+            "_tm_lat": F.radians(_col(lat)), "_tm_lon": F.radians(_col(lon) - meridian),
             "_tm_north": F.lit(0.0) + false_northing,
         }).withColumn("_tm_sin", F.sin("_tm_lat"))
         s2 = F.col("_tm_sin") * F.col("_tm_sin")
@@ -95,14 +104,14 @@ class TransverseMercator:
             "_tm_xi": F.atan(F.tan("_tm_conf") / F.cos("_tm_lon")),
             "_tm_eta": F.atanh(F.cos("_tm_conf") * F.sin("_tm_lon")),
         })
-        xi, eta = F.coalesce("_tm_xi", F.lit(0.0)), F.col("_tm_eta")
+        xi, eta = F.col("_tm_xi"), F.col("_tm_eta")
         north, east = xi, eta
         for k, beta in enumerate(terms, start=1):
             north = north + beta * F.sin(xi * (2 * k)) * F.cosh(eta * (2 * k))
             east = east + beta * F.cos(xi * (2 * k)) * F.sinh(eta * (2 * k))
-        return df.withColumns({
-            x: east * self.radius + self.false_easting, y: north * self.radius + F.col("_tm_north"),
-        }).drop("_tm_lat", "_tm_lon", "_tm_north", "_tm_sin", "_tm_conf", "_tm_xi", "_tm_eta")
+        df = computed_once(df, {
+            x: east * self.radius + self.false_easting, y: north * self.radius + F.col("_tm_north")})
+        return df.drop("_tm_lat", "_tm_lon", "_tm_north", "_tm_sin", "_tm_conf", "_tm_xi", "_tm_eta")
 
     def unproject(self, df: DataFrame, x, y, meridian, lat: str, lon: str, false_northing=0.0) -> DataFrame:
         """Add ``lat`` and ``lon`` in degrees of a point in metres."""
@@ -212,4 +221,5 @@ def hex_boundary(cell, edge: float = C.HEX_EDGE_M) -> Column:
 
 def with_cell(df: DataFrame, lat="latitude", lon="longitude", cell="h3_id") -> DataFrame:
     """Add the hexagon id of a point in degrees; points without a projection are dropped."""
-    return with_national_xy(df, lat, lon, "_hx", "_hy").withColumn(cell, hex_cell("_hx", "_hy")).drop("_hx", "_hy")
+    placed = with_national_xy(df, lat, lon, "_hx", "_hy")
+    return computed_once(placed, {cell: hex_cell("_hx", "_hy")}).drop("_hx", "_hy")

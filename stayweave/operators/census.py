@@ -58,9 +58,9 @@ def with_square_values(pieces: DataFrame, squares: DataFrame, names: dict[str, s
 
 
 def area_weighted(pieces: DataFrame, values: list[str]) -> DataFrame:
-    """Area-weighted mean of each value per building, rounded up."""
+    """Area-weighted mean of each value per building, rounded up (float noise is cut first)."""
     return pieces.groupBy("id").agg(*[
-        F.ceil(F.try_divide(F.sum(F.col(v) * F.col("area")), F.sum("area"))).alias(v) for v in values])
+        F.ceil(F.round(F.try_divide(F.sum(F.col(v) * F.col("area")), F.sum("area")), 9)).alias(v) for v in values])
 
 
 def building_table(birth: DataFrame, income: DataFrame) -> DataFrame:

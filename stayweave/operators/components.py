@@ -54,7 +54,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 _SQUARES = 32
 
 
-def _offsets() -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def square_of(value: str, radius: float):
+    """Number of the square along one axis."""
+    return F.floor(F.col(value) * (4 * math.sqrt(2) / radius)).cast("bigint")
+
+
+def square_offsets() -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     sure, partial = [], []
     for dx in range(0, 7):
         for dy in range(-6, 7):
@@ -79,15 +84,13 @@ def radius_components(points: DataFrame, keys: list[str], radius: float, x: str
                       name: str = "component") -> DataFrame:
     """Label ``points`` so that two points of a key share a label when a chain of steps of at most
     ``radius`` joins them. Labels are strings, equal within and different across components."""
-    side = radius / (4 * math.sqrt(2))
-    placed = points.withColumns({
-        "sx": F.floor(F.col(x) / side).cast("bigint"), "sy": F.floor(F.col(y) / side).cast("bigint")})
+    placed = points.withColumns({"sx": square_of(x, radius), "sy": square_of(y, radius)})
     node = F.concat_ws("|", *keys, "sx", "sy")
     other = F.concat_ws("|", *keys, "tx", "ty")
     distinct = cut_lineage(placed.select(*keys, "sx", "sy", F.col(x).alias("px"), F.col(y).alias("py")).distinct())
     squares = cut_lineage(distinct.select(*keys, "sx", "sy").distinct())
     nodes = squares.select(node.alias("node"))
-    sure, partial = _offsets()
+    sure, partial = square_offsets()
     sure_labels = connected_components(nodes, _pairs(squares, keys, sure).select(node.alias("src"), other.alias("dst")))
     sure_labels = sure_labels.withColumnRenamed("component", "_piece")
     labelled = squares.join(sure_labels, node == F.col("node")).select(*keys, "sx", "sy", "_piece")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stayweave.functions import geo
 from stayweave.functions import time as T
-from stayweave.operators import homes
+from stayweave.operators import demographics, homes
 
 PLACE = (
     "CASE WHEN event_id % 6 IN (0, 1) OR hour(ts) >= 22 OR hour(ts) < 7 THEN 100000 + user_id "
@@ -149,6 +149,19 @@ def device_homes(spark, folder) -> DataFrame:
         f"{longitude('(100000 + user_id)')} AS longitude")
 
 
+def linked_stops(spark, folder) -> DataFrame:
+    """City visits with category and kind lists, taken from a part per place."""
+    visits = demographics.city_visits(stops(spark, folder)).withColumn("p_partkey", F.col("loc") % 200)
+    parts = table(spark, folder, "part").selectExpr(
+        "p_partkey", "split(p_name, ' ') AS primary", "array(p_brand, p_type) AS kind")
+    return visits.join(parts, "p_partkey")
+
+
+def device_groups(spark, folder) -> DataFrame:
+    return table(spark, folder, "events").select("user_id").distinct().selectExpr(
+        "CAST(user_id AS STRING) AS device_aid", "CAST(user_id % 4 + 1 AS INT) AS group")
+
+
 def loss(spark, folder) -> DataFrame:
     """A loss trace per user: step by event time."""
     return table(spark, folder, "events").selectExpr("user_id AS run", "event_id AS step", "value AS loss")
@@ -265,6 +278,10 @@ PARTS: dict[str, str] = {
     "homes": f"""SELECT DISTINCT CAST(user_id AS VARCHAR) AS device_aid, {latitude('(100000 + user_id)')} AS latitude,
         {longitude('(100000 + user_id)')} AS longitude FROM events""",
     "homes_xy": national_sql("homes"),
+    "linked": """SELECT city.*, string_split(p_name, ' ') AS prim, [p_brand, p_type] AS kinds
+        FROM city JOIN part ON p_partkey = loc % 200""",
+    "groups": """SELECT DISTINCT CAST(user_id AS VARCHAR) AS device_aid, CAST(user_id % 4 + 1 AS INT) AS "group"
+        FROM events""",
     "device_zone": """SELECT device_aid, deso, befolkning FROM homes_xy LEFT JOIN zones
         ON x BETWEEN zx AND zx + 10000 AND y BETWEEN zy AND zy + 9000""",
 }
@@ -274,7 +291,7 @@ _NEEDS = {
     "clean": ["pings"], "demographics": ["home_building", "building_data"], "city": ["stops"], "slots": ["city"],
     "cells": ["slots", "demographics"], "diversity": ["cells"], "pois_xy": ["pois"], "transit_xy": ["transit"],
     "building_xy": ["building_points"], "buildings": ["building_xy"], "square_base": ["building_xy"],
-    "squares": ["square_base"], "homes_xy": ["homes"], "device_zone": ["homes_xy", "zones"],
+    "squares": ["square_base"], "homes_xy": ["homes"], "device_zone": ["homes_xy", "zones"], "linked": ["city"],
 }
 
 
