@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stayweave.functions import geo
 from stayweave.operators.filters import first_per_key, quantile_trim
@@ -76,7 +77,7 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return front * (value - 1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_test_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation ``r`` over ``n`` pairs; for summary rows."""
     out = []

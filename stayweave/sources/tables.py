@@ -23,14 +23,14 @@ def read_raw_pings(spark: SparkSession, path: str, columns: list[str] | None = N
                    schema: T.StructType = PING_SCHEMA) -> DataFrame:
     """Tab-separated pings, gzip or plain, with a header; ``path`` may be a glob over months and days.
 
-    The file's header decides the column order. A gzip file is one task to read, so rows are spread
-    out again right after.
+    The file's header decides the column order. A gzip file is read by one task; the shuffle of
+    ``write_pings`` or of the next step spreads its rows.
     """
     names = spark.read.csv(path, sep="\t", header=True, inferSchema=False).columns
     types = {f.name: f.dataType for f in schema}
     ordered = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
     rows = spark.read.csv(path, sep="\t", header=True, schema=ordered)
-    return rows.select(*(columns or [f.name for f in schema if f.name in names])).repartition()
+    return rows.select(*(columns or [f.name for f in schema if f.name in names]))
 
 
 def day_paths(spark: SparkSession, root: str) -> DataFrame:
@@ -100,9 +100,10 @@ def write_jdbc(rows: DataFrame, url: str, table: str, mode: str = "append", prop
 # A WKB polygon with one ring: byte order, type, ring count, point count, then pairs of doubles.
 WKB_POLYGON = 3
 _HEAD_BYTES = 13
+RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def ring_to_wkb(rings: pd.Series) -> pd.Series:
     """``array<struct<x,y>>`` to the WKB of a polygon, big-endian; an open ring is closed."""
     def pack(ring):
@@ -114,7 +115,7 @@ def ring_to_wkb(rings: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else pack(r) for r in rings])
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
+@F.pandas_udf(RING)
 def wkb_to_ring(shapes: pd.Series) -> pd.Series:
     """Outer ring of WKB polygons, either byte order; other shapes give NULL."""
     def outer(data):

@@ -48,7 +48,7 @@ def compare(spark, con, folder: str, name: str, query, sql: str | None) -> tuple
     if sorted(columns) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} != {sorted(columns)}"
     if got == want:
-        return bool(got), f"{len(got)} rows"
+        return True, f"{len(got)} rows"
     a, b = {repr(r) for r in got}, {repr(r) for r in want}
     return False, f"{len(got)} vs {len(want)}; only Spark {sorted(a - b)[:3]}; only SQL {sorted(b - a)[:3]}"
 
