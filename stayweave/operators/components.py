@@ -16,37 +16,35 @@ from stayweave.session import broadcast_if_small, cut_lineage
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(node, component)`` with the smallest node of each component as its name.
+    """``(node, component)``; a component is named by one of its nodes.
 
-    ``nodes`` has ``node``; ``edges`` has ``src, dst``. Each round takes the smallest label among
-    the neighbours and then follows label to label, so long chains shrink fast.
+    ``nodes`` has ``node``; ``edges`` has ``src, dst``. Each round joins every node to the neighbour
+    that comes first in a hashed order, follows those links for up to four steps, and contracts the
+    graph, so that the edges left shrink by a large factor per round.
     """
-    both = cut_lineage(
+    arcs = cut_lineage(
         edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         .filter("src <> dst").distinct())
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("component")).distinct())
-    while True:
-        offers = (
-            both.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("component").alias("offer"))
-        )
-        lowered = (
-            labels.join(offers, F.col("node") == F.col("dst"), "left")
-            .select("node", F.col("component").alias("old"), F.least("component", "offer").alias("component"))
-        )
-        # A label is itself a node: look up the label of each distinct label before touching rows.
-        lowered = cut_lineage(lowered)
-        heads = (
-            lowered.select("component").distinct()
-            .join(lowered.select(F.col("node").alias("component"), F.col("component").alias("head")), "component")
-            .filter("component <> head")
-        )
-        jumped = lowered.join(heads, "component", "left").select(
-            "node", "old", F.coalesce("head", "component").alias("component"))
-        jumped = cut_lineage(jumped)
-        changed = jumped.filter("component <> old").limit(1).count()
-        labels = jumped.select("node", "component")
-        if not changed:
-            return labels
+    rounds = []
+    while arcs.limit(1).count():
+        rank = F.struct(F.xxhash64("dst").alias("h"), F.col("dst").alias("n"))
+        own = F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("n"))
+        links = cut_lineage(arcs.groupBy("src").agg(F.min(rank).alias("_r")).select(
+            F.col("src").alias("node"), F.when(F.col("_r") < own, F.col("_r.n")).otherwise(F.col("src")).alias("head")))
+        for _ in range(2):
+            links = links.join(links.select(F.col("node").alias("head"), F.col("head").alias("_further")), "head").select(
+                "node", F.col("_further").alias("head"))
+        links = cut_lineage(links)
+        rounds.append(links)
+        arcs = cut_lineage(
+            arcs.join(links.select(F.col("node").alias("src"), F.col("head").alias("_a")), "src")
+            .join(links.select(F.col("node").alias("dst"), F.col("head").alias("_b")), "dst")
+            .filter("_a <> _b").select(F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct())
+    labels = nodes.select("node", F.col("node").alias("component")).distinct()
+    for links in rounds:
+        labels = labels.join(links.withColumnRenamed("node", "component"), "component", "left").select(
+            "node", F.coalesce("head", "component").alias("component"))
+    return cut_lineage(labels)
 
 
 # Squares have side radius / (4 * sqrt(2)), so squares (dx, dy) apart lie wholly within the radius

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayweave import constants as C
+from stayweave.functions.geo import hex_boundary
 from stayweave.operators.walks import TYPE_BITS
 from stayweave.session import cut_lineage
 
@@ -105,3 +106,17 @@ def export_embeddings(vectors: DataFrame, nodes: DataFrame, node_type: str, labe
     dim = F.size("vec")
     width = out.select(dim.alias("d")).first()["d"]
     return out.select(*[c for c in out.columns if c != "vec"], *[F.col("vec")[i].alias(f"x{i}") for i in range(width)])
+
+
+def with_zone_and_home(embeddings: DataFrame, zones: DataFrame, homes: DataFrame, prefix: str, length: int = 3) -> DataFrame:
+    """Device embeddings of the zones that start with ``prefix``, with the shortened zone and the home point."""
+    zoned = embeddings.join(zones.select("device_aid", "deso"), "device_aid", "left").filter(
+        F.col("deso").startswith(prefix))
+    return zoned.withColumn("deso_r", F.substring("deso", 1, length)).join(
+        homes.select("device_aid", "latitude", "longitude"), "device_aid", "left")
+
+
+def with_cell_shapes(clusters: DataFrame, cells: DataFrame) -> DataFrame:
+    """Every row of the cluster table with the outline of its cell, where ``cells`` has one."""
+    shapes = cells.select("h3_id").distinct().withColumn("outline", hex_boundary("h3_id"))
+    return shapes.join(clusters, "h3_id", "right")

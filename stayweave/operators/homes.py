@@ -53,21 +53,34 @@ def stay_ticks(stays: DataFrame, minutes: int = C.TICK_MINUTES) -> DataFrame:
         "time", T.local_time("tick"))
 
 
-def _is_night(when):
-    second = F.hour(when) * 3600 + F.minute(when) * 60 + F.second(when)
+def _is_night(second):
     return (second >= C.NIGHT_START_HOUR * 3600) | (second <= C.NIGHT_END_HOUR * 3600)
 
 
+def _night_ticks(tz: str = C.LOCAL_TZ):
+    """Night ticks of a stay. The zone offset is looked up at both ends; only a stay across a clock
+    change looks it up tick by tick."""
+    def offset(epoch):
+        return F.unix_timestamp(T.local_time(epoch, tz)) - epoch
+
+    ticks, first, last = T.tick_epochs("start", "end"), F.col("_first_offset"), F.col("_last_offset")
+    steady = F.size(F.filter(ticks, lambda t: _is_night(F.pmod(t + first, F.lit(86400)))))
+    changing = F.size(F.filter(ticks, lambda t: _is_night(F.pmod(t + offset(t), F.lit(86400)))))
+    return (
+        {"_first_offset": offset(F.col("start")), "_last_offset": offset(F.col("end"))},
+        F.when(first == last, steady).otherwise(changing),
+    )
+
+
 def home_places(stays: DataFrame) -> DataFrame:
     """Home of each device: the place with most night ticks, or most ticks when it has no night.
 
     Ties go to the smallest place. Ticks are counted inside each stay's array, so no row per tick
     is made.
     """
-    ticks = T.tick_epochs("start", "end")
-    counted = stays.select(
-        "device_aid", "loc", F.size(F.filter(ticks, lambda t: _is_night(T.local_time(t)))).alias("_night"),
-        F.size(ticks).alias("_all"))
+    offsets, night = _night_ticks()
+    counted = stays.select("device_aid", "loc", "start", "end").withColumns(offsets).select(
+        "device_aid", "loc", night.alias("_night"), F.size(T.tick_epochs("start", "end")).alias("_all"))
     per_place = counted.groupBy("device_aid", "loc").agg(F.sum("_night").alias("_night"), F.sum("_all").alias("_all"))
     return per_place.groupBy("device_aid").agg(
         F.max_by("loc", F.struct(F.col("_night"), -F.col("loc"))).alias("_by_night"),

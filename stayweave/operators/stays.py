@@ -217,13 +217,26 @@ def active_devices(stats: DataFrame) -> DataFrame:
 
 
 def gap_sweep(pings: DataFrame, hours: range = range(1, 13), radius_m: float = C.STAY_RADIUS_M) -> DataFrame:
-    """Stay length and sampling rate summaries for each maximum gap, from one pass over the steps."""
-    steps = _with_steps(pings).withColumn("max_gap", F.explode(F.array(*[F.lit(h) for h in hours])))
-    cut = F.col("gap_s").isNull() | (F.col("gap_s") > F.col("max_gap") * 3600) | (F.col("step_m") > radius_m)
-    runs = with_running_sum(steps, [DEVICE, "max_gap"], TS, TIES, F.when(cut, 1).otherwise(0), "run")
-    stays = _long_enough(runs.groupBy(DEVICE, "max_gap", "run").agg(
-        F.min(TS).alias("start"), F.max(TS).alias("end"), F.count("*").alias("size")))
-    return stay_summary(stays)
+    """Stay length and sampling rate summaries for each maximum gap.
+
+    Pings are first joined into runs under the shortest gap. The runs of a longer gap are unions of
+    those, so only run rows, not pings, are repeated per gap.
+    """
+    shortest = min(hours) * 3600
+    long_step = F.coalesce(F.col("step_m") > radius_m, F.lit(True))
+    cut = F.col("gap_s").isNull() | (F.col("gap_s") > shortest) | long_step
+    runs = with_running_sum(_with_steps(pings), [DEVICE], TS, TIES, F.when(cut, 1).otherwise(0), "run")
+    # A run has one row with a cut, its first.
+    runs = runs.groupBy(DEVICE, "run").agg(
+        F.min(TS).alias("start"), F.max(TS).alias("end"), F.count("*").alias("size"),
+        F.max(F.when(cut, F.col("gap_s"))).alias("gap_s"), F.max(F.when(cut, long_step)).alias("moved"))
+    runs = runs.withColumn("max_gap", F.explode(F.array(*[F.lit(h) for h in hours])))
+    apart = F.col("gap_s").isNull() | (F.col("gap_s") > F.col("max_gap") * 3600) | F.col("moved")
+    joined = with_running_sum(
+        runs, [DEVICE, "max_gap"], "start", ["run"], F.when(apart, 1).otherwise(0), "stay", slice_seconds=86400)
+    stays = joined.groupBy(DEVICE, "max_gap", "stay").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("size").alias("size"))
+    return stay_summary(_long_enough(stays))
 
 
 def stay_summary(stays: DataFrame, by: str = "max_gap") -> DataFrame:

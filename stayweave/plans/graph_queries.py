@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from stayweave.operators import cluster, community, describe, diagnose, embed, graph, walks
+from stayweave.operators import cluster, community, describe, diagnose, embed, graph, spatial, walks
 from stayweave.operators import demographics as D
 from stayweave.plans import fixtures as X
 from stayweave.plans.base_queries import diversity, rounded
@@ -376,3 +376,25 @@ def label_prediction(spark, folder):
 def ridge_cv(spark, folder):
     rows = X.table(spark, folder, "embeddings").withColumn("features", F.col("embedding").cast("array<double>"))
     return diagnose.ridge_cv(rows, "features", "label", "vec_id")
+
+
+@query("embedding_zones", X.with_parts(
+    """SELECT vec_id, device_aid, substr(deso, 1, 3) AS deso_r, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude
+       FROM (SELECT vec_id, CAST(vec_id AS VARCHAR) AS device_aid FROM embeddings) JOIN device_zone USING (device_aid)
+       LEFT JOIN homes USING (device_aid) WHERE deso LIKE '01%'""", "device_zone", "homes"))
+def embedding_zones(spark, folder):
+    homes = X.device_homes(spark, folder)
+    zones = spatial.within_zones(homes, X.zones(spark, folder), ["deso", "befolkning"])
+    vectors = X.table(spark, folder, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("device_aid"))
+    out = embed.with_zone_and_home(vectors, zones, homes, "01")
+    return rounded(out.select("vec_id", "device_aid", "deso_r", "latitude", "longitude"), ["latitude", "longitude"])
+
+
+@query("cluster_shapes", X.with_parts(
+    """SELECT h3_id, (h3_id % 5)::BIGINT AS cluster, CASE WHEN h3_id IN (SELECT h3_id FROM city) THEN 6 END AS corners
+       FROM (SELECT DISTINCT h3_id FROM stops)""", "stops", "city"))
+def cluster_shapes(spark, folder):
+    stops = X.stops(spark, folder)
+    clusters = stops.select("h3_id").distinct().withColumn("cluster", F.col("h3_id") % 5)
+    out = embed.with_cell_shapes(clusters, D.city_visits(stops))
+    return out.select("h3_id", "cluster", F.when(F.col("outline").isNotNull(), F.size("outline")).alias("corners"))
