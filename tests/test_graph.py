@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from stayweave.operators import community, describe, diagnose, embed, filters, graph, walks, weights
+from stayweave.operators import cluster, community, describe, diagnose, embed, filters, graph, walks, weights
 
 
 def test_dense_ids_follow_key_order(spark):
@@ -143,3 +143,33 @@ def test_samples_repeat_and_keep_whole_devices(spark):
     one, two = (sorted(map(tuple, filters.sample_devices(df, 0.3).collect())) for _ in range(2))
     assert one == two and len(one) % 10 == 0 and 100 < len(one) < 500
     assert len(filters.sample_rows(df, 17, "i").collect()) == 17
+
+
+def vectors_of(spark, points):
+    rows = [(i, *map(float, p)) for i, p in enumerate(points)]
+    names = [f"f{j}" for j in range(len(points[0]))]
+    df = spark.createDataFrame(rows, "i int, " + ", ".join(f"{n} double" for n in names))
+    return cluster.to_vector(df, names)
+
+
+def test_components_match_the_covariance(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(80, 4)) @ np.diag([5.0, 2.0, 0.5, 0.1]) + 7
+    out, ratios = cluster.principal_components(vectors_of(spark, x), 4, keep=0.95)
+    values, directions = np.linalg.eigh(np.cov(x.T))
+    order = np.argsort(values)[::-1]
+    want = values[order] / values.sum()
+    k = int(np.searchsorted(np.cumsum(want), 0.95) + 1)
+    assert len(ratios) == k and np.allclose(ratios, want[:k])
+    got = np.array([r["pca"] for r in out.orderBy("i").collect()])
+    assert np.allclose(np.abs(got), np.abs((x - x.mean(0)) @ directions[:, order[:k]]))
+
+
+def test_k_means_finds_blobs_and_the_sweep_prefers_them(spark):
+    rnd = np.random.default_rng(5)
+    points = np.concatenate([rnd.normal(c, 0.2, size=(30, 2)) for c in [(0, 0), (10, 0), (0, 10)]])
+    rows = vectors_of(spark, points)
+    labels = [r["group"] for r in cluster.k_means(rows, 3, first_label=1).orderBy("i").collect()]
+    assert set(labels) == {1, 2, 3} and all(len(set(labels[a:a + 30])) == 1 for a in (0, 30, 60))
+    scores = {r["k"]: (r["cost"], r["silhouette"]) for r in cluster.k_sweep(rows, range(2, 5)).collect()}
+    assert max(scores, key=lambda k: scores[k][1]) == 3 and scores[2][0] > scores[3][0]
