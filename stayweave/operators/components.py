@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayweave.session import broadcast_if_small, cut_lineage
+from stayweave.session import broadcast_if_small, cut_lineage, stored
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -22,21 +22,21 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     that comes first in a hashed order, follows those links for up to four steps, and contracts the
     graph, so that the edges left shrink by a large factor per round.
     """
-    arcs = cut_lineage(
+    arcs = stored(
         edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         .filter("src <> dst").distinct())
     rounds = []
     while arcs.limit(1).count():
         rank = F.struct(F.xxhash64("dst").alias("h"), F.col("dst").alias("n"))
         own = F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("n"))
-        links = cut_lineage(arcs.groupBy("src").agg(F.min(rank).alias("_r")).select(
+        links = stored(arcs.groupBy("src").agg(F.min(rank).alias("_r")).select(
             F.col("src").alias("node"), F.when(F.col("_r") < own, F.col("_r.n")).otherwise(F.col("src")).alias("head")))
         for _ in range(2):
             links = links.join(links.select(F.col("node").alias("head"), F.col("head").alias("_further")), "head").select(
                 "node", F.col("_further").alias("head"))
-        links = cut_lineage(links)
+        links = stored(links)
         rounds.append(links)
-        arcs = cut_lineage(
+        arcs = stored(
             arcs.join(links.select(F.col("node").alias("src"), F.col("head").alias("_a")), "src")
             .join(links.select(F.col("node").alias("dst"), F.col("head").alias("_b")), "dst")
             .filter("_a <> _b").select(F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct())
@@ -44,7 +44,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for links in rounds:
         labels = labels.join(links.withColumnRenamed("node", "component"), "component", "left").select(
             "node", F.coalesce("head", "component").alias("component"))
-    return cut_lineage(labels)
+    return stored(labels)
 
 
 # Squares have side radius / (4 * sqrt(2)), so squares (dx, dy) apart lie wholly within the radius

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the checkpoint folder and read it back.
+
+    For loops that join their own results: a checkpoint keeps the size estimate of its plan, and
+    estimates of joins of joins grow by a power every round. A written table has its real size.
+    """
+    spark = df.sparkSession
+    _checkpoint_ready(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` stays under ``max_rows``.
 
