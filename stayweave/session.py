@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,35 +39,44 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _checkpoint_ready(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share, for intermediate tables.
+
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, as in tests, it lies below the warehouse, which
+    all of them share as well.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="stayweave-")
-    context.setCheckpointDir(shared)
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps")
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from the written copy."""
-    _checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from the written copy."""
+    return stored(df)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the checkpoint folder and read it back.
+def stored(df: DataFrame, name: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    For loops that join their own results: a checkpoint keeps the size estimate of its plan, and
-    estimates of joins of joins grow by a power every round. A written table has its real size.
+    Loops that join their own results need it: a checkpoint keeps the size estimate of its plan, and estimates of
+    joins of joins grow by a power every round. A written table has its real size and is read by column.
     """
-    spark = df.sparkSession
-    _checkpoint_ready(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_folder(df.sparkSession)}/{name or 'step'}-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def released(*frames: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` wrote, when nothing reads them any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        context = spark.sparkContext
+        for path in {f.rpartition("/")[0] for f in frame.inputFiles()}:
+            if path.rpartition("/")[2].startswith("step-"):
+                target = context._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -16,8 +16,9 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = local_session(8, partitions=4)
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("steps")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
