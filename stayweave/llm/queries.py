@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayweave.llm import bitplanes, exact, packing, wordpiece
+from stayweave.llm import bitplanes, exact, langid, packing, toxicity, wordpiece
 from stayweave.llm.base import table
 from stayweave.session import configure, shared_folder
 
@@ -47,6 +47,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = langid.predict_and_reject(table(spark, folder, "documents"), ~held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query("op8_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
            doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -55,3 +62,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = exact.groups_of_copies(table(spark, folder, "documents"), keep="largest")
     return found.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", (F.col("_row") == F.col("keep_row")).alias("kept"),
                         F.lower(F.hex("_digest")).alias("text_sha256"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
