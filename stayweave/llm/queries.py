@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayweave.llm import bitplanes, exact, jaccard, langid, packing, toxicity, wordpiece
+from stayweave.llm import bitplanes, exact, jaccard, langid, packing, suffixes, toxicity, wordpiece
 from stayweave.llm.base import table
 from stayweave.session import configure, shared_folder
 
@@ -74,3 +74,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     found = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out)
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, folder, "documents"))

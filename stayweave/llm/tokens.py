@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -19,6 +20,9 @@ CACHE_WORDS = 500_000
 #: Letters from here on take the tokenizer's own normaliser and cutter instead of the short way.
 PLAIN_BELOW = "ɐ"
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are written as little-endian 32-bit integers")
+
 _SPACES = re.compile(r"\s\s|^\s|\s$")
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
 
@@ -59,16 +63,20 @@ class WordEncoder:
             spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if self.drops_space
             else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.letters = byte_letters()
+        self.space = self.letters[32]
         self.tokens = _Words(self._token)
         self.pieces = _Words(self._piece)
-        self.starts = _Words(self._whole)
+        self.starts = _Words(self._cut)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _token(self, token: str) -> bytes:
-        letters = "".join(map(self.letters.__getitem__, token.encode()))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], dtype="<u4").tobytes()
+        if token.isascii() and token[1:].isalnum() and (token[0] == " " or token[0].isalnum()):
+            letters = self.space + token[1:] if token[0] == " " else token
+        else:
+            letters = "".join(map(self.letters.__getitem__, token.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
     def _cut(self, piece: str) -> bytes:
         if not piece:
