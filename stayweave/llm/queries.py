@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayweave.llm import bitplanes, exact, jaccard, langid, packing, suffixes, toxicity, wordpiece
+from stayweave.llm import bitplanes, exact, jaccard, langid, neardup, packing, suffixes, toxicity, wordpiece
 from stayweave.llm.base import table
 from stayweave.session import configure, shared_folder
 
@@ -36,6 +36,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return bitplanes.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op2_embedding_neardup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_copies(table(spark, folder, "embeddings"), least_cosine=0.93)
+
+
 @query("op3_ngram_jaccard")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, folder, "documents"), width=3, num=90, den=100)
