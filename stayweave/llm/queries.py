@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayweave.llm import bitplanes, exact, jaccard, langid, neardup, packing, suffixes, toxicity, wordpiece
+from stayweave.llm import bitplanes, exact, jaccard, langid, neardup, packing, pieces, suffixes, toxicity, wordpiece
 from stayweave.llm.base import table
 from stayweave.session import configure, shared_folder
 
@@ -46,6 +46,17 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, folder, "documents"), width=3, num=90, den=100)
 
 
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text back (a literal word mark as a space)."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, folder, "documents").withColumn("_text", F.coalesce("text", F.lit("")))
+    encoded = pieces.encode_pieces(docs, path, text_col="_text", keep="_text")
+    decoded = pieces.decode_pieces(encoded, path, keep="_text")
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+                          (F.col("text") == F.translate("_text", "▁", " ")).alias("round_trip"))
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
