@@ -112,6 +112,70 @@ class PointTree:
                 yield rows[i], leaf[j]
 
 
+def _search_trees(num: int, den: int):
+    """Over rows sorted by tree: pairs of different labels whose bound reaches the threshold."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def near(rows: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = rows["n"]
+        ok = (rows["label"][i] != rows["label"][j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+        return i[ok], j[ok]
+
+    def pairs(rows: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = rows["node"][i], rows["node"][j]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+
+    def one_leaf(rows: dict, starts: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        """All trees of one size that are a leaf each."""
+        one, two = np.triu_indices(size, 1)
+        i, j = near(rows, (starts[:, None] + one).ravel(), (starts[:, None] + two).ravel())
+        if len(i):
+            _, fresh = np.unique(pairs(rows, i, j), axis=0, return_index=True)
+            i, j = i[fresh], j[fresh]
+        for at in range(0, len(i), 1 << 15):
+            x, y = i[at:at + (1 << 15)], j[at:at + (1 << 15)]
+            most = np.minimum(rows["point"][x], rows["point"][y]).sum(axis=1)
+            ok = most * (num + den) >= num * (rows["n"][x] + rows["n"][y])
+            yield pairs(rows, x[ok], y[ok])
+
+    def large(rows: dict, start: int, stop: int) -> Iterator[np.ndarray]:
+        p, q = rows["p"][start], rows["q"][start]
+        here = np.arange(start, stop)
+        left, right = (here, here) if p == q else (here[rows["own"][start:stop] == p], here[rows["own"][start:stop] == q])
+        if len(left) and len(right):
+            tree = PointTree(rows["point"][right], rows["n"][right])
+            for i, j in tree.search(rows["point"][left], rows["n"][left], num, den):
+                x, y = near(rows, left[i], right[j])
+                keep = (x < y) if p == q else slice(None)
+                yield pairs(rows, x[keep], y[keep])
+
+    def found(rows: dict, starts: np.ndarray, stops: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = stops - starts
+        for size in np.unique(sizes):
+            own = starts[sizes == size]
+            parts = one_leaf(rows, own, int(size)) if size <= 2 * LEAF and (rows["q"][own] == 0).all() else (
+                part for s in own for part in large(rows, int(s), int(s + size)))
+            for part in parts:
+                if len(part):
+                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], schema=schema)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = {n: batch.column(n).to_numpy() for n in ("key", "p", "q", "own", "node", "label", "n")} | {"point": _points(batch.column("point").to_pylist())}
+            rows = new if held is None else {k: np.concatenate([held[k], v]) for k, v in new.items()}
+            change = np.flatnonzero((rows["key"][1:] != rows["key"][:-1]) | (rows["p"][1:] != rows["p"][:-1]) | (rows["q"][1:] != rows["q"][:-1])) + 1
+            edges = np.concatenate([[0], change])
+            yield from found(rows, edges[:-1], edges[1:])
+            held = {k: v[edges[-1]:] for k, v in rows.items()}  # the last tree may go on
+        if held is not None:
+            yield from found(held, np.array([0]), np.array([len(held["key"])]))
+
+    return search
+
+
 def _bound_ok(num: int, den: int):
     @F.pandas_udf("boolean")
     def check(pa_: pd.Series, pb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
@@ -218,8 +282,12 @@ class JaccardJoin:
         num, den = self.num, self.den
         marked = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
         marked = stored(marked)
-        open_ = stored(marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many"))
-                       .filter("lo <> hi").select("key", "many"))
+        h = F.xxhash64("node")
+        open_ = marked.groupBy("key").agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many"), F.sum(h % 1_000_000_007).alias("s1"),
+            F.bit_xor(h).alias("s2")).filter("lo <> hi")
+        # near copies share many shingles: of trees with the same documents, one is searched
+        open_ = stored(open_.groupBy("many", "lo", "hi", "s1", "s2").agg(F.min("key").alias("key")).select("key", "many"))
         # a large tree is built in parts; a point goes to every pair of parts it is in
         parts = F.ceil(F.col("many") / TREE_POINTS).cast("int")
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -227,25 +295,8 @@ class JaccardJoin:
             "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
             "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "label")
         rows = dealt.join(self.points.select("node", "n", "point"), "node")
-
-        def search(pdf: pd.DataFrame) -> pd.DataFrame:
-            points, sizes = _points(pdf["point"]), pdf["n"].to_numpy()
-            node, label, own = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["own"].to_numpy()
-            within = pdf["p"].iloc[0] == pdf["q"].iloc[0]
-            left = np.arange(len(pdf)) if within else np.flatnonzero(own == pdf["p"].iloc[0])
-            right = left if within else np.flatnonzero(own == pdf["q"].iloc[0])
-            found = []
-            if len(left) and len(right) and label.min() != label.max():
-                tree = PointTree(points[right], sizes[right])
-                for i, j in tree.search(points[left], sizes[left], num, den):
-                    a, b = left[i], right[j]
-                    ok = (label[a] != label[b]) & ((node[a] < node[b]) | (not within)) & (
-                        np.minimum(sizes[a], sizes[b]) * den >= np.maximum(sizes[a], sizes[b]) * num)
-                    found.append(np.stack([np.minimum(node[a], node[b])[ok], np.maximum(node[a], node[b])[ok]], 1))
-            pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-            return pd.DataFrame(np.unique(pairs, axis=0), columns=["a", "b"])
-
-        return stored(rows.groupBy("key", "p", "q").applyInPandas(search, "a bigint, b bigint").distinct())
+        trees = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "own", "node", "label", "n", "point")
+        return stored(arrow(trees, _search_trees(self.num, self.den), "a bigint, b bigint").distinct())
 
     def _classes(self, labels: DataFrame) -> DataFrame:
         known = self.nodes.join(labels, "node", "left").select("h1", "h2", "least_id", F.coalesce("component", "node").alias("label"))
