@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,10 +57,21 @@ def principal_components(rows: DataFrame, dims: int, keep: float | None = None,
     return projected.withColumn("pca", centred), ratios[:k]
 
 
+#: Iterations after which a fit gives up, with a warning.
+MAX_ITER = 300
+
+
+def _fitted(kmeans: KMeans, rows: DataFrame):
+    model = kmeans.fit(rows)
+    if model.summary.numIter >= kmeans.getMaxIter():
+        warnings.warn(f"k = {kmeans.getK()}: not converged after {kmeans.getMaxIter()} iterations", stacklevel=3)
+    return model
+
+
 def k_means(rows: DataFrame, k: int, features: str = "features", name: str = "group", seed: int = 42,
-            first_label: int = 0) -> DataFrame:
+            first_label: int = 0, max_iter: int = MAX_ITER) -> DataFrame:
     """Add the cluster number of each row, counted from ``first_label``."""
-    model = KMeans(k=k, seed=seed, initMode="k-means||", featuresCol=features, predictionCol=name, maxIter=50).fit(rows)
+    model = _fitted(KMeans(k=k, seed=seed, initMode="k-means||", featuresCol=features, predictionCol=name, maxIter=max_iter), rows)
     return model.transform(rows).withColumn(name, F.col(name) + first_label)
 
 
@@ -69,7 +81,7 @@ def k_sweep(rows: DataFrame, ks: range, features: str = "features", seed: int =
     judge = ClusteringEvaluator(featuresCol=features, predictionCol="group")
     scores = []
     for k in ks:
-        model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="group", maxIter=50).fit(rows)
+        model = _fitted(KMeans(k=k, seed=seed, featuresCol=features, predictionCol="group", maxIter=MAX_ITER), rows)
         scores.append((k, float(model.summary.trainingCost), float(judge.evaluate(model.transform(rows)))))
     return rows.sparkSession.createDataFrame(scores, "k int, cost double, silhouette double")
 

@@ -32,14 +32,15 @@ def _modularity(arcs: DataFrame, membership: DataFrame, resolution: float) -> Da
         (F.col("_in") / F.col("_m2") - resolution * F.col("_sq") / (F.col("_m2") * F.col("_m2"))).alias("modularity"))
 
 
-def _local_moves(arcs: DataFrame, resolution: float, rounds: int) -> DataFrame:
+def _local_moves(arcs: DataFrame, resolution: float) -> DataFrame:
     """Move nodes to the neighbouring community with the best gain, half of the nodes per round so
     that two neighbours do not swap; stop when a full turn does not raise the modularity."""
     strength = cut_lineage(arcs.groupBy("src").agg(F.sum("w").alias("k")).withColumnRenamed("src", "node"))
     m2 = strength.agg(F.sum("k")).first()[0]
     members = cut_lineage(strength.select("node", "k", F.col("node").alias("community")))
-    best, stale = None, 0
-    for turn in range(rounds):
+    best, stale, turn = None, 0, -1
+    while stale < 2:
+        turn += 1
         totals = members.groupBy("community").agg(F.sum("k").alias("tot"))
         near = arcs.filter("src <> dst").join(
             members.select(F.col("node").alias("dst"), F.col("community").alias("to")), "dst"
@@ -62,20 +63,18 @@ def _local_moves(arcs: DataFrame, resolution: float, rounds: int) -> DataFrame:
             best, members, stale = value, moved, 0
         else:
             stale += 1
-            if stale == 2:
-                break
     return members.select("node", "community")
 
 
-def communities(edges: DataFrame, resolution: float = RESOLUTION, levels: int = 5, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
     """``(node, community)``: local moves, then the same on the graph of communities, until stable.
 
     A community is named by one of its nodes.
     """
     arcs = cut_lineage(_arcs(edges))
     membership = arcs.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct()
-    for _ in range(levels):
-        found = _local_moves(arcs, resolution, rounds)
+    while True:
+        found = _local_moves(arcs, resolution)
         membership = cut_lineage(membership.join(
             found.select(F.col("node").alias("community"), F.col("community").alias("upper")), "community"
         ).select("node", F.col("upper").alias("community")))

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayweave.session import broadcast_if_small, cut_lineage, stored
+from stayweave.session import broadcast_if_small, cut_lineage, released, stored
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -31,20 +31,24 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         own = F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("n"))
         links = stored(arcs.groupBy("src").agg(F.min(rank).alias("_r")).select(
             F.col("src").alias("node"), F.when(F.col("_r") < own, F.col("_r.n")).otherwise(F.col("src")).alias("head")))
+        short = links
         for _ in range(2):
             links = links.join(links.select(F.col("node").alias("head"), F.col("head").alias("_further")), "head").select(
                 "node", F.col("_further").alias("head"))
-        links = stored(links)
+        first, links = short, stored(links)
         rounds.append(links)
-        arcs = stored(
+        before, arcs = arcs, stored(
             arcs.join(links.select(F.col("node").alias("src"), F.col("head").alias("_a")), "src")
             .join(links.select(F.col("node").alias("dst"), F.col("head").alias("_b")), "dst")
             .filter("_a <> _b").select(F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct())
+        released(before, first)
     labels = nodes.select("node", F.col("node").alias("component")).distinct()
     for links in rounds:
         labels = labels.join(links.withColumnRenamed("node", "component"), "component", "left").select(
             "node", F.coalesce("head", "component").alias("component"))
-    return stored(labels)
+    labels = stored(labels)
+    released(arcs, *rounds)
+    return labels
 
 
 # Squares have side radius / (4 * sqrt(2)), so squares (dx, dy) apart lie wholly within the radius
@@ -78,13 +82,18 @@ def _pairs(squares: DataFrame, keys: list[str], offsets) -> DataFrame:
     return out.join(squares.select(*keys, F.col("sx").alias("tx"), F.col("sy").alias("ty")), [*keys, "tx", "ty"])
 
 
+def _square_name(keys: list[str], x: str, y: str):
+    """Text that differs for different keys, NULL ones and ones with any sign in them included."""
+    return F.to_json(F.struct(*keys, F.col(x).alias("sx"), F.col(y).alias("sy")))
+
+
 def radius_components(points: DataFrame, keys: list[str], radius: float, x: str = "x", y: str = "y",
                       name: str = "component") -> DataFrame:
     """Label ``points`` so that two points of a key share a label when a chain of steps of at most
     ``radius`` joins them. Labels are strings, equal within and different across components."""
     placed = points.withColumns({"sx": square_of(x, radius), "sy": square_of(y, radius)})
-    node = F.concat_ws("|", *keys, "sx", "sy")
-    other = F.concat_ws("|", *keys, "tx", "ty")
+    node = _square_name(keys, "sx", "sy")
+    other = _square_name(keys, "tx", "ty")
     distinct = cut_lineage(placed.select(*keys, "sx", "sy", F.col(x).alias("px"), F.col(y).alias("py")).distinct())
     squares = cut_lineage(distinct.select(*keys, "sx", "sy").distinct())
     nodes = squares.select(node.alias("node"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,10 @@ from stayweave.session import cut_lineage
 
 
 def predict_labels(rows: DataFrame, features: str, label: str, key: str, test_share: float = 0.2,
-                   seed: int = 42) -> DataFrame:
+                   seed: int = 42, max_iter: int = 500) -> DataFrame:
     """Held-out rows with ``prediction`` of a class-balanced logistic regression.
 
-    The split is a hash of the key, so it repeats.
+    The split is a hash of the key, so it repeats. A fit that reaches ``max_iter`` before it converges warns.
     """
     held = stable_hash(key, seed) < int(test_share * 2**32)
     rows = cut_lineage(rows.select(key, features, F.col(label).cast("double").alias("label"), held.alias("_test")))
@@ -31,7 +32,9 @@ def predict_labels(rows: DataFrame, features: str, label: str, key: str, test_sh
     # One row per class.
     weighted = train.join(F.broadcast(sizes), "label").withColumn("_w", F.lit(float(n)) / (F.lit(classes) * F.col("_c")))
     model = LogisticRegression(featuresCol=features, labelCol="label", weightCol="_w", regParam=1.0 / n,
-                               standardization=False, maxIter=100).fit(weighted)
+                               standardization=False, maxIter=max_iter).fit(weighted)
+    if model.summary.totalIterations >= max_iter:
+        warnings.warn(f"not converged after {max_iter} iterations", stacklevel=2)
     return model.transform(rows.filter("_test")).select(
         key, F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
 
@@ -75,12 +78,15 @@ def embedding_stats(rows: DataFrame, vector: str) -> DataFrame:
     """One row: mean, std, min, max, mean L2 norm, and the number of dimensions with little variance."""
     long = rows.select(F.posexplode(F.col(vector)).alias("d", "v")).withColumn("v", F.col("v").cast("double"))
     per_dim = long.groupBy("d").agg(
-        F.var_pop("v").alias("var"), F.count("v").alias("n"), F.sum("v").alias("s"),
-        F.sum(F.col("v") * F.col("v")).alias("sq"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    mean = F.sum("s") / F.sum("n")
+        F.var_pop("v").alias("var"), F.count("v").alias("n"), F.avg("v").alias("own"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # variances within the dimensions and of their means: no difference of large squares
+    centre = F.sum(F.col("n") * F.col("own")) / F.sum("n")
     flat = per_dim.agg(
-        mean.alias("mean"), F.sqrt(F.sum("sq") / F.sum("n") - mean * mean).alias("std"), F.min("lo").alias("min"),
+        centre.alias("mean"), F.collect_list(F.struct("n", "own", "var")).alias("_dims"), F.min("lo").alias("min"),
         F.max("hi").alias("max"), F.count_if(F.col("var") < C.LOW_VARIANCE).alias("low_var_dims"))
+    apart = F.aggregate("_dims", F.lit(0.0), lambda s, d: s + d["n"] * (d["var"] + F.pow(d["own"] - F.col("mean"), 2)))
+    total = F.aggregate("_dims", F.lit(0.0), lambda s, d: s + d["n"])
+    flat = flat.select("mean", F.sqrt(apart / total).alias("std"), "min", "max", "low_var_dims")
     squares = F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     norms = rows.agg(F.avg(F.sqrt(squares)).alias("l2")).select("l2").scalar()
     return flat.withColumn("l2_mean", norms)

@@ -18,20 +18,11 @@ def keep_listed(rows: DataFrame, allowed: DataFrame, key: str = "device_aid") ->
     return rows.join(allowed.select(key), key, "left_semi")
 
 
-def drop_listed(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not on the list."""
-    return rows.join(listed.select(key), key, "left_anti")
-
-
 def residential(buildings: DataFrame) -> DataFrame:
     """Residential buildings with the name of their first source."""
     return buildings.filter("subtype = 'residential'").withColumn("source", F.col("sources")[0]["dataset"])
 
 
-def zone_prefix(code, length: int) -> Column:
-    return F.substring(code, 1, length)
-
-
 def poi_categories(pois: DataFrame) -> DataFrame:
     """Flatten ``categories``: primary, alternates (the primary alone when there are none), their
     number and their ``;``-joined text. Places without categories are dropped."""
@@ -54,11 +45,6 @@ def quantile_trim(rows: DataFrame, value: str, low: float = C.TRIM_QUANTILES[0],
     return rows.filter((F.col(value) > F.lit(limits["_low"])) & (F.col(value) < F.lit(limits["_high"]))) if limits else rows
 
 
-def presence_flag(count) -> Column:
-    """1 when something was counted, else 0."""
-    return F.when(F.coalesce(F.col(count), F.lit(0)) > 0, 1).otherwise(0)
-
-
 def stable_hash(key, seed: int = 0) -> Column:
     """Reproducible number in [0, 2^32) of a key, the same on every engine with MD5."""
     text = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))

@@ -150,11 +150,12 @@ def device_homes(spark, folder) -> DataFrame:
 
 
 def linked_stops(spark, folder) -> DataFrame:
-    """City visits with category and kind lists, taken from a part per place."""
-    visits = demographics.city_visits(stops(spark, folder)).withColumn("p_partkey", F.col("loc") % 200)
-    parts = table(spark, folder, "part").selectExpr(
-        "p_partkey", "split(p_name, ' ') AS primary", "array(p_brand, p_type) AS kind")
-    return visits.join(parts, "p_partkey")
+    """City visits with the category and kind lists of all parts at their place; every part is at one place."""
+    visits = demographics.city_visits(stops(spark, folder)).withColumn("place", F.col("loc") % 400)
+    parts = table(spark, folder, "part").groupBy((F.col("p_partkey") % 400).alias("place")).agg(
+        F.flatten(F.collect_list(F.split("p_name", " "))).alias("primary"),
+        F.flatten(F.collect_list(F.array("p_brand", "p_type"))).alias("kind"))
+    return visits.join(parts, "place")
 
 
 def device_groups(spark, folder) -> DataFrame:
@@ -273,13 +274,21 @@ PARTS: dict[str, str] = {
         {_M} % 97 + 20 AS Totalt, ({_M} % 11) * 1000e0 AS MedianInk, {_M} % 50 + 10 AS Sverige,
         {_M} % 6 AS Norden_uto, {_M} % 9 AS EU_utom_No, {_M} % 31 AS Ovriga_var
         FROM square_base, (SELECT unnest([0, 1]) AS twin) WHERE twin = 0 OR (sx + sy) % 4 = 0""",
+    "income_squares": """SELECT Ruta, min(x_min) AS x_min, min(y_min) AS y_min, min(x_min) + 1000e0 AS x_max, min(y_min) + 1000e0 AS y_max,
+        sum(Kvartil1) AS Kvartil1, sum(Kvartil2) AS Kvartil2, sum(Kvartil3) AS Kvartil3, sum(Kvartil4) AS Kvartil4
+        FROM (SELECT *, Kvartil1 + Kvartil2 + Kvartil3 + Kvartil4 AS people FROM squares) GROUP BY Ruta
+        HAVING CASE WHEN count(*) = 1 THEN max(MedianInk) ELSE sum(people * MedianInk) / sum(people) END > 0""",
+    "birth_squares": """SELECT Ruta, min(x_min) AS x_min, min(y_min) AS y_min, min(x_min) + 1000e0 AS x_max, min(y_min) + 1000e0 AS y_max,
+        sum(Sverige) AS Sverige, sum(Norden_uto) AS Norden_uto, sum(EU_utom_No) AS EU_utom_No, sum(Ovriga_var) AS Ovriga_var
+        FROM squares GROUP BY Ruta""",
     "zones": """SELECT '01' || (n_nationkey % 5) || (n_nationkey // 5) AS deso, 100 + n_nationkey * 7 AS befolkning,
         650000e0 + (n_nationkey % 5) * 10000e0 AS zx, 6555000e0 + (n_nationkey // 5) * 9000e0 AS zy FROM nation""",
     "homes": f"""SELECT DISTINCT CAST(user_id AS VARCHAR) AS device_aid, {latitude('(100000 + user_id)')} AS latitude,
         {longitude('(100000 + user_id)')} AS longitude FROM events""",
     "homes_xy": national_sql("homes"),
-    "linked": """SELECT city.*, string_split(p_name, ' ') AS prim, [p_brand, p_type] AS kinds
-        FROM city JOIN part ON p_partkey = loc % 200""",
+    "linked": """SELECT city.*, prim, kinds FROM city JOIN (SELECT p_partkey % 400 AS place,
+        flatten(list(string_split(p_name, ' '))) AS prim, flatten(list([p_brand, p_type])) AS kinds FROM part GROUP BY 1)
+        ON place = loc % 400""",
     "groups": """SELECT DISTINCT CAST(user_id AS VARCHAR) AS device_aid, CAST(user_id % 4 + 1 AS INT) AS "group"
         FROM events""",
     "device_zone": """SELECT device_aid, deso, befolkning FROM homes_xy LEFT JOIN zones
@@ -291,7 +300,7 @@ _NEEDS = {
     "clean": ["pings"], "demographics": ["home_building", "building_data"], "city": ["stops"], "slots": ["city"],
     "cells": ["slots", "demographics"], "diversity": ["cells"], "pois_xy": ["pois"], "transit_xy": ["transit"],
     "building_xy": ["building_points"], "buildings": ["building_xy"], "square_base": ["building_xy"],
-    "squares": ["square_base"], "homes_xy": ["homes"], "device_zone": ["homes_xy", "zones"], "linked": ["city"],
+    "squares": ["square_base"], "income_squares": ["squares"], "birth_squares": ["squares"], "homes_xy": ["homes"], "device_zone": ["homes_xy", "zones"], "linked": ["city"],
 }
 
 

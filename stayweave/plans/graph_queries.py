@@ -232,13 +232,14 @@ def silhouette(spark, folder):
 
 @query("embedding_metrics", X.with_parts(
     """SELECT vec_id, h3_id, n_visitors, round(ice_birth, 6) AS ice_birth FROM embeddings JOIN
-       (SELECT h3_id, sum(n_visitors)::BIGINT AS n_visitors, avg(ice_birth) AS ice_birth, row_number() OVER (ORDER BY h3_id) - 1 AS r
-        FROM diversity GROUP BY h3_id) ON vec_id = r""", "diversity"))
+       (SELECT h3_id, sum(n_visitors)::BIGINT AS n_visitors, avg(ice_birth) AS ice_birth, row_number() OVER (ORDER BY h3_id) - 1 AS r,
+        count(*) OVER () AS n FROM diversity GROUP BY h3_id) ON vec_id % n = r""", "diversity"))
 def embedding_metrics(spark, folder):
     cells = cut_lineage(D.cell_rollup(diversity(spark, folder)).select("h3_id", "n_visitors", "ice_birth"))
-    numbered = cells.join(graph.dense_ids(cells, "h3_id", "vec_id"), "h3_id")
-    vectors = X.table(spark, folder, "embeddings").select("vec_id")
-    return rounded(vectors.join(numbered, "vec_id").select("vec_id", "h3_id", "n_visitors", "ice_birth"), ["ice_birth"])
+    numbered = cells.join(graph.dense_ids(cells, "h3_id", "number"), "h3_id")
+    # every vector stands for a cell; several may share one
+    vectors = X.table(spark, folder, "embeddings").select("vec_id", (F.col("vec_id") % cells.count()).alias("number"))
+    return rounded(vectors.join(numbered, "number").select("vec_id", "h3_id", "n_visitors", "ice_birth"), ["ice_birth"])
 
 
 @query("cluster_profile", X.with_parts(
@@ -272,6 +273,9 @@ def loss_checks(spark, folder):
 @query("health_issues", X.with_parts(
     """SELECT 'loss did not converge' AS issue WHERE EXISTS (SELECT 1 FROM (SELECT arg_min(value, event_id) AS a,
          arg_max(value, event_id) AS b FROM events GROUP BY user_id) WHERE b > a * 0.9)
+       UNION ALL SELECT 'embeddings collapsed' WHERE (WITH s AS (SELECT vec_id, embedding FROM embeddings
+         ORDER BY ('0x' || substr(md5('42:' || vec_id), 1, 8))::BIGINT, vec_id LIMIT 1000)
+         SELECT avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) FROM s a JOIN s b ON a.vec_id < b.vec_id) > 0.95
        UNION ALL SELECT 'few cells' WHERE (SELECT count(DISTINCT h3_id) FROM diversity) < 100""", "diversity"))
 def health_issues(spark, folder):
     cosine = diagnose.cosine_summary(X.table(spark, folder, "embeddings"), "embedding", "vec_id")
@@ -380,12 +384,15 @@ def ridge_cv(spark, folder):
 
 @query("embedding_zones", X.with_parts(
     """SELECT vec_id, device_aid, substr(deso, 1, 3) AS deso_r, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude
-       FROM (SELECT vec_id, CAST(vec_id AS VARCHAR) AS device_aid FROM embeddings) JOIN device_zone USING (device_aid)
+       FROM (SELECT vec_id, device_aid FROM embeddings JOIN (SELECT device_aid, row_number() OVER (ORDER BY device_aid) - 1 AS r,
+         count(*) OVER () AS n FROM homes) ON vec_id % n = r) JOIN device_zone USING (device_aid)
        LEFT JOIN homes USING (device_aid) WHERE deso LIKE '01%'""", "device_zone", "homes"))
 def embedding_zones(spark, folder):
     homes = X.device_homes(spark, folder)
     zones = spatial.within_zones(homes, X.zones(spark, folder), ["deso", "befolkning"])
-    vectors = X.table(spark, folder, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("device_aid"))
+    numbered = graph.dense_ids(homes, "device_aid", "number")
+    vectors = X.table(spark, folder, "embeddings").select("vec_id", (F.col("vec_id") % homes.count()).alias("number"))
+    vectors = vectors.join(numbered, "number").select("vec_id", "device_aid")
     out = embed.with_zone_and_home(vectors, zones, homes, "01")
     return rounded(out.select("vec_id", "device_aid", "deso_r", "latitude", "longitude"), ["latitude", "longitude"])
 

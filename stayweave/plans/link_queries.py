@@ -89,46 +89,50 @@ def transit_cells(spark, folder):
     return graph.transit_cells(D.city_visits(X.stops(spark, folder)).select("h3_id"), X.transit(spark, folder))
 
 
-_BIG = "SELECT * FROM squares WHERE Rutstorl = 1000"
-_PIECES = """SELECT id, Ruta, (least(cx + hw, x_max) - greatest(cx - hw, x_min)) * (least(cy + hh, y_max) - greatest(cy - hh, y_min))
-    AS area FROM buildings, big WHERE cx + hw > x_min AND cx - hw < x_max AND cy + hh > y_min AND cy - hh < y_max"""
+def _pieces_sql(squares: str) -> str:
+    return f"""SELECT id, Ruta, (least(cx + hw, x_max) - greatest(cx - hw, x_min)) * (least(cy + hh, y_max) - greatest(cy - hh, y_min))
+        AS area FROM buildings, {squares} WHERE cx + hw > x_min AND cx - hw < x_max AND cy + hh > y_min AND cy - hh < y_max"""
 
 
-def _pieces(spark, folder):
-    return spatial.overlay_squares(X.buildings(spark, folder), X.squares(spark, folder).filter("Rutstorl = 1000"))
+def _weighted_sql(pieces: str, squares: str, values: list[tuple[str, str]]) -> str:
+    means = ", ".join(f"CAST(ceil(round(sum({c} * area) / sum(area), 9)) AS BIGINT) AS {n}" for c, n in values)
+    return f"SELECT id, {means} FROM {pieces} JOIN {squares} USING (Ruta) WHERE area > 0 GROUP BY id"
 
 
-@query("overlay_area", X.with_parts(
-    "SELECT id, Ruta, round(area, 3) AS area FROM pieces WHERE area > 0", "buildings", "squares", big=_BIG, pieces=_PIECES))
-def overlay_area(spark, folder):
-    return rounded(_pieces(spark, folder), ["area"], 3)
+_INCOME = dict(income_pieces=_pieces_sql("income_squares"), income=_weighted_sql(
+    "income_pieces", "income_squares", [(f"Kvartil{k}", f"Q{k}") for k in (1, 2, 3, 4)]))
+_BIRTH = dict(birth_pieces=_pieces_sql("birth_squares"), birth=_weighted_sql(
+    "birth_pieces", "birth_squares", [("Sverige", "sweden"), ("Norden_uto", "nordic"), ("EU_utom_No", "eu"), ("Ovriga_var", "other")]))
+
 
+def _income_squares(spark, folder):
+    return census.merge_income_squares(X.squares(spark, folder))
 
-_WEIGHTED = "SELECT id, " + ", ".join(
-    f"CAST(ceil(round(sum({c} * area) / sum(area), 9)) AS BIGINT) AS {n}"
-    for c, n in [("Kvartil1", "Q1"), ("Kvartil2", "Q2"), ("Kvartil3", "Q3"), ("Kvartil4", "Q4"), ("Sverige", "sweden"),
-                 ("Norden_uto", "nordic"), ("EU_utom_No", "eu"), ("Ovriga_var", "other")]
-) + " FROM pieces JOIN big USING (Ruta) WHERE area > 0 GROUP BY id"
+
+@query("overlay_area", X.with_parts(
+    "SELECT id, Ruta, round(area, 3) AS area FROM income_pieces WHERE area > 0", "buildings", "income_squares", **_INCOME))
+def overlay_area(spark, folder):
+    return rounded(spatial.overlay_squares(X.buildings(spark, folder), _income_squares(spark, folder)), ["area"], 3)
 
 
-def _weighted(spark, folder, names):
-    big = X.squares(spark, folder).filter("Rutstorl = 1000")
-    values = census.with_square_values(_pieces(spark, folder), big, names)
+def _weighted(spark, folder, squares, names):
+    values = census.with_square_values(spatial.overlay_squares(X.buildings(spark, folder), squares), squares, names)
     return census.area_weighted(values, [v for v in names.values() if v != "grid_size"])
 
 
-@query("area_weighted", X.with_parts(
-    "SELECT id, Q1, Q2, Q3, Q4 FROM weighted", "buildings", "squares", big=_BIG, pieces=_PIECES, weighted=_WEIGHTED))
+@query("area_weighted", X.with_parts("SELECT id, Q1, Q2, Q3, Q4 FROM income", "buildings", "income_squares", **_INCOME))
 def area_weighted(spark, folder):
-    return _weighted(spark, folder, census.INCOME_NAMES)
+    return _weighted(spark, folder, _income_squares(spark, folder), census.INCOME_NAMES)
 
 
 @query("building_table", X.with_parts(
-    "SELECT id AS b_id, sweden, nordic, eu, other, Q1, Q2, Q3, Q4 FROM weighted", "buildings", "squares", big=_BIG,
-    pieces=_PIECES, weighted=_WEIGHTED))
+    "SELECT id AS b_id, sweden, nordic, eu, other, Q1, Q2, Q3, Q4 FROM birth JOIN income USING (id)",
+    "buildings", "income_squares", "birth_squares", **_INCOME, **_BIRTH))
 def building_table(spark, folder):
+    births = census.merge_birth_squares(X.squares(spark, folder))
     return census.building_table(
-        _weighted(spark, folder, census.BIRTH_NAMES), _weighted(spark, folder, census.INCOME_NAMES))
+        _weighted(spark, folder, births, census.BIRTH_NAMES),
+        _weighted(spark, folder, _income_squares(spark, folder), census.INCOME_NAMES))
 
 
 _SUMS = "sum(Kvartil1)::BIGINT AS Kvartil1, sum(Kvartil2)::BIGINT AS Kvartil2, sum(Kvartil3)::BIGINT AS Kvartil3, " \

@@ -23,13 +23,13 @@ def read_raw_pings(spark: SparkSession, path: str, columns: list[str] | None = N
                    schema: T.StructType = PING_SCHEMA) -> DataFrame:
     """Tab-separated pings, gzip or plain, with a header; ``path`` may be a glob over months and days.
 
-    The file's header decides the column order. A gzip file is read by one task; the shuffle of
+    The first file's header decides the column order; a file with another order is an error. A gzip file is read by one task; the shuffle of
     ``write_pings`` or of the next step spreads its rows.
     """
     names = spark.read.csv(path, sep="\t", header=True, inferSchema=False).columns
     types = {f.name: f.dataType for f in schema}
     ordered = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-    rows = spark.read.csv(path, sep="\t", header=True, schema=ordered)
+    rows = spark.read.csv(path, sep="\t", header=True, schema=ordered, enforceSchema=False)
     return rows.select(*(columns or [f.name for f in schema if f.name in names]))
 
 
@@ -56,9 +56,9 @@ def read_tables(spark: SparkSession, *paths: str, columns: list[str] | None = No
     return rows.select(*columns) if columns else rows
 
 
-def write_batches(rows: DataFrame, path: str, batch: str = "batch", mode: str = "overwrite") -> None:
-    """One Parquet folder per batch."""
-    rows.write.mode(mode).partitionBy(batch).parquet(path)
+def write_batches(rows: DataFrame, path: str, batch: str = "batch", mode: str = "overwrite", files: int = 4) -> None:
+    """One Parquet folder per batch, of at most ``files`` files each."""
+    rows.repartition(batch, F.pmod(F.xxhash64(*rows.columns), F.lit(files))).write.mode(mode).partitionBy(batch).parquet(path)
 
 
 def write_table(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -67,7 +67,7 @@ def write_table(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema)
+    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
