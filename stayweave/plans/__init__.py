@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["base_queries", "stay_queries", "link_queries", "graph_queries"]
+MODULES = ["base_queries", "stay_queries", "link_queries", "graph_queries", "chain_queries"]
 
 
 def load_all():
