@@ -36,12 +36,32 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return bitplanes.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-@query("op2_embedding_neardup")
+#: Smallest node reachable over ``links(a, b)``, itself included.
+_REACH = """reach AS (SELECT node, node AS other FROM nodes UNION SELECT node, b FROM reach JOIN links ON other = a),
+    least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)"""
+
+
+@query("op2_embedding_neardup", f"""
+    WITH RECURSIVE nodes AS (SELECT vec_id AS node FROM embeddings),
+    v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+              WHERE list_cosine_similarity(x.e, y.e) >= 0.93), {_REACH}
+    SELECT node AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, node = component_id AS kept
+    FROM least LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = node""")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_copies(table(spark, folder, "embeddings"), least_cosine=0.93)
 
 
-@query("op3_ngram_jaccard")
+@query("op3_ngram_jaccard", rf"""
+    WITH RECURSIVE nodes AS (SELECT doc_id AS node FROM documents),
+    w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS s FROM w),
+    each_ AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+    links AS (SELECT p.doc_id AS a, q.doc_id AS b FROM each_ p JOIN each_ q ON p.x = q.x AND p.doc_id <> q.doc_id
+              GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(p.n) + any_value(q.n) - count(*))), {_REACH}
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least ON node = doc_id""")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, folder, "documents"), width=3, num=90, den=100)
 

@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from conftest import SMALL
+from oracle import compare, duck
 
 from stayweave.llm import jaccard, neardup, queries, suffixes
 
@@ -225,3 +226,9 @@ def brute_across(texts, least):
             for i, p in found:
                 out[i].update(range(p, p + least))
     return out
+
+
+@pytest.mark.parametrize("name", ["op2_embedding_neardup", "op3_ngram_jaccard"])
+def test_queries_match_sql(spark, name):
+    ok, note = compare(spark, duck(SMALL), SMALL, name, queries.QUERIES[name], queries.ORACLES[name])
+    assert ok, note
