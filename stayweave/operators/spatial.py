@@ -1,7 +1,8 @@
 """Spatial joins as bucket equi-joins with an exact test inside the bucket.
 
-Rings are ``array<struct<x,y>>`` in metres, open or closed. Repeated coordinates are looked up
-once and joined back.
+A ring is ``array<struct<x,y>>`` in metres, open or closed. A shape is one ``ring``, or ``rings``: the outer rings of
+all its parts counter-clockwise and their holes clockwise, as ``tables.wkb_to_rings`` gives them. Repeated coordinates
+are looked up once and joined back.
 """
 
 from __future__ import annotations
@@ -15,31 +16,40 @@ from stayweave.functions import geo
 from stayweave.operators.skew import salted_join
 
 
-def _edges(ring: Column) -> Column:
-    """Ring edges as ``array<struct<a,b>>``; the closing edge of an open ring is included."""
+def _edges(ring: Column, many: bool = False) -> Column:
+    """Edges as ``array<struct<a,b>>`` of a ring, or of ``many`` rings; closing edges of open rings are included."""
+    if many:
+        return F.flatten(F.transform(ring, lambda one: _edges(one)))
     turned = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     return F.zip_with(ring, turned, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def ring_bounds(ring: str | Column) -> dict[str, Column]:
-    """Bounding box of a ring."""
+def with_rings(shapes: DataFrame) -> DataFrame:
+    """Shapes with ``rings``; one ``ring`` becomes a list of it."""
+    return shapes if "rings" in shapes.columns else shapes.withColumn("rings", F.array("ring")).drop("ring")
+
+
+def ring_bounds(ring: str | Column, many: bool = False) -> dict[str, Column]:
+    """Bounding box of a ring, or of ``many``."""
     ring = F.col(ring) if isinstance(ring, str) else ring
+    ring = F.flatten(ring) if many else ring
     return {"x_min": F.array_min(ring["x"]), "x_max": F.array_max(ring["x"]),
             "y_min": F.array_min(ring["y"]), "y_max": F.array_max(ring["y"])}
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Ray casting: odd number of edges to the right of the point. Borders are not decided here."""
+def in_ring(x: Column, y: Column, ring: Column, many: bool = False) -> Column:
+    """Ray casting: odd number of edges to the right of the point, so holes are outside and parts inside. Borders are
+    not decided here."""
     def crosses(e):
         a, b = e["a"], e["b"]
         straddles = (a["y"] > y) != (b["y"] > y)
         at = a["x"] + F.try_divide((y - a["y"]) * (b["x"] - a["x"]), b["y"] - a["y"])
         return straddles & (x < at)
-    return F.size(F.filter(_edges(ring), crosses)) % 2 == 1
+    return F.size(F.filter(_edges(ring, many), crosses)) % 2 == 1
 
 
-def ring_distance(x: Column, y: Column, ring: Column) -> Column:
-    """Distance in metres from a point to the ring's line."""
+def ring_distance(x: Column, y: Column, ring: Column, many: bool = False) -> Column:
+    """Distance in metres from a point to the nearest line of the ring or rings."""
     def to_edge(e):
         a, b = e["a"], e["b"]
         ex, ey = b["x"] - a["x"], b["y"] - a["y"]
@@ -47,12 +57,12 @@ def ring_distance(x: Column, y: Column, ring: Column) -> Column:
         along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
         dx, dy = x - a["x"] - along * ex, y - a["y"] - along * ey
         return F.sqrt(dx * dx + dy * dy)
-    return F.array_min(F.transform(_edges(ring), to_edge))
+    return F.array_min(F.transform(_edges(ring, many), to_edge))
 
 
-def polygon_distance(x: Column, y: Column, ring: Column) -> Column:
+def polygon_distance(x: Column, y: Column, ring: Column, many: bool = False) -> Column:
     """Zero inside the polygon, else the distance to its border."""
-    return F.when(in_ring(x, y, ring), F.lit(0.0)).otherwise(ring_distance(x, y, ring))
+    return F.when(in_ring(x, y, ring, many), F.lit(0.0)).otherwise(ring_distance(x, y, ring, many))
 
 
 def _index(value: Column, size: float) -> Column:
@@ -120,17 +130,17 @@ def nearest_building(homes: DataFrame, buildings: DataFrame, reach: float = C.BU
     """Add the nearest building within ``reach`` metres of each home: ``b_id, b_class, b_source``
     and the distance; NULL where there is none. Ties go to the smallest id.
 
-    ``buildings`` has id, class, source and ``ring``.
+    ``buildings`` has id, class, source and a shape.
     """
     spots = _point_bucket(geo.with_national_xy(homes.select("latitude", "longitude").distinct()), bucket)
-    boxes = _box_buckets(buildings.withColumns(ring_bounds("ring")), bucket, reach).select(
-        "_bx", "_by", "id", "class", "source", "ring", "x_min", "x_max", "y_min", "y_max")
+    boxes = _box_buckets(with_rings(buildings).withColumns(ring_bounds("rings", True)), bucket, reach).select(
+        "_bx", "_by", "id", "class", "source", "rings", "x_min", "x_max", "y_min", "y_max")
     near = (
         F.col("x").between(F.col("x_min") - reach, F.col("x_max") + reach)
         & F.col("y").between(F.col("y_min") - reach, F.col("y_max") + reach))
     matched = (
         salted_join(spots, boxes, ["_bx", "_by"]).filter(near)
-        .withColumn("_d", polygon_distance(F.col("x"), F.col("y"), F.col("ring"))).filter(F.col("_d") <= reach)
+        .withColumn("_d", polygon_distance(F.col("x"), F.col("y"), F.col("rings"), True)).filter(F.col("_d") <= reach)
     )
     order = F.struct("_d", "id")
     best = matched.groupBy("latitude", "longitude").agg(
@@ -142,13 +152,13 @@ def nearest_building(homes: DataFrame, buildings: DataFrame, reach: float = C.BU
 def within_zones(points: DataFrame, zones: DataFrame, attributes: list[str], bucket: float = 1000.0) -> DataFrame:
     """Add the attributes of every zone whose polygon touches the point; NULL where there is none.
 
-    ``zones`` has ``ring`` and the attributes.
+    ``zones`` has a shape and the attributes.
     """
     spots = _point_bucket(geo.with_national_xy(points.select("latitude", "longitude").distinct()), bucket)
-    boxes = _box_buckets(zones.withColumns(ring_bounds("ring")), bucket)
+    boxes = _box_buckets(with_rings(zones).withColumns(ring_bounds("rings", True)), bucket)
     inside = F.col("x").between(F.col("x_min"), F.col("x_max")) & F.col("y").between(F.col("y_min"), F.col("y_max"))
     touched = salted_join(spots, boxes, ["_bx", "_by"]).filter(inside).filter(
-        polygon_distance(F.col("x"), F.col("y"), F.col("ring")) == 0)
+        polygon_distance(F.col("x"), F.col("y"), F.col("rings"), True) == 0)
     return points.join(touched.select("latitude", "longitude", *attributes), ["latitude", "longitude"], "left").select(
         *points.columns, *attributes)
 
@@ -158,11 +168,12 @@ def points_in_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
     return geo.with_cell(points).join(cells.select("h3_id").distinct(), "h3_id", "left_semi")
 
 
-def clipped_area(ring: Column, x_min: Column, y_min: Column, x_max: Column, y_max: Column) -> Column:
+def clipped_area(ring: Column, x_min: Column, y_min: Column, x_max: Column, y_max: Column, many: bool = False) -> Column:
     """Area in square metres of a polygon inside an axis-aligned rectangle.
 
     The area is the sum over edges of the integral of the edge height, held between the rectangle's
-    bottom and top, over the part of the edge between its left and right. Any simple ring works.
+    bottom and top, over the part of the edge between its left and right. Any simple ring works; of ``many`` rings,
+    holes turn the other way and so count against their outer rings.
     """
     width, height = x_max - x_min, y_max - y_min
 
@@ -182,19 +193,19 @@ def clipped_area(ring: Column, x_min: Column, y_min: Column, x_max: Column, y_ma
             F.try_divide(below(dy) - below(cy), dy - cy))
         return total + F.when(bx == ax, 0.0).otherwise((dx - cx) * F.coalesce(mean, flat))
 
-    return F.abs(F.aggregate(_edges(ring), F.lit(0.0), part))
+    return F.abs(F.aggregate(_edges(ring, many), F.lit(0.0), part))
 
 
 def overlay_squares(buildings: DataFrame, squares: DataFrame, size: float = 1000.0) -> DataFrame:
-    """Intersection area in m2 of each building (id, ring) with each square (Ruta, x_min..y_max)."""
-    pieces = _box_buckets(buildings.select("id", "ring").withColumns(ring_bounds("ring")), size).select(
-        "_bx", "_by", "id", "ring")
+    """Intersection area in m2 of each building (id and shape) with each square (Ruta, x_min..y_max)."""
+    pieces = _box_buckets(with_rings(buildings).select("id", "rings").withColumns(ring_bounds("rings", True)), size).select(
+        "_bx", "_by", "id", "rings")
     tiles = _box_buckets(squares.select("Ruta", "x_min", "y_min", "x_max", "y_max"), size)
     met = salted_join(pieces, tiles, ["_bx", "_by"])
     # A pair that meets in several buckets is kept in the first bucket both cover.
-    bounds = ring_bounds("ring")
+    bounds = ring_bounds("rings", True)
     first = (
         (F.col("_bx") == _index(F.greatest(bounds["x_min"], F.col("x_min")), size))
         & (F.col("_by") == _index(F.greatest(bounds["y_min"], F.col("y_min")), size)))
-    area = clipped_area(*[F.col(c) for c in ("ring", "x_min", "y_min", "x_max", "y_max")])
+    area = clipped_area(*[F.col(c) for c in ("rings", "x_min", "y_min", "x_max", "y_max")], many=True)
     return met.filter(first).select("id", "Ruta", area.alias("area")).filter("area > 0")

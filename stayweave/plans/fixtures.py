@@ -132,14 +132,20 @@ def squares(spark, folder) -> DataFrame:
 
 
 def zones(spark, folder) -> DataFrame:
-    """A five by five patchwork of rectangles: code, population and ring."""
+    """A five by five patchwork of rectangles: code, population and rings. The middle one has a hole, the last one is
+    two parts with a gap between them."""
     rows = table(spark, folder, "nation").selectExpr(
         "concat('01', CAST(n_nationkey % 5 AS STRING), CAST(n_nationkey DIV 5 AS STRING)) AS deso",
-        "100 + n_nationkey * 7 AS befolkning", "650000e0 + (n_nationkey % 5) * 10000e0 AS zx",
+        "n_nationkey AS n", "100 + n_nationkey * 7 AS befolkning", "650000e0 + (n_nationkey % 5) * 10000e0 AS zx",
         "6555000e0 + (n_nationkey DIV 5) * 9000e0 AS zy")
-    corners = ["zx AS x, zy AS y", "zx + 10000e0 AS x, zy AS y", "zx + 10000e0 AS x, zy + 9000e0 AS y",
-               "zx AS x, zy + 9000e0 AS y"]
-    return rows.selectExpr("deso", "befolkning", "array(" + ", ".join(f"struct({c})" for c in corners) + ") AS ring")
+
+    def box(left, low, right, high, hole=False):
+        corners = [(left, low), (right, low), (right, high), (left, high)]
+        return "array(" + ", ".join(f"struct(zx + {x}e0 AS x, zy + {y}e0 AS y)" for x, y in (reversed(corners) if hole else corners)) + ")"
+
+    rings = (f"CASE n WHEN 12 THEN array({box(0, 0, 10000, 9000)}, {box(2000, 2000, 8000, 7000, True)}) "
+             f"WHEN 24 THEN array({box(0, 0, 4000, 9000)}, {box(6000, 0, 10000, 9000)}) ELSE array({box(0, 0, 10000, 9000)}) END AS rings")
+    return rows.selectExpr("deso", "befolkning", rings)
 
 
 def device_homes(spark, folder) -> DataFrame:
@@ -281,7 +287,7 @@ PARTS: dict[str, str] = {
     "birth_squares": """SELECT Ruta, min(x_min) AS x_min, min(y_min) AS y_min, min(x_min) + 1000e0 AS x_max, min(y_min) + 1000e0 AS y_max,
         sum(Sverige) AS Sverige, sum(Norden_uto) AS Norden_uto, sum(EU_utom_No) AS EU_utom_No, sum(Ovriga_var) AS Ovriga_var
         FROM squares GROUP BY Ruta""",
-    "zones": """SELECT '01' || (n_nationkey % 5) || (n_nationkey // 5) AS deso, 100 + n_nationkey * 7 AS befolkning,
+    "zones": """SELECT n_nationkey AS n, '01' || (n_nationkey % 5) || (n_nationkey // 5) AS deso, 100 + n_nationkey * 7 AS befolkning,
         650000e0 + (n_nationkey % 5) * 10000e0 AS zx, 6555000e0 + (n_nationkey // 5) * 9000e0 AS zy FROM nation""",
     "homes": f"""SELECT DISTINCT CAST(user_id AS VARCHAR) AS device_aid, {latitude('(100000 + user_id)')} AS latitude,
         {longitude('(100000 + user_id)')} AS longitude FROM events""",
@@ -292,7 +298,9 @@ PARTS: dict[str, str] = {
     "groups": """SELECT DISTINCT CAST(user_id AS VARCHAR) AS device_aid, CAST(user_id % 4 + 1 AS INT) AS "group"
         FROM events""",
     "device_zone": """SELECT device_aid, deso, befolkning FROM homes_xy LEFT JOIN zones
-        ON x BETWEEN zx AND zx + 10000 AND y BETWEEN zy AND zy + 9000""",
+        ON x BETWEEN zx AND zx + 10000 AND y BETWEEN zy AND zy + 9000
+        AND NOT (n = 12 AND x > zx + 2000 AND x < zx + 8000 AND y > zy + 2000 AND y < zy + 7000)
+        AND NOT (n = 24 AND x > zx + 4000 AND x < zx + 6000)""",
 }
 
 _NEEDS = {

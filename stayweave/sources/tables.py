@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,35 +98,78 @@ def write_jdbc(rows: DataFrame, url: str, table: str, mode: str = "append", prop
     rows.write.option("batchsize", batch_rows).jdbc(url, table, mode=mode, properties=properties or {})
 
 
-# A WKB polygon with one ring: byte order, type, ring count, point count, then pairs of doubles.
-WKB_POLYGON = 3
-_HEAD_BYTES = 13
+# WKB: byte order, type, then for a polygon its rings (number of points and pairs of doubles), for a multipolygon its polygons.
+WKB_POLYGON, WKB_MULTIPOLYGON = 3, 6
 RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-
-
-@F.pandas_udf(T.BinaryType())
-def ring_to_wkb(rings: pd.Series) -> pd.Series:
-    """``array<struct<x,y>>`` to the WKB of a polygon, big-endian; an open ring is closed."""
-    def pack(ring):
-        points = [(p["x"], p["y"]) for p in ring]
-        points += points[:1] if points[0] != points[-1] else []
-        flat = [v for point in points for v in point]
-        return struct.pack(f">BIII{len(flat)}d", 0, WKB_POLYGON, 1, len(points), *flat)
-
-    return pd.Series([None if r is None else pack(r) for r in rings])
-
-
-@F.pandas_udf(RING)
-def wkb_to_ring(shapes: pd.Series) -> pd.Series:
-    """Outer ring of WKB polygons, either byte order; other shapes give NULL."""
-    def outer(data):
-        if data is None:
-            return None
-        order = ">" if data[0] == 0 else "<"
-        kind, rings, points = struct.unpack_from(order + "III", data, 1)
-        if kind != WKB_POLYGON or rings < 1:
-            return None
-        flat = struct.unpack_from(f"{order}{2 * points}d", data, _HEAD_BYTES)
-        return [{"x": x, "y": y} for x, y in zip(flat[::2], flat[1::2])]
-
-    return pd.Series([outer(s) for s in shapes])
+RINGS = T.ArrayType(RING)
+
+
+def _turns_left(points: np.ndarray) -> bool:
+    x, y = points[:, 0], points[:, 1]
+    return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) > 0
+
+
+def _polygon(data: bytes, at: int, rings: list[np.ndarray]) -> int:
+    """Read one polygon at ``at`` into ``rings``, outer ring counter-clockwise and holes clockwise; where it ends."""
+    order = ">" if data[at] == 0 else "<"
+    kind, count = struct.unpack_from(order + "II", data, at + 1)
+    if kind != WKB_POLYGON:
+        raise ValueError(f"WKB type {kind} in a multipolygon")
+    at += 9
+    for k in range(count):
+        (n,) = struct.unpack_from(order + "I", data, at)
+        points = np.frombuffer(data, dtype=order + "f8", count=2 * n, offset=at + 4).reshape(n, 2)
+        rings.append(points if _turns_left(points) == (k == 0) else points[::-1])
+        at += 4 + 16 * n
+    return at
+
+
+@F.arrow_udf(RINGS)
+def wkb_to_rings(shapes: pa.Array) -> pa.Array:
+    """All rings of WKB polygons and multipolygons, either byte order, parts after one another. NULL stays NULL; any
+    other geometry is an error, so that no shape gets lost."""
+    rings, counts, known = [], [], []
+    for data in shapes.to_pylist():
+        before = len(rings)
+        if data is not None:
+            order = ">" if data[0] == 0 else "<"
+            kind, parts = struct.unpack_from(order + "II", data, 1)
+            if kind == WKB_POLYGON:
+                _polygon(data, 0, rings)
+            elif kind == WKB_MULTIPOLYGON:
+                at = 9
+                for _ in range(parts):
+                    at = _polygon(data, at, rings)
+            else:
+                raise ValueError(f"WKB type {kind} is no polygon")
+        known.append(data is not None)
+        counts.append(len(rings) - before)
+    flat = np.concatenate(rings).astype("<f8") if rings else np.zeros((0, 2))
+    points = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["x", "y"])
+    inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rings)]).astype(np.int32)), points)
+    offsets = np.cumsum([0, *counts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), inner, mask=pa.array(~np.array(known, dtype=bool)))
+
+
+@F.arrow_udf(T.BinaryType())
+def rings_to_wkb(shapes: pa.Array) -> pa.Array:
+    """``array<array<struct<x,y>>>`` to big-endian WKB: an outer ring (counter-clockwise) begins a part, the clockwise
+    rings after it are its holes. Open rings are closed; one part is a polygon, more are a multipolygon."""
+    out = []
+    for shape in shapes:
+        if not shape.is_valid:
+            out.append(None)
+            continue
+        parts: list[list[bytes]] = []
+        for ring in shape.values:
+            points = np.stack([ring.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], 1)
+            if (points[0] != points[-1]).any():
+                points = np.concatenate([points, points[:1]])
+            packed = struct.pack(">I", len(points)) + points.astype(">f8").tobytes()
+            if not parts or _turns_left(points):
+                parts.append([packed])
+            else:
+                parts[-1].append(packed)
+        polygons = [struct.pack(">BII", 0, WKB_POLYGON, len(p)) + b"".join(p) for p in parts]
+        out.append(polygons[0] if len(polygons) == 1 else struct.pack(">BII", 0, WKB_MULTIPOLYGON, len(polygons)) + b"".join(polygons))
+    return pa.array(out, pa.binary())
