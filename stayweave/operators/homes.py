@@ -34,13 +34,18 @@ def load_stays(stays: DataFrame) -> DataFrame:
 
 def retention(rows: DataFrame, steps: dict[str, F.Column], device: str = "device_aid") -> DataFrame:
     """Shares of rows and devices that pass each step among those that passed the ones before."""
-    aggs, passed, names = [F.count("*").alias("n_0"), F.countDistinct(device).alias("d_0")], F.lit(True), list(steps)
+    passed, names, kept = F.lit(True), list(steps), [F.count("*").alias("n_0")]
     for i, condition in enumerate(steps.values(), start=1):
         passed = passed & F.coalesce(condition, F.lit(False))
-        aggs += [F.count_if(passed).alias(f"n_{i}"), F.countDistinct(F.when(passed, F.col(device))).alias(f"d_{i}")]
-    return rows.agg(*aggs).select(F.explode(F.array(*[
+        kept.append(F.count_if(passed).alias(f"n_{i}"))
+    # one row per device, then plain sums: no row is repeated for a distinct count
+    known = F.col(device).isNotNull()
+    totals = rows.groupBy(device).agg(*kept).agg(
+        *[F.sum(f"n_{i}").alias(f"n_{i}") for i in range(len(kept))],
+        *[F.count_if((F.col(f"n_{i}") > 0) & known).alias(f"d_{i}") for i in range(len(kept))])
+    return totals.select(F.explode(F.array(*[
         F.struct(
-            F.lit(name).alias("step"), F.col(f"n_{i}").alias("rows_kept"), F.col(f"d_{i}").alias("devices_kept"),
+            F.lit(name).alias("step"), F.coalesce(f"n_{i}", F.lit(0)).alias("rows_kept"), F.col(f"d_{i}").alias("devices_kept"),
             F.try_divide(F.col(f"n_{i}").cast("double"), F.col(f"n_{i - 1}")).alias("row_share"),
             F.try_divide(F.col(f"d_{i}").cast("double"), F.col(f"d_{i - 1}")).alias("device_share"))
         for i, name in enumerate(names, start=1)

@@ -35,13 +35,13 @@ def with_neighbours(df: DataFrame, keys: list[str], ts: str, ties: list[str] = (
     """
     here, within, across = _inside(keys, ts, ties), [*keys, "_slice"], _across(keys)
     out = rows = _sliced(df, ts, slice_seconds)
-    for step, back, names in ((F.lag, F.lead, prev or {}), (F.lead, F.lag, following or {})):
+    for step, pick, names in ((F.lag, F.max_by, prev or {}), (F.lead, F.min_by, following or {})):
         if not names:
             continue
         # The last row of a slice is what the next slice looks back at, and the other way round.
-        edges = rows.withColumn("_inner", back(ts).over(here)).filter("_inner is null").select(
-            *within, *[F.col(c).alias(f"_edge_{n}") for n, c in names.items()])
-        edges = edges.select(*within, *[step(f"_edge_{n}").over(across).alias(f"_edge_{n}") for n in names])
+        wanted = F.struct(*[F.col(c).alias(n) for n, c in names.items()])
+        edges = rows.groupBy(*within).agg(pick(wanted, F.struct(ts, *ties)).alias("_row"))
+        edges = edges.select(*within, *[step(F.col("_row")[n]).over(across).alias(f"_edge_{n}") for n in names])
         out = out.withColumns({"_at_edge": step(ts).over(here).isNull(), **{
             n: step(c).over(here) for n, c in names.items()}})
         out = out.join(edges, within).withColumns({

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stayweave import constants as C
 from stayweave.functions.time import local_time
+from stayweave.session import cut_lineage
 
 WORK_HOURS = (9, 17)
 
@@ -68,8 +69,8 @@ def _labelled_days(shares: DataFrame, days: int, missing: float, share: float, v
 def label_stays(stays: DataFrame, home_days: int, work_days: int, min_hours: int, missing_home: float,
                 missing_work: float, share_home: float, share_work: float, days_work: float) -> DataFrame:
     """Add ``location_type``: H, W or O by the label of the stay's place on its local start day."""
-    presence = hourly_presence(stays)
-    homes = _labelled_days(daily_shares(presence, "home", min_hours), home_days, missing_home, share_home, 0.0)
+    presence = cut_lineage(hourly_presence(stays))
+    homes = cut_lineage(_labelled_days(daily_shares(presence, "home", min_hours), home_days, missing_home, share_home, 0.0))
     work_shares = daily_shares(presence, "work", min_hours).join(
         homes.select("device_aid", "loc").distinct(), ["device_aid", "loc"], "left_anti")
     works = _labelled_days(work_shares, work_days, missing_work, share_work, days_work)
