@@ -29,19 +29,19 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while arcs.limit(1).count():
         rank = F.struct(F.xxhash64("dst").alias("h"), F.col("dst").alias("n"))
         own = F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("n"))
-        links = stored(arcs.groupBy("src").agg(F.min(rank).alias("_r")).select(
-            F.col("src").alias("node"), F.when(F.col("_r") < own, F.col("_r.n")).otherwise(F.col("src")).alias("head")))
-        short = links
+        # the aggregate is shuffled once and reused by the joins of one plan
+        links = arcs.groupBy("src").agg(F.min(rank).alias("_r")).select(
+            F.col("src").alias("node"), F.when(F.col("_r") < own, F.col("_r.n")).otherwise(F.col("src")).alias("head"))
         for _ in range(2):
             links = links.join(links.select(F.col("node").alias("head"), F.col("head").alias("_further")), "head").select(
                 "node", F.col("_further").alias("head"))
-        first, links = short, stored(links)
+        links = stored(links)
         rounds.append(links)
         before, arcs = arcs, stored(
             arcs.join(links.select(F.col("node").alias("src"), F.col("head").alias("_a")), "src")
             .join(links.select(F.col("node").alias("dst"), F.col("head").alias("_b")), "dst")
             .filter("_a <> _b").select(F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct())
-        released(before, first)
+        released(before)
     labels = nodes.select("node", F.col("node").alias("component")).distinct()
     for links in rounds:
         labels = labels.join(links.withColumnRenamed("node", "component"), "component", "left").select(
