@@ -13,7 +13,7 @@ from stayweave.session import stored
 __all__ = ["arrow", "distinct_rows", "stored", "table", "union_all"]
 
 #: Rows and bytes of one Arrow batch: whole texts are passed, so few rows at a time.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -236,12 +236,16 @@ class JaccardJoin:
         stay = met.filter(~frequent).select("key", "node").unionByName(
             met.filter(frequent).join(full, "node", "left_semi").select("key", "node"))
         members = stored(stay)
-        leaders = stored(members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).filter("many > 1"))
+        leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).filter("many > 1").drop("many")
         star = members.join(leaders, "key").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("times"))
         best = star.groupBy("node").agg(F.max(F.struct(F.col("times"), (-F.col("leader")).alias("minus"))).alias("best")).select(
             F.col("node").alias("a"), (-F.col("best.minus")).alias("b"))
         links = self._links(best)
-        more = self._links(self._searched(members, self._labels(links)))
+        # a document goes by its leader's leader: close enough to tell which pairs are linked anyway
+        up = links.select(F.col("a").alias("node"), F.col("b").alias("up"))
+        labels = up.join(links.select(F.col("a").alias("up"), F.col("b").alias("top")), "up", "left").select(
+            "node", F.coalesce("top", "up").alias("component"))
+        more = self._links(self._searched(members, labels))
         return self._classes(self._labels(links.unionByName(more)))
 
     def _labels(self, links: DataFrame) -> DataFrame:
@@ -300,7 +304,6 @@ class JaccardJoin:
 
     def _classes(self, labels: DataFrame) -> DataFrame:
         known = self.nodes.join(labels, "node", "left").select("h1", "h2", "least_id", F.coalesce("component", "node").alias("label"))
-        known = stored(known)
         least = stored(known.groupBy("label").agg(F.min("least_id").alias("component_id")))
         named = stored(known.join(least, "label").select("h1", "h2", "component_id"))
         linked = self.rows.filter("n > 0").select("_row", "_id", "n", "h1", "h2").join(named, ["h1", "h2"]).select("_row", "_id", "n", "component_id")

@@ -46,7 +46,7 @@ def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.nd
     at, size = 0, 0
     for end in range(1, len(raw) + 1):  # some MB at a time; a longer text goes alone
         size += len(raw[end - 1]) + 1
-        if size >= 1 << 21 or end == len(raw):
+        if size >= 1 << 20 or end == len(raw):
             _hash_some(raw[at:end], lower, hashes, starts, ends, counts)
             at, size = end, 0
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
