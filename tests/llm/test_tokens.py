@@ -135,17 +135,6 @@ def test_pieces_match_library(spark, odd, none):
     assert pieces.encode_pieces(none, PIECE).count() == 0
 
 
-def unigram(path):
-    """The library reading the same file as a unigram model."""
-    from sentencepiece import sentencepiece_model_pb2 as proto
-
-    spec = proto.ModelProto()
-    with open(path, "rb") as file:
-        spec.ParseFromString(file.read())
-    spec.trainer_spec.model_type = 1
-    return sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
-
-
 def chunked(lattice, text, chunk):
     """The scan without Spark."""
     words, written = pieces.PieceEncoder(lattice), lattice.written_as(text)
@@ -177,13 +166,18 @@ def test_scan_of_small_chunks(chunk):
 
 
 def test_unigram_reading():
-    model, lattice = unigram(PIECE), pieces.Lattice(PIECE, "unigram")
+    lattice = pieces.Lattice(PIECE, "unigram")
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     for text in ["hello world", "the quick brown fox", "antidisestablishmentarianism again and again"]:
-        best = lattice.segment(lattice.written_as(text))
+        written = lattice.written_as(text)
+        best = [0.0] + [float("-inf")] * len(written)
+        for end in range(1, len(best)):
+            best[end] = max(best[start] + lattice.scores.get(written[start:end], float("-inf")) for start in range(end))
         weight = lambda ids: sum(model.get_score(i) for i in ids)
-        assert weight(best) == pytest.approx(weight(model.encode(text)))
-        got = chunked(lattice, text, 5)
-        assert weight(got) == pytest.approx(weight(best)) and model.decode(got) == text
+        assert weight(lattice.segment(written)) == pytest.approx(best[-1])
+        for chunk in (2, 5, 9):
+            got = chunked(lattice, text, chunk)
+            assert weight(got) == pytest.approx(best[-1]) and model.decode(got) == text
 
 
 def greedy(word, begin, inside):
