@@ -130,8 +130,8 @@ class KneserNey:
             context = g >> np.uint64(16)
             contexts, inverse = np.unique(context, return_inverse=True)
             cell = inverse * width + c
-            total = np.bincount(cell, weights=m, minlength=len(contexts) * width).reshape(-1, width)
-            kinds = np.bincount(cell, minlength=len(contexts) * width).reshape(-1, width)
+            total = np.bincount(cell, weights=m, minlength=len(contexts) * width).reshape(len(contexts), width)
+            kinds = np.bincount(cell, minlength=len(contexts) * width).reshape(len(contexts), width)
             back = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
             keys, row = np.unique(g, return_inverse=True)
             ctx_row = np.searchsorted(contexts, keys >> np.uint64(16))
