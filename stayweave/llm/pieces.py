@@ -73,6 +73,12 @@ class Lattice:
                         else " ⁇ ".encode() if model.is_unknown(i) else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
         self.valid = {p for p in self.ids if len(p) > 1 and (not self.bpe or self.merged(p) == [p])}
         self.pairs = _Pairs(self)
+        #: Neighbouring characters that some piece holds: between any others every path has a border.
+        self.joined = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
+        #: Length of the longest valid piece by its first two characters.
+        self.reach: dict[str, int] = {}
+        for p in self.valid:
+            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
         self._splits: dict[str, tuple[str, str]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -174,22 +180,29 @@ class Lattice:
         return self.trace(text, self.paths(text, 0, None, len(text)), 0, len(text))
 
     def _short(self, text: str) -> list[int]:
-        """``paths`` and ``trace`` where weights are 0 or nothing: one piece can end at each position."""
-        last: list[str | None] = [None] * (len(text) + 1)
-        valid, pairs, longest = self.valid, self.pairs, self.longest
-        for end in range(1, len(text) + 1):
-            for start in range(end - longest if end > longest else 0, end - 1):
-                piece = text[start:end]
-                if piece in valid and (start == 0 or pairs[last[start], piece]):
-                    last[end] = piece
+        """``paths`` and ``trace`` where weights are 0 or nothing. One path at most leads to each position, so the longest
+        piece is tried first, and a position without a way on is never entered again."""
+        valid, pairs, reach, n = self.valid, self.pairs, self.reach, len(text)
+        pieces: list[str] = []
+        dead: set[int] = set()
+        at, size = 0, reach.get(text[:2], 1)
+        while at < n:
+            last = pieces[-1] if pieces else None
+            size = min(size, n - at)
+            while size:
+                piece = text[at:at + size]
+                if (size == 1 or piece in valid) and at + size not in dead and (last is None or pairs[last, piece]):
                     break
+                size -= 1
+            if size:
+                pieces.append(piece)
+                at += size
+                size = reach.get(text[at:at + 2], 1)
             else:
-                last[end] = text[end - 1]
-        end, pieces = len(text), []
-        while end:
-            pieces.append(last[end])
-            end -= len(last[end])
-        return [i for p in reversed(pieces) for i in self.ids_of(p)]
+                dead.add(at)
+                last = pieces.pop()
+                at, size = at - len(last), len(last) - 1
+        return [i for p in pieces for i in self.ids_of(p)]
 
     def written_as(self, text: str) -> str:
         """As the model sees it: word marks for spaces, one before the text."""
@@ -206,14 +219,32 @@ class PieceEncoder:
     """Encodes texts word by word: no piece holds a word mark after another character, so paths always meet there."""
 
     def __init__(self, lattice: Lattice):
-        self.lattice, self.words = lattice, {}
+        self.lattice, self.words, self.units = lattice, {}, {}
 
     def _ids(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
-            ids = self.words[word] = array("I", self.lattice.segment(word)).tobytes()
+            ids = self.words[word] = b"".join(map(self._unit, self._cut(word)))
+        return ids
+
+    def _cut(self, word: str) -> list[str]:
+        """Parts of a word between which no piece reaches, such as letters and the comma behind them."""
+        joined, at, out = self.lattice.joined, 0, []
+        for k in range(1, len(word)):
+            if word[k - 1:k + 1] not in joined:
+                out.append(word[at:k])
+                at = k
+        out.append(word[at:])
+        return out
+
+    def _unit(self, unit: str) -> bytes:
+        ids = self.units.get(unit)
+        if ids is None:
+            if len(self.units) >= CACHE_WORDS:
+                self.units.clear()
+            ids = self.units[unit] = array("I", self.lattice.segment(unit)).tobytes()
         return ids
 
     def encode(self, text: str) -> bytes:
