@@ -28,6 +28,9 @@ from stayweave.operators.components import connected_components
 from stayweave.session import broadcast_if_small
 
 GROUPS = 64
+#: Sets of this many shingles have this many groups instead: many shingles in few groups would all look alike. Points of
+#: either kind compare after folding the larger one.
+LONG = 1024
 #: A shingle first among more documents than this is frequent.
 FREQUENT = 128
 #: Points of one tree; larger trees are built in parts and every pair of parts is searched.
@@ -58,7 +61,8 @@ def signatures(docs: DataFrame, width: int, num: int, den: int, id_col: str, tex
                 n.append(size)
                 h1.append(int(mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)) if size else 0)
                 h2.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(0xA0761D6478BD642F))).view(np.int64)) if size else 0)
-                points.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).clip(0, 65535).astype("<u2").tobytes())
+                groups = LONG if size >= LONG else GROUPS
+                points.append(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).clip(0, 65535).astype("<u2").tobytes())
                 first = size - least_shared(size, num, den) + 1 + spare(size, num, den)
                 keys.append(s[:first].view(np.int64) if size else s.view(np.int64))
                 drops.append(spare(least_shared(size, num, den), num, den))
@@ -82,7 +86,17 @@ def minima_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _points(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<u2").reshape(-1, GROUPS).astype(np.int32)
+    """Points as rows of ``GROUPS`` counts."""
+    return np.stack([np.frombuffer(p, dtype="<u2").reshape(-1, GROUPS).sum(axis=0, dtype=np.int32) for p in column])
+
+
+def _most_shared(a: bytes, b: bytes) -> int:
+    """Sum of the coordinate minima of two points, as finely as both are known."""
+    if len(a) != len(b):
+        a, b = _points([a])[0], _points([b])[0]
+    else:
+        a, b = np.frombuffer(a, dtype="<u2"), np.frombuffer(b, dtype="<u2")
+    return int(np.minimum(a, b).sum(dtype=np.int64))
 
 
 class PointTree:
@@ -179,7 +193,7 @@ def _search_trees(num: int, den: int):
 def _bound_ok(num: int, den: int):
     @F.pandas_udf("boolean")
     def check(pa_: pd.Series, pb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        most = np.minimum(_points(pa_), _points(pb)).sum(axis=1)
+        most = np.array([_most_shared(a, b) for a, b in zip(pa_, pb)], dtype=np.int64)
         return pd.Series(most * (num + den) >= num * (na.to_numpy() + nb.to_numpy()))
 
     return check
