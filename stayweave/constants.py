@@ -64,7 +64,6 @@ WORK_PARAMS = {
 EMBEDDING_DIM = 64
 CONTEXT_SIZE = 7
 NEGATIVE_SAMPLES = 5
-LEARNING_RATE = 0.01
 
 # Diagnostics.
 LOW_VARIANCE = 0.001

@@ -45,11 +45,12 @@ def _start(dim: int, seed: int) -> Column:
 
 
 def skip_gram(nodes: DataFrame, walks: DataFrame, dim: int = C.EMBEDDING_DIM, context: int = C.CONTEXT_SIZE,
-              negatives: int = C.NEGATIVE_SAMPLES, epochs: int = 6, rate: float = C.LEARNING_RATE, patience: int = 2,
+              negatives: int = C.NEGATIVE_SAMPLES, epochs: int = 6, rate: float = 0.05, patience: int = 2,
               min_delta: float = 0.001, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Embed the nodes seen by the walks: ``(id, vec)`` and the loss history ``(epoch, step, loss)``.
 
-    ``nodes`` has ``id`` for every node, ``walks`` has ``nodes``.
+    ``nodes`` has ``id`` for every node, ``walks`` has ``nodes``. An epoch is one step over all pairs, so ``rate`` is
+    larger than what suits steps over small batches.
     """
     spark = nodes.sparkSession
     pairs = cut_lineage(context_pairs(walks, context))
