@@ -1,12 +1,12 @@
 """Operator 10, suffix-array dedup with sparse suffixes.
 
 A passage of ``min_words`` words or more that occurs twice has, in both places, a minimiser: the n-gram of least hash in
-some window of it. Only suffixes that begin at minimisers are kept, and of those only ones whose n-gram occurs again.
-They are sorted by what follows (and then by what precedes); neighbours are compared, and each match is extended to the
-right and to the left. Of every two places that match, the later one (by document id, then position) can go.
+some window of it. Only suffixes in windows whose minimiser occurs again are kept, cut to the ``min_words`` words that
+must agree. They are sorted, so equal ones stand next to each other whatever comes before or after them; of every two
+equal ones, the later (by document id, then position) can go. Windows that touch make up the passages.
 
-The sort deals by ranges of the whole key, so a group of any size spreads over tasks. Rows at the ends of a task, and
-the earliest place of a group that reaches over its end, are compared with those of the tasks next to it.
+The sort deals by ranges of the whole key, so a group of any size spreads over tasks. The first and last row of each
+task are compared with those of the tasks next to it.
 """
 
 from __future__ import annotations
@@ -20,230 +20,171 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayweave.llm.base import arrow, stored, text_of
-from stayweave.llm.shingles import window_hashes, word_hashes
+from stayweave.llm.shingles import mix, window_hashes, word_hashes
 from stayweave.session import broadcast_if_small
 
 MIN_WORDS = 50
 #: Words of the n-gram at a minimiser. With windows of ``MIN_WORDS - GRAM + 1`` n-grams every passage has one.
 GRAM = 20
-SPAN = "doc_id bigint, start int, stop int, later boolean"
+#: Rows of one batch, and window starts that are merged together.
+SLICE = 1 << 16
+BLOCK = 4096
+FOUND = "_id bigint, _check bigint, start int, later boolean, first bigint, second bigint"
+_SECOND = np.uint64(0x2545F4914F6CDD1D)
 
 
-def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the least hash (the first of equal ones) in each run of ``window`` n-grams."""
+def _least(grams: np.ndarray, window: int) -> np.ndarray:
+    """Position of the least hash (the first of equal ones) in each run of ``window`` n-grams."""
     if len(grams) < window:
         return np.zeros(0, dtype=np.int64)
     view = np.lib.stride_tricks.sliding_window_view(grams, window)
-    out = [np.unique(view[at:at + 65536].argmin(axis=1) + np.arange(at, min(at + 65536, len(view))))
-           for at in range(0, len(view), 65536)]
-    return np.unique(np.concatenate(out))
+    return np.concatenate([view[at:at + 65536].argmin(axis=1) + np.arange(at, min(at + 65536, len(view))) for at in range(0, len(view), 65536)])
+
+
+def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the least hash (the first of equal ones) in each run of ``window`` n-grams."""
+    return np.unique(_least(grams, window))
 
 
 def anchors(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """``_id, _check, hashes, places``: the minimisers of each text."""
+    """``_id, _check, hashes, starts``: the minimisers of each text, and the windows each is the least of: the first
+    start times ``min_words``, plus how many more follow."""
     window = min_words - gram + 1
-    schema = pa.schema([("_id", pa.int64()), ("_check", pa.int64()), ("hashes", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+    schema = pa.schema([("_id", pa.int64()), ("_check", pa.int64()), ("hashes", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, _, _, edges = word_hashes(batch.column(2).to_pylist(), lower=False)
             grams = window_hashes(words, gram)
-            hashes, places = [], []
+            hashes, starts = [], []
             for a, b in zip(edges[:-1], edges[1:]):
                 own = grams[a:b - gram + 1] if b - a >= min_words else grams[:0]
-                at = minimisers(own, window)
+                least = _least(own, window)  # never falls: windows of one minimiser follow each other
+                at, first, n = np.unique(least, return_index=True, return_counts=True)
                 hashes.append(own[at].view(np.int64))
-                places.append(at.astype(np.int32))
+                starts.append(first.astype(np.int64) * min_words + n - 1)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32))
-            flat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=kind))
+            flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat(hashes, np.int64)),
-                pa.ListArray.from_arrays(offsets, flat(places, np.int32))], schema=schema)
+                batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat(hashes)),
+                pa.ListArray.from_arrays(offsets, flat(starts))], schema=schema)
 
-    return stored(arrow(docs, find, "_id bigint, _check bigint, hashes array<bigint>, places array<int>").filter(F.size("hashes") > 0))
+    return stored(arrow(docs, find, "_id bigint, _check bigint, hashes array<bigint>, starts array<bigint>").filter(F.size("hashes") > 0))
 
 
-def suffixes(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """``hash, after, before, _id, place`` of the kept suffixes: the words that follow the n-gram and, backwards, those
-    that precede it, as 32-bit hashes; zeros beyond the text."""
-    reach = min_words - gram
-    schema = pa.schema([("hash", pa.int64()), ("after", pa.binary()), ("before", pa.binary()), ("_id", pa.int64()), ("place", pa.int32())])
+def suffixes(texts: DataFrame, min_words: int) -> DataFrame:
+    """``first, second, _id, _check, start`` of the kept suffixes: two independent hashes of their first ``min_words``
+    words, of which the second verifies the first."""
+    schema = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("_id", pa.int64()), ("_check", pa.int64()), ("start", pa.int32())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(0, batch.num_rows, 500):
                 part = batch.slice(row, 500)
-                words, _, _, edges = word_hashes(part.column(1).to_pylist(), lower=False)
-                grams = window_hashes(words, gram)
-                short = np.maximum((words >> np.uint64(32)).astype(">u4"), 1)  # big-endian: bytes sort as numbers
-                padded = np.concatenate([np.zeros(reach, dtype=">u4"), short, np.zeros(reach + gram, dtype=">u4")])
-                ids, at, begin, end = [], [], [], []
-                for k, (doc_id, places) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
-                    ids += [doc_id] * len(places)
-                    at += places
-                    begin += [edges[k]] * len(places)
-                    end += [edges[k + 1]] * len(places)
-                if not at:
-                    continue
-                at_, begin_, end_ = (np.array(x, dtype=np.int64) for x in (at, begin, end))
-                here = begin_ + at_
-                steps = np.arange(reach)
-                right = here[:, None] + gram + steps
-                left = here[:, None] - 1 - steps
-                after = np.where(right < end_[:, None], padded[right + reach], 0).astype(">u4")
-                before = np.where(left >= begin_[:, None], padded[left + reach], 0).astype(">u4")
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(grams[here].view(np.int64)), pa.array([a.tobytes() for a in after], pa.binary()),
-                    pa.array([b.tobytes() for b in before], pa.binary()), pa.array(ids, pa.int64()), pa.array(at, pa.int32())], schema=schema)
-
-    return arrow(texts, cut, "hash bigint, after binary, before binary, _id bigint, place int")
-
-
-def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading words two rows share; zeros share nothing."""
-    return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1)
-
-
-def _spans(key: np.ndarray, left: np.ndarray, right: np.ndarray, order: np.ndarray, gram: int, least: int) -> list[tuple[int, int, int, bool]]:
-    """Matches ``(row, words before, words after, later)``. ``left`` and ``right`` are what a row shares with the one
-    above; ``order`` ranks the places. Each row is held against the one above and against the earliest place seen in
-    its run, downwards and upwards."""
-    out = []
-    n = len(key)
-    for down in (True, False):
-        best, bl, br = 0 if down else n - 1, 0, 0
-        for step in range(1, n):
-            row, above = (step, step - 1) if down else (n - 1 - step, n - step)
-            pair = row if down else above  # where the shared lengths of the two are kept
-            if key[row] != key[above]:
-                best = row
-                continue
-            l, r = left[pair], right[pair]
-            if l + gram + r >= least:
-                if down:
-                    first = order[row] < order[above]
-                    out.append((row, l, r, not first))
-                    out.append((above, l, r, first))
-                bl, br = (min(bl, l), min(br, r)) if best != above else (l, r)
-                if bl + gram + br < least:
-                    best, bl, br = above, l, r
-                if order[best] < order[row]:
-                    out.append((row, bl, br, True))
-                else:
-                    out.append((best, bl, br, True))
-                    best = row
-            else:
-                best = row
-    return out
-
-
-def _scanner(gram: int, least: int, edges: bool):
-    """Compares neighbours of a sorted task. With ``edges``, rows the next tasks must see come out as well."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("later", pa.bool_()), ("hash", pa.int64()),
-                        ("after", pa.binary()), ("before", pa.binary())])
+                words, _, _, edges = word_hashes(part.column(2).to_pylist(), lower=False)
+                sizes = part.column(3).value_lengths().to_numpy()
+                packed = part.column(3).flatten().to_numpy()
+                n = packed % min_words + 1
+                text = np.repeat(np.repeat(np.arange(part.num_rows), sizes), n)
+                start = np.repeat(packed // min_words, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                here = edges[text] + start
+                keys = [window_hashes(w, min_words)[here].view(np.int64) for w in (words, mix(words ^ _SECOND))]
+                for at in range(0, len(here), SLICE):
+                    own = pa.array(text[at:at + SLICE])
+                    yield pa.RecordBatch.from_arrays([
+                        *(pa.array(k[at:at + SLICE]) for k in keys), part.column(0).take(own), part.column(1).take(own),
+                        pa.array(start[at:at + SLICE].astype(np.int32))], schema=schema)
+
+    return arrow(texts, cut, "first bigint, second bigint, _id bigint, _check bigint, start int")
+
+
+def _scanner(edges: bool):
+    """Rows of a sorted task that are equal to one beside them. With ``edges``, the task's first and last row come out
+    as well, with their keys. ``later`` tells what is known of a row before."""
+    schema = pa.schema([("_id", pa.int64()), ("_check", pa.int64()), ("start", pa.int32()), ("later", pa.bool_()), ("first", pa.int64()),
+                        ("second", pa.int64())])
+
+    def out(rows: pa.Table, keys: bool) -> list[pa.RecordBatch]:
+        for k in () if keys else (4, 5):
+            rows = rows.set_column(k, schema.field(k), pa.nulls(len(rows), pa.int64()))
+        return rows.combine_chunks().to_batches()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, places, lefts, rights = [], [], [], [], []
-        last, kept = None, {}
-
-        def keep(row: tuple) -> None:
-            """First, last and earliest row of the task's first group and of its current one."""
-            for which in ("first", "now"):
-                group = kept.get(which)
-                if group is None or (which == "now" and group[0][0] != row[0]):
-                    kept[which] = [row, row, row]
-                elif group[0][0] == row[0]:
-                    group[1] = row
-                    if (row[3], row[4]) < (group[2][3], group[2][4]):
-                        group[2] = row
-
+        held = None  # the last row waits for the next one
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            key = batch.column(0).to_numpy()
-            after, before = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            doc, place = batch.column(3).fill_null(-(1 << 62)).to_numpy(), batch.column(4).to_numpy()
-            right = np.frombuffer(b"".join(after), dtype=">u4").reshape(n, -1)
-            left = np.frombuffer(b"".join(before), dtype=">u4").reshape(n, -1)
-            if last is None:
-                last = (left[:1], right[:1])
-            keys.append(key)
-            ids.append(doc)
-            places.append(place)
-            lefts.append(common(left, np.concatenate([last[0], left[:-1]])))
-            rights.append(common(right, np.concatenate([last[1], right[:-1]])))
-            last = (left[-1:], right[-1:])
+            rows = pa.Table.from_batches([batch]).select(schema.names).cast(schema)
+            if held is None and edges:
+                yield from out(rows.slice(0, 1), True)
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            same = [(c[1:] == c[:-1]) for c in (rows[x].to_numpy() for x in ("first", "second", "_check", "start"))]
+            none, ids = rows["_id"].is_null().to_numpy(), rows["_id"].fill_null(0).to_numpy()
+            again = same[0] & same[1] & same[2] & same[3] & (none[1:] == none[:-1]) & (ids[1:] == ids[:-1])
+            key = same[0] & same[1]
+            if again.any():  # a repeated input row is not a second place
+                stay = np.flatnonzero(np.concatenate([[True], ~again]))
+                rows = rows.take(pa.array(stay))
+                first, second = rows["first"].to_numpy(), rows["second"].to_numpy()
+                key = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
+            later = rows["later"].to_numpy() | np.concatenate([[False], key])
+            rows = rows.set_column(3, schema.field(3), pa.array(later))
+            found = np.flatnonzero(later[:-1] | key)
+            if len(found):
+                yield from out(rows.take(pa.array(found)), False)
+            held = rows.slice(len(rows) - 1).combine_chunks()
+        if held is not None:
+            if held["later"][0].as_py():
+                yield from out(held, False)
             if edges:
-                # only rows where a group begins or ends, or that come earliest in it, can be needed
-                for a, b in zip(*_groups(key)):
-                    low = a + int(np.lexsort((place[a:b], doc[a:b]))[0])
-                    for r in sorted({a, low, b - 1}):
-                        keep((int(key[r]), after[r], before[r], int(doc[r]), int(place[r])))
-        if keys:
-            key, doc, place, left, right = map(np.concatenate, (keys, ids, places, lefts, rights))
-            rank = np.empty(len(key), dtype=np.int64)
-            rank[np.lexsort((place, doc))] = np.arange(len(key))
-            same = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])  # a repeated input row is not a second place
-            found = [s for s in _spans(key.tolist(), left.tolist(), right.tolist(), rank.tolist(), gram, least)] if not same.any() else \
-                _without_repeats(key, doc, place, left, right, rank, gram, least)
-            if found:
-                row, l, r, later = (np.array(x) for x in zip(*found))
-                start, stop = place[row] - l, place[row] + gram + r
-                yield _batch(doc[row], start, stop, later, None, schema)
-        rows = {r for group in kept.values() for r in group}
-        if rows:
-            yield _batch([r[3] for r in rows], [r[4] for r in rows], [r[4] for r in rows], [False] * len(rows), rows, schema)
+                yield from out(held, True)
 
     return scan
 
 
-def _without_repeats(key, doc, place, left, right, rank, gram, least):
-    """As ``_spans`` where input rows occur twice: such rows stand next to each other and are left out."""
-    stay = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]) | (key[1:] != key[:-1])])
-    rows = np.flatnonzero(stay)
-    return [(int(rows[i]), l, r, later) for i, l, r, later in _spans(
-        key[rows].tolist(), left[rows].tolist(), right[rows].tolist(), rank[rows].tolist(), gram, least)]
-
-
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of the first and the last run of equal keys in a batch."""
-    change = np.flatnonzero(key[1:] != key[:-1]) + 1
-    starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(key)]])
-    return starts[[0, -1]] if len(starts) > 1 else starts, ends[[0, -1]] if len(ends) > 1 else ends
-
-
-def _batch(doc, start, stop, later, rows, schema) -> pa.RecordBatch:
-    ids = pa.array([None if d == -(1 << 62) else int(d) for d in doc], pa.int64())
-    extra = [[r[k] for r in rows] for k in range(3)] if rows else [[None] * len(ids)] * 3
-    return pa.RecordBatch.from_arrays([ids, pa.array(np.array(start, dtype=np.int32)), pa.array(np.array(stop, dtype=np.int32)),
-                                       pa.array([bool(x) for x in later]), *[pa.array(e, f.type) for e, f in zip(extra, list(schema)[4:])]],
-                                      schema=schema)
-
-
 def matches(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """``_id, _check, start, stop, later``: matches in words, not yet merged; a null id matches as the earliest."""
+    """``_id, _check, start, later``: starts of all windows of ``min_words`` words that occur again; a null id matches
+    as the earliest."""
     found = anchors(docs, min_words, gram)
-    each = found.select("_id", "_check", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select(
-        "_id", "_check", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"))
+    each = found.select("_id", "_check", F.explode(F.arrays_zip("hashes", "starts")).alias("a")).select(
+        "_id", "_check", F.col("a.hashes").alias("hash"), F.col("a.starts").alias("starts"))
     again = stored(each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
-    live = stored(each.join(again, "hash").groupBy("_id", "_check").agg(F.collect_set("place").alias("places")))
+    live = stored(each.join(again, "hash").groupBy("_id", "_check").agg(F.collect_set("starts").alias("starts")))
     wanted = broadcast_if_small(live.select(F.col("_check").alias("_want")).distinct())
     some = docs.join(wanted, F.col("_check") == F.col("_want"), "left_semi")
-    key = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_check"] == b["_check"])
     texts = some.alias("t").join(live.alias("l"), F.col("t._id").eqNullSafe(F.col("l._id")) & (F.col("t._check") == F.col("l._check"))).select(
-        F.col("t._id").alias("_id"), "_text", "places")
-    rows = stored(suffixes(texts, min_words, gram))
-    order = ["hash", "after", "before", "_id", "place"]
+        F.col("t._id").alias("_id"), F.col("t._check").alias("_check"), "_text", "starts")
+    rows = stored(suffixes(texts, min_words))
+    order = ["first", "second", "_id", "start", "_check"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    fields = SPAN + ", hash bigint, after binary, before binary"
-    near = stored(arrow(dealt, _scanner(gram, min_words, True), fields))
-    # at most six rows of each task
-    ends = near.filter("hash is not null").select("hash", "after", "before", F.col("doc_id").alias("_id"), F.col("start").alias("place"))
-    across = arrow(ends.distinct().repartition(1).sortWithinPartitions(*order), _scanner(gram, min_words, False), fields)
-    return near.filter("hash is null").select("doc_id", "start", "stop", "later").unionByName(
-        across.select("doc_id", "start", "stop", "later"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("later", F.lit(False))
+    near = stored(arrow(dealt, _scanner(True), FOUND))
+    # two rows of each task
+    ends = near.filter("first is not null").repartition(1).sortWithinPartitions(*order)
+    columns = ["_id", "_check", "start", "later"]
+    return near.filter("first is null").select(*columns).unionByName(arrow(ends, _scanner(False), FOUND).select(*columns))
+
+
+def _runs(min_words: int):
+    """Sorted window starts as passages, where they overlap or touch."""
+    names = ["_id", "_check", "later", "start", "stop"]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            start, later, check = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 2, 1))
+            none, ids = batch.column(0).is_null().to_numpy(zero_copy_only=False), batch.column(0).fill_null(0).to_numpy()
+            new = np.ones(len(start), dtype=bool)
+            new[1:] = (start[1:] > start[:-1] + min_words) | (start[1:] < start[:-1])
+            for x in (later, check, none, ids):
+                new[1:] |= x[1:] != x[:-1]
+            at = np.flatnonzero(new)
+            stop = start[np.append(at[1:], len(start)) - 1] + min_words
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(4)), pa.array(stop.astype(np.int32))], names=names)
+
+    return join
 
 
 def _merge(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -266,7 +207,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_of(text_col).alias("_text"))
     own = own.select("_id", F.xxhash64("_text").alias("_check"), "_text")
-    spans = matches(own, min_words, gram).groupBy("doc_id", "later").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    found = matches(own, min_words, gram).select("_id", "_check", "later", "start")
+    near = found.repartition("_id", "_check", F.floor(F.col("start") / BLOCK)).sortWithinPartitions("_id", "_check", "later", "start")
+    runs = arrow(near, _runs(min_words), "_id bigint, _check bigint, later boolean, start int, stop int")
+    spans = runs.groupBy(F.col("_id").alias("doc_id"), "later").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     @F.pandas_udf("array<struct<start:int,stop:int>>")
     def merged(spans: pd.Series) -> pd.Series:

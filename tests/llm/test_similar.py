@@ -189,6 +189,25 @@ def test_repeats(spark, seed):
         assert cut.get(i, "").split() == [w for k, w in enumerate(words) if k not in later.get(i, ())]
 
 
+def tails(seed, own, foot):
+    """Passages of ``own`` words and a common footer, each in two documents that go on differently."""
+    rng, out = random.Random(seed), {}
+    footer = " ".join(f"f{k}" for k in range(foot))
+    word = lambda: f"r{rng.randint(0, 999999)}"
+    for g in range(60):
+        passage = " ".join(word() for _ in range(own)) + " " + footer
+        for half in (0, 1):
+            out[g + 1000 * half] = " ".join([*(word() for _ in range(rng.randint(0, 9))), passage, *(word() for _ in range(rng.randint(20, 60)))])
+    return out
+
+
+@pytest.mark.parametrize(("own", "foot"), [(10, 45), (6, 45), (20, 40)])
+def test_repeats_with_a_shared_tail(spark, own, foot):
+    texts = tails(own, own, foot)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert covered(suffixes.repeated_spans(rows).collect()) == brute_repeats(texts, 50)
+
+
 def test_repeats_odd_rows(odd, none):
     got = suffixes.repeated_spans(odd).collect()
     assert {r.doc_id for r in got} == {4}  # one document repeats itself
