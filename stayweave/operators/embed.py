@@ -1,6 +1,6 @@
 """Node embeddings from walks: skip-gram with negative samples, trained by joins.
 
-No table of vectors ever reaches the driver. Each epoch joins the weighted node pairs with the
+No table of vectors ever reaches the driver. Each step joins a batch of weighted node pairs with the
 vectors of both ends, sums gradients per node before and after the shuffle, and writes the new
 vectors to the checkpoint folder. The loss of each epoch is kept, and training stops early when
 it no longer falls.
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stayweave import constants as C
 from stayweave.functions.geo import hex_boundary
 from stayweave.operators.walks import TYPE_BITS
-from stayweave.session import cut_lineage
+from stayweave.session import cut_lineage, released
 
 # Adam's decay rates and guard.
 DECAY_1, DECAY_2, GUARD = 0.9, 0.999, 1e-8
@@ -46,11 +46,11 @@ def _start(dim: int, seed: int) -> Column:
 
 def skip_gram(nodes: DataFrame, walks: DataFrame, dim: int = C.EMBEDDING_DIM, context: int = C.CONTEXT_SIZE,
               negatives: int = C.NEGATIVE_SAMPLES, epochs: int = 6, rate: float = 0.05, patience: int = 2,
-              min_delta: float = 0.001, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+              min_delta: float = 0.001, seed: int = 42, steps: int = 1) -> tuple[DataFrame, DataFrame]:
     """Embed the nodes seen by the walks: ``(id, vec)`` and the loss history ``(epoch, step, loss)``.
 
-    ``nodes`` has ``id`` for every node, ``walks`` has ``nodes``. An epoch is one step over all pairs, so ``rate`` is
-    larger than what suits steps over small batches.
+    ``nodes`` has ``id`` for every node, ``walks`` has ``nodes``. An epoch goes once over all pairs, in ``steps`` batches
+    dealt by hash anew each epoch. ``rate`` is larger than what suits steps over small batches.
     """
     spark = nodes.sparkSession
     pairs = cut_lineage(context_pairs(walks, context))
@@ -59,36 +59,43 @@ def skip_gram(nodes: DataFrame, walks: DataFrame, dim: int = C.EMBEDDING_DIM, co
     zero = F.array_repeat(F.lit(0.0), dim)
     state = nodes.select("id").withColumns({"vec": _start(dim, seed), "m": zero, "v": zero, "loss": F.lit(0.0)})
     total = pairs.agg(F.sum("weight")).first()[0]
-    history, best, waited = [], float("inf"), 0
+    history, best, waited, done = [], float("inf"), 0, 0
     for epoch in range(1, epochs + 1):
-        positive = pairs.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.lit(1.0).alias("label"))
-        samples = positive.unionByName(_negatives(pairs, sizes, negatives, epoch))
-        ends = samples.join(state.select(F.col("id").alias("src"), F.col("vec").alias("a")), "src").join(
-            state.select(F.col("id").alias("dst"), F.col("vec").alias("b")), "dst")
-        dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        scored = ends.withColumn("_p", 1 / (1 + F.exp(-dot))).withColumns({
-            "_g": (F.col("_p") - F.col("label")) * F.col("weight"),
-            "_loss": -F.col("weight") * F.log(F.when(F.col("label") > 0, F.col("_p")).otherwise(1 - F.col("_p")) + 1e-15)})
-        pulls = scored.select(F.explode(F.array(
-            F.struct(F.col("src").alias("id"), F.col("b").alias("w"), F.col("_g").alias("g"), "weight",
-                     F.col("_loss").alias("loss")),
-            F.struct(F.col("dst").alias("id"), F.col("a").alias("w"), F.col("_g").alias("g"), "weight",
-                     F.lit(0.0).alias("loss")))).alias("p")).select("p.*")
-        grads = pulls.groupBy("id").agg(
-            F.array(*[F.sum(F.col("w")[i] * F.col("g")) for i in range(dim)]).alias("sums"),
-            F.sum("weight").alias("_w"), F.sum("loss").alias("_new_loss"))
-        grads = grads.select("id", F.transform("sums", lambda s: s / F.col("_w")).alias("grad"), "_new_loss")
-        known = state.join(grads, "id", "left").withColumn("grad", F.coalesce("grad", zero))
-        moved = known.withColumns({
-            "m": F.zip_with("m", "grad", lambda m, g: m * DECAY_1 + g * (1 - DECAY_1)),
-            "v": F.zip_with("v", "grad", lambda v, g: v * DECAY_2 + g * g * (1 - DECAY_2))})
-        step = F.zip_with("m", "v", lambda m, v: rate * (m / (1 - DECAY_1**epoch)) / (
-            F.sqrt(v / (1 - DECAY_2**epoch)) + GUARD))
-        state = cut_lineage(moved.select(
-            "id", F.zip_with("vec", step, lambda x, d: x - d).alias("vec"), "m", "v",
-            F.coalesce("_new_loss", F.lit(0.0)).alias("loss")))
-        loss = state.agg(F.sum("loss")).first()[0] / total
-        history.append((epoch, epoch, float(loss)))
+        summed = 0.0
+        for turn in range(steps):
+            done += 1
+            batch = pairs if steps == 1 else pairs.filter(F.pmod(F.xxhash64("dst", "src", F.lit(seed), F.lit(epoch)), F.lit(steps)) == turn)
+            positive = batch.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.lit(1.0).alias("label"))
+            samples = positive.unionByName(_negatives(batch, sizes, negatives, epoch))
+            ends = samples.join(state.select(F.col("id").alias("src"), F.col("vec").alias("a")), "src").join(
+                state.select(F.col("id").alias("dst"), F.col("vec").alias("b")), "dst")
+            dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+            scored = ends.withColumn("_p", 1 / (1 + F.exp(-dot))).withColumns({
+                "_g": (F.col("_p") - F.col("label")) * F.col("weight"),
+                "_loss": -F.col("weight") * F.log(F.when(F.col("label") > 0, F.col("_p")).otherwise(1 - F.col("_p")) + 1e-15)})
+            pulls = scored.select(F.explode(F.array(
+                F.struct(F.col("src").alias("id"), F.col("b").alias("w"), F.col("_g").alias("g"), "weight",
+                         F.col("_loss").alias("loss")),
+                F.struct(F.col("dst").alias("id"), F.col("a").alias("w"), F.col("_g").alias("g"), "weight",
+                         F.lit(0.0).alias("loss")))).alias("p")).select("p.*")
+            grads = pulls.groupBy("id").agg(
+                F.array(*[F.sum(F.col("w")[i] * F.col("g")) for i in range(dim)]).alias("sums"),
+                F.sum("weight").alias("_w"), F.sum("loss").alias("_new_loss"))
+            grads = grads.select("id", F.transform("sums", lambda s: s / F.col("_w")).alias("grad"), "_new_loss")
+            known = state.join(grads, "id", "left").withColumn("grad", F.coalesce("grad", zero))
+            moved = known.withColumns({
+                "m": F.zip_with("m", "grad", lambda m, g: m * DECAY_1 + g * (1 - DECAY_1)),
+                "v": F.zip_with("v", "grad", lambda v, g: v * DECAY_2 + g * g * (1 - DECAY_2))})
+            step = F.zip_with("m", "v", lambda m, v: rate * (m / (1 - DECAY_1**done)) / (
+                F.sqrt(v / (1 - DECAY_2**done)) + GUARD))
+            last, state = state, cut_lineage(moved.select(
+                "id", F.zip_with("vec", step, lambda x, d: x - d).alias("vec"), "m", "v",
+                F.coalesce("_new_loss", F.lit(0.0)).alias("loss")))
+            if done > 1:
+                released(last)
+            summed += state.agg(F.sum("loss")).first()[0]
+        loss = summed / total
+        history.append((epoch, done, float(loss)))
         best, waited = (loss, 0) if loss < best - min_delta else (best, waited + 1)
         if waited >= patience:
             break

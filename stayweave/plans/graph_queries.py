@@ -179,13 +179,13 @@ def walks_3_steps(spark, folder):
     return walks.random_walks(nodes, edges, start, path, 3, 4).select("walk", F.array_join("path", "-").alias("path"))
 
 
-def _embedded(spark, folder, epochs=2, dim=16):
+def _embedded(spark, folder, epochs=6, dim=64, length=20, per_node=20, steps=8):
     stops, valid, nodes = _places(spark, folder)
     start, path = walks.METAPATHS["places"]
-    walked = walks.random_walks(nodes, walks.index_edges(_edges(stops, valid), nodes), start, path, 8, 2)
+    walked = walks.random_walks(nodes, walks.index_edges(_edges(stops, valid), nodes), start, path, length, per_node)
     ids = nodes.filter("node_type <> 'group'").withColumn("id", walks.node_id(F.col("node_type"), F.col("idx")))
     ids = cut_lineage(ids)
-    vectors, losses = embed.skip_gram(ids.select("id"), walks.with_node_ids(walked, start, path), dim=dim, epochs=epochs)
+    vectors, losses = embed.skip_gram(ids.select("id"), walks.with_node_ids(walked, start, path), dim=dim, epochs=epochs, steps=steps)
     return ids, vectors, losses
 
 

@@ -77,6 +77,25 @@ def test_training_lowers_the_loss_and_pulls_neighbours_together(spark):
     assert embed.export_embeddings(vectors, nodes, "hexagon", wide=True).columns == ["node_idx", "key", *[f"x{i}" for i in range(8)]]
 
 
+def test_batches_make_more_steps_in_an_epoch(spark):
+    walked = spark.createDataFrame([([i, (1 << walks.TYPE_BITS) + i % 3] * 4,) for i in range(12)], "nodes array<long>")
+    nodes = walked.select(F.explode("nodes").alias("id")).distinct()
+    got = {k: embed.skip_gram(nodes, walked, dim=8, epochs=3, patience=3, steps=k)[1].orderBy("epoch").collect() for k in (1, 4)}
+    assert [r["step"] for r in got[4]] == [4, 8, 12] and got[4][-1]["loss"] < got[1][-1]["loss"]
+
+
+def test_node_embeddings_are_registered_whole(spark, monkeypatch):
+    from conftest import SMALL
+
+    from stayweave.plans import graph_queries
+
+    seen, plain = [], walks.random_walks
+    monkeypatch.setattr(walks, "random_walks", lambda *a: seen.append(a[4:]) or plain(*a[:4], 1, 1))
+    monkeypatch.setattr(embed, "skip_gram", lambda *a, **b: seen.append(b) or (None, None))
+    graph_queries._embedded(spark, SMALL)
+    assert seen == [(20, 20), {"dim": 64, "epochs": 6, "steps": 8}]
+
+
 def test_communities_of_two_cliques(spark):
     cliques = [(f"{p}{i}", f"{p}{j}", 1) for p in "ab" for i in range(5) for j in range(i)] + [("a0", "b0", 1)]
     edges = spark.createDataFrame(cliques, "u string, v string, weight int")
