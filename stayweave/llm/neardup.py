@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayweave.llm.base import arrow, stored
+from stayweave.llm.base import arrow, stored, union_all
 from stayweave.operators.components import connected_components
 from stayweave.session import broadcast_if_small
 
@@ -118,22 +118,8 @@ def _dealt(codes: DataFrame, dims: int, least_cosine: float) -> DataFrame:
     return arrow(codes.select("node", "_label", "codes", "grid"), deal, "block int, cell bigint, home boolean, _label string, node bigint")
 
 
-def near_copies(rows: DataFrame, least_cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding",
-                label_col: str = "label") -> DataFrame:
-    """``id, n_links, component_id, kept`` for each row.
-
-    Vectors are compared only within equal labels, in double precision. Vectors that are null or zero, hold null or
-    non-finite numbers or have no label link with nothing, nor do vectors of another length than most have. Equal
-    vectors link like others, rows that repeat an id included. An empty table gives an empty result.
-    """
-    base = rows.select(F.col(id_col).alias("_id"), F.col(label_col).cast("string").alias("_label"), F.col(vec_col).alias("_raw"))
-    base = stored(base.withColumn("_row", F.monotonically_increasing_id()))
-    good = usable_vectors(base, "_raw")
-    lengths = good.groupBy(F.size("_v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not lengths:
-        return base.select(F.col("_id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = lengths[0]["d"]
-    named = stored(good.filter(F.size("_v") == dims).select("_row", "_id", "_label", "_v", F.sha2(F.array_join("_v", ","), 256).alias("_same")))
+def _linked(named: DataFrame, dims: int, least_cosine: float) -> DataFrame:
+    """``_row, n_links, component_id`` of vectors of one length."""
     same = stored(named.groupBy("_label", "_same").agg(F.min("_row").alias("node"), F.count("*").alias("weight"), F.min("_id").alias("least_id")))
     points = named.select("_row", "_v").join(same, F.col("_row") == F.col("node"))
     many = points.groupBy("_label").agg(F.count("*").alias("n")).withColumn(
@@ -209,7 +195,25 @@ def near_copies(rows: DataFrame, least_cosine: float = 0.93, id_col: str = "vec_
     nodes = stored(nodes)
     least = stored(nodes.groupBy("_class").agg(F.min("least_id").alias("component_id")))
     nodes = stored(nodes.join(least, "_class").select("_label", "_same", "n_links", "component_id"))
-    linked = named.select("_row", "_id", "_label", "_same").join(nodes, ["_label", "_same"]).select("_row", "n_links", "component_id")
+    return named.select("_row", "_id", "_label", "_same").join(nodes, ["_label", "_same"]).select("_row", "n_links", "component_id")
+
+
+def near_copies(rows: DataFrame, least_cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding",
+                label_col: str = "label") -> DataFrame:
+    """``id, n_links, component_id, kept`` for each row.
+
+    Vectors are compared only within equal labels, in double precision. Vectors that are null or zero, hold null or
+    non-finite numbers or have no label link with nothing, nor do vectors of different lengths; each length is joined
+    by itself. Equal vectors link like others, rows that repeat an id included. An empty table gives an empty result.
+    """
+    base = rows.select(F.col(id_col).alias("_id"), F.col(label_col).cast("string").alias("_label"), F.col(vec_col).alias("_raw"))
+    base = stored(base.withColumn("_row", F.monotonically_increasing_id()))
+    good = usable_vectors(base, "_raw")
+    lengths = [r["d"] for r in good.groupBy(F.size("_v").alias("d")).agg(F.count("*").alias("n")).filter("n > 1").orderBy("d").collect()]
+    if not lengths:
+        return base.select(F.col("_id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
+    linked = union_all([_linked(stored(good.filter(F.size("_v") == d).select(
+        "_row", "_id", "_label", "_v", F.sha2(F.array_join("_v", ","), 256).alias("_same"))), d, least_cosine) for d in lengths])
     out = base.select("_row", "_id").join(linked, "_row", "left").select(
         F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component_id", "_id").alias("component_id"))

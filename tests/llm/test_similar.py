@@ -135,6 +135,15 @@ def test_vectors(spark, monkeypatch, cell):
     assert neardup.near_copies(table.limit(0)).count() == 0
 
 
+def test_vectors_of_two_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.standard_normal(d)], i % 2) for i, d in enumerate([16] * 12 + [8] * 6)]
+    rows += [(100 + i, [x * 1.01 for x in v], c) for i, v, c in rows]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_copies(table).collect()}
+    assert got == brute_vectors(rows, 0.93) and got[112] == (1, 12, False)
+
+
 def test_vector_query(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.QUERIES["op2_embedding_neardup"](spark, SMALL).collect()}
