@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, with production parameters, and their SQL."""
+"""The operators as queries over the given tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayweave.llm import bitplanes, exact, jaccard, langid, neardup, packing, pieces, suffixes, toxicity, wordpiece
+from stayweave.llm import align, bitplanes, bytepairs, exact, jaccard, langid, neardup, packing, pieces, runs, suffixes, toxicity, wordpiece
 from stayweave.llm.base import table
 from stayweave.session import configure, shared_folder
 
@@ -115,3 +115,47 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, folder, "documents"))
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = align.align_tokens(table(spark, folder, "documents"), a, b)
+    found = align.written_groups(aligned).withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)))
+    joined = found.drop("groups").join(align.link_statistics(aligned), "_row", "left")
+    return joined.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links",
+                         F.coalesce("n_best", F.lit(0)).cast("bigint").alias("n_best"),
+                         F.coalesce("count_sum", F.lit(0)).cast("bigint").alias("count_sum"), "groups_sha256")
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bytepairs.encode_bytes(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    decoded = bytepairs.decode_bytes(
+        encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "ids"), ranks)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def _with_loops(docs: DataFrame) -> DataFrame:
+    """The contract's texts: every tenth id, by hash, ends in a repetition of its own words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)")
+    rows = docs.select("doc_id", "text", (h % 10 == 0).alias("looped"), F.floor(h / 10).alias("g"))
+    some = rows.filter("looped").select("doc_id", words.alias("w"), "g").withColumn("n", F.size("w").cast("bigint"))
+    a = F.when(F.col("n") > 0, F.col("g") % F.col("n"))
+    some = some.withColumn("a", a).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    changed = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: F.get("w", place(i).cast("int")))
+    text = F.when(F.col("n") > 0, F.array_join(changed, " ")).otherwise("")
+    return rows.filter("looped is null or not looped").select("doc_id", "text").unionByName(some.select("doc_id", text.alias("text")))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.periodic_runs(_with_loops(table(spark, folder, "documents"))).withColumn("best", runs.strongest())
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    milli = F.expr("(1000 * best.length) div best.period")
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+                        milli.alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
