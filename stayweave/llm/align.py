@@ -4,8 +4,8 @@ Both sides encode each text; the byte ranges of their tokens are put side by sid
 keyed by document: each token's start finds the token of the other side that covers it. The union of both directions
 holds every overlap, and overlaps whose ends are equal close a group: up to there both sides have cut the same bytes.
 
-How often an id pair is linked is counted over the whole corpus. Pairs are counted within a batch first, so what is
-shuffled are distinct pairs, not occurrences; each document's distinct pairs then meet those counts in a join.
+How often an id pair is linked is counted over the whole corpus. A document's links are kept as distinct pairs, tasks count
+theirs before the shuffle, and each document's pairs then meet the counts in a join.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ from stayweave.llm.base import arrow, stored, text_of
 from stayweave.llm.bytepairs import ByteEncoder, byte_vocabulary
 
 MARK = "▁"
-#: Bytes of text whose tokens are joined at a time, pairs that are held at a time, bytes of counts that are broadcast.
-SLICE, PAIRS, BROADCAST_BYTES = 1 << 20, 1 << 21, 32 << 20
-ALIGNED = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+#: Bytes of text whose tokens are joined at a time, pairs held at a time, bytes of counts that are broadcast, links of a row.
+SLICE, PAIRS, BROADCAST_BYTES = 1 << 20, 1 << 20, 32 << 20
+LINKS = 1 << 17
+SIDES = ["a_ids", "b_ids", "a_sizes", "b_sizes"]
+LINK = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
+ALIGNED = ", ".join(f"{n} array<int>" for n in SIDES) + ", links array<struct<a:int,b:int,n:int>>"
 _SHIFT = 20
 
 
@@ -146,26 +149,42 @@ def align_texts(texts: list[str], a_path: str, b_path: str) -> pa.RecordBatch:
         names=["a_ids", "b_ids", "a_sizes", "b_sizes"])
 
 
+def _padded(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """The batch with nulls for the columns it lacks."""
+    have = set(batch.schema.names)
+    return pa.RecordBatch.from_arrays(
+        [batch.column(f.name) if f.name in have else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
+
+
 def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_row, id, a_ids, b_ids, a_sizes, b_sizes``: tokens of both sides of each text and the sizes of its groups.
+    """``_row, id, a_ids, b_ids, a_sizes, b_sizes, links``: a row per text with the tokens of both sides and the sizes of
+    its groups, and rows with its ``links``: distinct linked id pairs and how often each is linked.
 
-    A text without tokens (null, empty, or not given back by one side's tokens) has empty lists. ``_row`` tells rows
-    apart that share an id; null ids are aligned like others; an empty table gives none; other columns are not read.
-    The result is stored, so that what is counted from it doesn't encode again.
+    A text without tokens (null, empty, or not given back by one side's tokens) has empty lists and no links. ``_row`` tells
+    rows apart that share an id; null ids are aligned like others; an empty table gives none; other columns are not
+    read. The result is stored, so that what is counted from it doesn't encode again.
     """
+    ints = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, at = batch.column(2), 0
+            schema = pa.schema([("_row", pa.int64()), (id_col, batch.schema.field(1).type), *[(n, ints) for n in SIDES], ("links", pa.list_(LINK))])
             while at < batch.num_rows:
                 some, size, end = [], 0, at
                 while end < batch.num_rows and (not some or size < SLICE):
                     some.append(texts[end].as_py())
                     size += len(some[-1])
                     end += 1
-                got = align_texts(some, a_path, b_path)
-                head = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([head.column(0), head.column(1), *got.columns], names=["_row", id_col, *got.schema.names])
+                got, head = align_texts(some, a_path, b_path), batch.slice(at, end - at)
+                yield _padded(pa.RecordBatch.from_arrays([head.column(0), head.column(1), *got.columns], names=["_row", id_col, *SIDES]), schema)
+                for owners, pairs, n in linked_pairs(got):
+                    for lo in range(0, len(owners), LINKS):
+                        own, first = np.unique(owners[lo:lo + LINKS], return_index=True)
+                        each = pa.StructArray.from_arrays(
+                            [pa.array(x[lo:lo + LINKS].astype(np.int32)) for x in (pairs >> _SHIFT, pairs & ((1 << _SHIFT) - 1), n)], fields=list(LINK))
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(each)), pa.int32()), each)
+                        yield _padded(pa.RecordBatch.from_arrays([head.column(0).take(pa.array(own)), lists], names=["_row", "links"]), schema)
                 at = end
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias(id_col), text_of(text_col).alias("_own_text"))
@@ -242,39 +261,27 @@ def _one_by_one(doc: int, a_group: np.ndarray, a: np.ndarray, b_group: np.ndarra
         at = end
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """``pair, n_docs, best``: documents that hold an id pair linked, and whether no pair of its side-A id has more."""
+def _links(aligned: DataFrame) -> DataFrame:
+    return aligned.filter("links is not null").select("_row", F.explode("links").alias("l")).select("_row", "l.a", "l.b", "l.n")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, pairs, _ in linked_pairs(batch):
-                keys, counts = np.unique(pairs, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "n"])
 
-    counts = stored(arrow(aligned.drop("_row"), run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n_docs")))
-    a_id = F.shiftright("pair", _SHIFT).alias("a_id")
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """``a, b, n_docs, best``: documents that hold an id pair linked, and whether no pair of its side-A id has more."""
+    # a document's pairs are distinct, so rows are documents; tasks add up their own before the shuffle
+    counts = stored(_links(aligned).groupBy("a", "b").agg(F.count("*").alias("n_docs")))
     # a row per side-A id: the vocabulary bounds it
-    best = counts.groupBy(a_id).agg(F.max("n_docs").alias("most"))
-    return counts.withColumn("a_id", a_id).join(F.broadcast(best), "a_id").select(
-        "pair", "n_docs", (F.col("n_docs") == F.col("most")).alias("best"))
+    best = counts.groupBy("a").agg(F.max("n_docs").alias("most"))
+    return counts.join(F.broadcast(best), "a").select("a", "b", "n_docs", (F.col("n_docs") == F.col("most")).alias("best"))
 
 
 def link_statistics(aligned: DataFrame) -> DataFrame:
     """``_row, n_best, count_sum`` of each document with links: links whose pair no other pair of its side-A id beats in
     documents, and the sum of the pairs' counts over all links."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for docs, pairs, links in linked_pairs(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[docs]), pa.array(pairs), pa.array(links)], names=["_row", "pair", "links"])
-
     counts = stored(pair_counts(aligned))
-    if counts.count() * 20 <= BROADCAST_BYTES:  # two numbers and a flag a row; a larger table is joined by shuffle
+    if counts.count() * 24 <= BROADCAST_BYTES:  # two ids, a number and a flag a row; a larger table is joined by shuffle
         counts = F.broadcast(counts)
-    per_pair = arrow(aligned, run, "_row bigint, pair bigint, links bigint").join(counts, "pair")
-    return per_pair.groupBy("_row").agg(
-        F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("links") * F.col("n_docs")).alias("count_sum"))
+    return _links(aligned).join(counts, ["a", "b"]).groupBy("_row").agg(
+        F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("n_docs")).alias("count_sum"))
 
 
 @lru_cache(maxsize=2)
@@ -309,6 +316,6 @@ def written_groups(aligned: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 [batch.column(0), batch.column(1), *[pa.array(np.diff(e)) for e in edges], pa.array(np.diff(running[edges[2]])),
                  pa.array(groups, pa.binary()).cast(pa.string())], names=["_row", id_col, "n_a", "n_b", "n_groups", "n_links", "groups"])
 
-    rows = aligned.select("_row", id_col, "a_ids", "b_ids", "a_sizes", "b_sizes")
+    rows = aligned.filter("links is null").select("_row", id_col, *SIDES)
     return arrow(rows, run, f"_row bigint, `{id_col}` {rows.schema[1].dataType.simpleString()}, n_a bigint, n_b bigint, n_groups bigint, "
                             "n_links bigint, groups string")
