@@ -71,3 +71,4 @@ COSINE_HIGH, COSINE_LOW, COSINE_COLLAPSED = 0.95, 0.1, 0.9
 COSINE_SAMPLE = 1000
 MIN_CELLS = 100
 LOSS_CONVERGED = 0.9
+RIDGE_SIGNAL = 0.1

@@ -1,8 +1,8 @@
 """Connected components and distance linkage as joins.
 
-Hot spots never pair with themselves: points collapse into squares whose members are all linked,
-and single points are compared only where two squares are at the edge of the radius and still
-belong to different components.
+Hot spots never pair with themselves: points collapse into squares whose members are all linked.
+Two squares at the edge of the radius that still belong to different components are quartered together until
+boxes of points decide, and single points are compared only where few are left.
 """
 
 from __future__ import annotations
@@ -87,6 +87,64 @@ def _square_name(keys: list[str], x: str, y: str):
     return F.to_json(F.struct(*keys, F.col(x).alias("sx"), F.col(y).alias("sy")))
 
 
+#: Point pairs that two cells may compare; more descend into quarters.
+LEAF_PAIRS = 1024
+
+
+def _near_pairs(points: DataFrame, pairs: DataFrame, keys: list[str], radius: float, leaf: int = LEAF_PAIRS) -> DataFrame:
+    """``src, dst`` of the cell pairs that hold two points within ``radius``.
+
+    ``points`` has ``cx, cy, px, py``, ``pairs`` two cells ``ax, ay`` and ``bx, by`` with the labels to link. The boxes of
+    the points in both cells decide most pairs: all near or all far. The rest compare points if these are few, or else both
+    cells are quartered and the quarters judged the same way. Labels linked once are not looked at again.
+    """
+    found = []
+    pairs = cut_lineage(pairs)
+    while pairs.limit(1).count():
+        here = points.join(pairs.select(*keys, F.explode(F.array(
+            F.struct(F.col("ax").alias("cx"), F.col("ay").alias("cy")), F.struct(F.col("bx").alias("cx"), F.col("by").alias("cy")))).alias("c"))
+            .select(*keys, "c.*").distinct(), [*keys, "cx", "cy"], "left_semi")
+        boxes = cut_lineage(here.groupBy(*keys, "cx", "cy").agg(
+            F.count("*").alias("n"), *[f(c).alias(f"{c}_{n}") for c in ("px", "py") for n, f in (("low", F.min), ("high", F.max))]))
+        side = lambda s: boxes.select(*keys, *[F.col(c).alias(f"{s}_{c}" if c[0] != "c" else s + c[1]) for c in boxes.columns if c not in keys])
+        met = pairs.join(side("a"), [*keys, "ax", "ay"]).join(side("b"), [*keys, "bx", "by"])
+
+        def span(c, far):
+            one, two = F.col(f"a_{c}_high") - F.col(f"b_{c}_low"), F.col(f"b_{c}_high") - F.col(f"a_{c}_low")
+            return F.greatest(one, two) if far else F.greatest(F.lit(0.0), -one, -two)
+
+        reach = lambda far: F.pow(span("px", far), 2) + F.pow(span("py", far), 2)
+        state = F.when(reach(True) <= radius * radius, "near").when(reach(False) > radius * radius, "far").when(
+            F.col("a_n") * F.col("b_n") <= leaf, "leaf").otherwise("split")
+        judged = cut_lineage(met.select(*keys, "ax", "ay", "bx", "by", "src", "dst", state.alias("state")).filter("state <> 'far'"))
+        spot = lambda s: points.select(*keys, *[F.col(f"{p}{c}").alias(f"{s}{q}{c}") for p, q in (("c", ""), ("p", "p")) for c in "xy"])
+        close = F.pow(F.col("apx") - F.col("bpx"), 2) + F.pow(F.col("apy") - F.col("bpy"), 2) <= radius * radius
+        compared = judged.filter("state = 'leaf'").join(spot("a"), [*keys, "ax", "ay"]).join(spot("b"), [*keys, "bx", "by"]).filter(close)
+        found.append(cut_lineage(judged.filter("state = 'near'").select("src", "dst").unionByName(compared.select("src", "dst")).distinct()))
+        left = cut_lineage(judged.filter("state = 'split'").join(found[-1], ["src", "dst"], "left_anti"))
+        released(boxes, judged, pairs)
+        pairs = left
+        if not left.limit(1).count():
+            break
+        # a quarter's number halves to its cell's, so both children of a pair come by joins on the parents
+        points = cut_lineage(points.join(left.select(*keys, F.explode(F.array(
+            F.struct(F.col("ax").alias("cx"), F.col("ay").alias("cy")), F.struct(F.col("bx").alias("cx"), F.col("by").alias("cy")))).alias("c"))
+            .select(*keys, "c.*").distinct(), [*keys, "cx", "cy"], "left_semi").select(
+            *keys, F.floor(F.col("px") * (4 * math.sqrt(2) / radius) * 2.0 ** len(found)).cast("bigint").alias("cx"),
+            F.floor(F.col("py") * (4 * math.sqrt(2) / radius) * 2.0 ** len(found)).cast("bigint").alias("cy"), "px", "py"))
+        quarters = points.select(*keys, "cx", "cy").distinct()
+        child = lambda s: quarters.select(*keys, F.shiftright("cx", 1).alias(f"{s}x"), F.shiftright("cy", 1).alias(f"{s}y"),
+                                          F.col("cx").alias(f"_{s}x"), F.col("cy").alias(f"_{s}y"))
+        pairs = cut_lineage(left.join(child("a"), [*keys, "ax", "ay"]).join(child("b"), [*keys, "bx", "by"]).select(
+            *keys, F.col("_ax").alias("ax"), F.col("_ay").alias("ay"), F.col("_bx").alias("bx"), F.col("_by").alias("by"), "src", "dst"))
+    if not found:
+        return pairs.select("src", "dst")
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
 def radius_components(points: DataFrame, keys: list[str], radius: float, x: str = "x", y: str = "y",
                       name: str = "component") -> DataFrame:
     """Label ``points`` so that two points of a key share a label when a chain of steps of at most
@@ -108,12 +166,9 @@ def radius_components(points: DataFrame, keys: list[str], radius: float, x: str
                               F.col("_piece").alias("_to")), [*keys, "tx", "ty"])
         .filter("_from <> _to")
     )
-    far = distinct.select(*keys, F.col("sx").alias("tx"), F.col("sy").alias("ty"),
-                          F.col("px").alias("qx"), F.col("py").alias("qy"))
-    near = F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2) <= radius * radius
-    links = cut_lineage(
-        open_pairs.join(distinct, [*keys, "sx", "sy"]).join(far, [*keys, "tx", "ty"]).filter(near)
-        .select(F.col("_from").alias("src"), F.col("_to").alias("dst")).distinct())
+    links = _near_pairs(distinct.select(*keys, F.col("sx").alias("cx"), F.col("sy").alias("cy"), "px", "py"), open_pairs.select(
+        *keys, F.col("sx").alias("ax"), F.col("sy").alias("ay"), F.col("tx").alias("bx"), F.col("ty").alias("by"),
+        F.col("_from").alias("src"), F.col("_to").alias("dst")), keys, radius)
     merged = connected_components(sure_labels.select(F.col("_piece").alias("node")).distinct(), links)
     final = labelled.join(merged, F.col("_piece") == F.col("node")).select(
         *keys, "sx", "sy", F.col("component").alias(name))

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayweave import constants as C
+from stayweave.operators.cluster import principal_components
 from stayweave.operators.filters import sample_rows, stable_hash
 from stayweave.operators.graph import dense_ids
 from stayweave.operators.weights import t_test_p
@@ -187,6 +189,40 @@ def ridge_cv(rows: DataFrame, features: str, target: str, key: str, alpha: float
     return spark.createDataFrame(scores, "fold int, r2 double")
 
 
+def ridge_index(rows: DataFrame, features: str, targets: list[str], key: str, alpha: float = 1.0, folds: int = 5,
+                min_rows: int = 50) -> DataFrame:
+    """``target, n, mean, std, verdict``: held-out R2 of a ridge regression of each target over ``folds`` folds.
+
+    Rows count where all targets are known. A mean above ``RIDGE_SIGNAL`` is a signal; with ``min_rows`` rows or
+    fewer nothing is fitted, and the verdict says so.
+    """
+    known = rows.filter(" and ".join(f"`{t}` is not null and not isnan(`{t}`)" for t in targets)).select(key, features, *targets)
+    known = cut_lineage(known)
+    n, out = known.count(), []
+    for target in targets:
+        scores = [r["r2"] for r in ridge_cv(known, features, target, key, alpha, folds, min_rows).collect()]  # a row per fold
+        if not scores:
+            out.append((target, n, None, None, "too few rows"))
+        else:
+            mean = float(np.mean(scores))
+            out.append((target, n, mean, float(np.std(scores)), "signal" if mean > C.RIDGE_SIGNAL else "little"))
+    return rows.sparkSession.createDataFrame(out, "target string, n bigint, mean double, std double, verdict string")
+
+
+def component_correlations(rows: DataFrame, features: str, targets: list[str], k: int = 2) -> DataFrame:
+    """``a, b, r, n, p, significant``: each target against each of the first ``k`` principal components of an array column.
+
+    A component has no sign of its own; it gets the one by which its r with the first target is not negative.
+    """
+    known = cut_lineage(rows.select(*targets, array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("features")))
+    parts, _ = principal_components(known, k, k=k)
+    names = [f"pc{i + 1}" for i in range(k)]
+    wide = parts.select(*targets, *[F.col("pca")[i].alias(n) for i, n in enumerate(names)])
+    found = correlations(wide, [(t, n) for t in targets for n in names])
+    first = found.filter(F.col("a") == targets[0]).select("b", F.when(F.col("r") < 0, -1.0).otherwise(1.0).alias("_s"))
+    return found.join(F.broadcast(first), "b").select("a", "b", (F.col("r") * F.col("_s")).alias("r"), "n", "p", "significant")  # k rows
+
+
 def loss_checks(losses: DataFrame, run: str = "run") -> DataFrame:
     """First and last loss of each run, the reduction in percent and whether it converged."""
     ends = losses.groupBy(run).agg(

@@ -1,13 +1,18 @@
-"""Node embeddings from walks: skip-gram with negative samples, trained by joins.
+"""Node embeddings from walks: skip-gram with negative samples, trained block by block.
 
-No table of vectors ever reaches the driver. Each step joins a batch of weighted node pairs with the
-vectors of both ends, sums gradients per node before and after the shuffle, and writes the new
-vectors to the checkpoint folder. The loss of each epoch is kept, and training stops early when
-it no longer falls.
+Nodes are hashed into blocks, and node pairs into cells of two blocks. In a turn every block meets one other, so the
+cells of a turn share no vector and are trained side by side: a task gets the vectors of its two blocks and streams the
+cell's pairs, in hash order, through small steps of Adam with negatives drawn from the same blocks. One shuffle brings both
+together; turns follow until every two blocks, and each block alone, have met. A block's size is bounded, so more nodes
+make more blocks and more tasks; the pairs of a hub spread over all cells of its block and are never held at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,8 @@ from stayweave.session import cut_lineage, released
 
 # Adam's decay rates and guard.
 DECAY_1, DECAY_2, GUARD = 0.9, 0.999, 1e-8
+#: Nodes of a block (a task holds two), blocks at least (an even number), and pairs of a step.
+BLOCK_NODES, MIN_BLOCKS, BATCH = 50_000, 4, 1024
 
 
 def context_pairs(walks: DataFrame, context: int = C.CONTEXT_SIZE) -> DataFrame:
@@ -28,78 +35,175 @@ def context_pairs(walks: DataFrame, context: int = C.CONTEXT_SIZE) -> DataFrame:
     return walks.select(F.explode(pairs).alias("p")).groupBy("p.src", "p.dst").agg(F.count("*").alias("weight"))
 
 
-def _negatives(pairs: DataFrame, sizes: dict[int, int], k: int, epoch: int) -> DataFrame:
-    """``k`` hash-drawn nodes of the target's type for each pair, the pair's weight split among them."""
-    kind = F.shiftright("dst", TYPE_BITS)
-    size = F.create_map(*[F.lit(v) for t, n in sizes.items() for v in (t, n)])[kind.cast("int")]
-    drawn = F.pmod(F.xxhash64("src", "dst", "_j", F.lit(epoch)), size)
-    return pairs.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(k)))).select(
-        "src", (F.shiftleft(kind, TYPE_BITS) + drawn).alias("dst"), (F.col("weight") / k).alias("weight"),
-        F.lit(0.0).alias("label"))
+class BlockTrainer:
+    """Vectors of the nodes a task holds, and steps of Adam over batches of weighted pairs of them."""
+
+    def __init__(self, ids: np.ndarray, state: list[np.ndarray], rate: float, negatives: int, seed: list[int]):
+        order = np.argsort(ids)
+        self.ids, (self.vec, self.m, self.v, self.n) = ids[order], [x[order] for x in state]
+        self.rate, self.negatives, self.draws = rate, negatives, np.random.default_rng(seed)
+        kinds = self.ids >> TYPE_BITS
+        # ids of one type are neighbours here, so a negative of a node's type is a draw from a range
+        self.low = np.searchsorted(kinds, kinds, "left")
+        self.size = np.searchsorted(kinds, kinds, "right") - self.low
+
+    def step(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> float:
+        """One step; the loss of the batch before it. Negatives replace the target by a held node of its type."""
+        s, d = np.searchsorted(self.ids, src), np.searchsorted(self.ids, dst)
+        w = (weight / weight.sum()).astype(np.float32)
+        drawn = (self.draws.random((len(d), self.negatives)) * self.size[d][:, None]).astype(np.int64) + self.low[d][:, None]
+        a, b, c = self.vec[s], self.vec[d], self.vec[drawn]
+        near = 1 / (1 + np.exp(-np.einsum("ij,ij->i", a, b)))
+        far = 1 / (1 + np.exp(-np.einsum("ij,ikj->ik", a, c)))
+        loss = -(w * np.log(near + 1e-15)).sum() - (w[:, None] * np.log(1 - far + 1e-15)).sum() / self.negatives
+        g, h = ((near - 1) * w)[:, None], far * w[:, None] / self.negatives
+        pulls = np.concatenate([g * b + np.einsum("ik,ikj->ij", h, c), g * a, (h[:, :, None] * a[:, None, :]).reshape(-1, a.shape[1])])
+        rows = np.concatenate([s, d, drawn.ravel()])
+        order = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        self._move(rows[order][first], np.add.reduceat(pulls[order], first, axis=0))
+        return float(loss)
+
+    def _move(self, rows: np.ndarray, grad: np.ndarray) -> None:
+        """Adam on the rows of a batch alone; each row corrects by how often it has moved."""
+        self.n[rows] += 1
+        self.m[rows] = DECAY_1 * self.m[rows] + (1 - DECAY_1) * grad
+        self.v[rows] = DECAY_2 * self.v[rows] + (1 - DECAY_2) * grad * grad
+        turns = self.n[rows][:, None].astype(np.float64)
+        m, v = self.m[rows] / (1 - DECAY_1**turns), self.v[rows] / (1 - DECAY_2**turns)
+        self.vec[rows] -= (self.rate * m / (np.sqrt(v) + GUARD)).astype(np.float32)
+
+
+def _partner(blocks: int, turn: int) -> list[int]:
+    """For each block, the lower number of the pair it is in: of a tournament where every two blocks meet once, and the
+    last turn leaves each block alone."""
+    if turn == blocks - 1:
+        return list(range(blocks))
+    last, ring = blocks - 1, blocks - 1
+    out = []
+    for b in range(blocks):
+        other = turn * (blocks // 2) % ring if b == last else (turn - b) % ring
+        out.append(min(b, last if other == b else other))
+    return out
+
+
+def _turn(low: Column, high: Column, blocks: int) -> Column:
+    """The turn in which two blocks meet."""
+    ring = max(blocks - 1, 1)
+    met = F.when(high == blocks - 1, (2 * low) % ring).otherwise((low + high) % ring)
+    return F.when(low == high, blocks - 1).otherwise(met)
+
+
+def _trained(rows: DataFrame, dim: int, rate: float, negatives: int, batch: int, log_steps: int, seed: list[int]) -> DataFrame:
+    """Train each partition's pairs on its vectors. A partition has its vectors first, then the pairs in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        grid = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        held, trainer, losses = [], None, []
+        left = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
+
+        def train(pairs: list[np.ndarray], least: int) -> list[np.ndarray]:
+            at = 0
+            while len(pairs[0]) - at >= least and at < len(pairs[0]):
+                src, dst, weight = (x[at:at + batch] for x in pairs)
+                losses.append((trainer.step(src, dst, weight), weight.sum()))
+                at += batch
+            return [x[at:] for x in pairs]
+
+        for part in batches:
+            is_pair = part.column("is_pair").to_numpy(zero_copy_only=False)
+            nodes, pairs = part.filter(pa.array(~is_pair)), part.filter(pa.array(is_pair))
+            if nodes.num_rows:
+                held.append([nodes.column("id").to_numpy(), *[grid(nodes.column(c)) for c in ("vec", "m", "v")],
+                             nodes.column("n").to_numpy()])
+            if pairs.num_rows:
+                if trainer is None:
+                    ids, *state = [np.concatenate(x) for x in zip(*held)]
+                    trainer = BlockTrainer(ids, state, rate, negatives, [*seed, TaskContext.get().partitionId()])
+                    held = []
+                own = [pairs.column(c).to_numpy() for c in ("src", "dst", "weight")]
+                left = train([np.concatenate(x) for x in zip(left, own)], batch)
+        if trainer is not None:
+            train(left, 1)
+            held = [[trainer.ids, trainer.vec, trainer.m, trainer.v, trainer.n]]
+        for ids, vec, m, v, n in held:
+            for at in range(0, len(ids), 4096):
+                flat = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * dim, pa.int32()), pa.array(x.ravel().astype(np.float32)))
+                        for x in (y[at:at + 4096] for y in (vec, m, v))]
+                some = len(flat[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at:at + 4096]), *flat, pa.array(n[at:at + 4096], pa.int32()), pa.nulls(some, pa.int32()),
+                     pa.nulls(some, pa.float64()), pa.nulls(some, pa.float64())], names=names)
+        if losses:
+            loss, weight = (np.array(x) for x in zip(*losses))
+            edges = np.arange(0, len(loss), log_steps)
+            total, mass = np.add.reduceat(loss * weight, edges), np.add.reduceat(weight, edges)
+            nothing = [pa.nulls(len(edges), pa.int64()), *[pa.nulls(len(edges), pa.list_(pa.float32()))] * 3, pa.nulls(len(edges), pa.int32())]
+            ends = np.minimum(edges + log_steps, len(loss))
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array(ends, pa.int32()), pa.array(total), pa.array(mass)], names=names)
+
+    names = ["id", "vec", "m", "v", "n", "step", "loss", "mass"]
+    return rows.mapInArrow(run, "id bigint, vec array<float>, m array<float>, v array<float>, n int, step int, loss double, mass double")
 
 
 def _start(dim: int, seed: int) -> Column:
     unit = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: (
         F.pmod(F.xxhash64("id", j, F.lit(seed)), F.lit(1 << 20)) / (1 << 20) - 0.5) / dim**0.5)
-    return unit
+    return unit.cast("array<float>")
 
 
 def skip_gram(nodes: DataFrame, walks: DataFrame, dim: int = C.EMBEDDING_DIM, context: int = C.CONTEXT_SIZE,
-              negatives: int = C.NEGATIVE_SAMPLES, epochs: int = 6, rate: float = 0.05, patience: int = 2,
-              min_delta: float = 0.001, seed: int = 42, steps: int = 1) -> tuple[DataFrame, DataFrame]:
+              negatives: int = C.NEGATIVE_SAMPLES, epochs: int = 6, rate: float = 0.01, patience: int = 5,
+              min_delta: float = 0.0005, seed: int = 42, batch: int = BATCH, log_steps: int = 50,
+              blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Embed the nodes seen by the walks: ``(id, vec)`` and the loss history ``(epoch, step, loss)``.
 
-    ``nodes`` has ``id`` for every node, ``walks`` has ``nodes``. An epoch goes once over all pairs, in ``steps`` batches
-    dealt by hash anew each epoch. ``rate`` is larger than what suits steps over small batches.
+    ``nodes`` has ``id`` for every node, ``walks`` has ``nodes``. An epoch goes once over all pairs in batches of
+    ``batch``; every ``log_steps`` batches give a row of the history, the mean over the tasks that ran side by side. Within
+    an epoch, ``patience`` such rows in a row that don't fall by ``min_delta`` end the training after that epoch.
     """
     spark = nodes.sparkSession
-    pairs = cut_lineage(context_pairs(walks, context))
-    kinds = nodes.groupBy(F.shiftright("id", TYPE_BITS).cast("int").alias("t")).agg(F.count("*").alias("n"))
-    sizes = {row["t"]: row["n"] for row in kinds.collect()}  # one row per node type
-    zero = F.array_repeat(F.lit(0.0), dim)
-    state = nodes.select("id").withColumns({"vec": _start(dim, seed), "m": zero, "v": zero, "loss": F.lit(0.0)})
-    total = pairs.agg(F.sum("weight")).first()[0]
-    history, best, waited, done = [], float("inf"), 0, 0
+    if blocks is None:
+        needed = -(-nodes.count() // BLOCK_NODES)
+        blocks = max(MIN_BLOCKS, needed + needed % 2)
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(blocks)).cast("int")
+    low, high = F.least(block("src"), block("dst")), F.greatest(block("src"), block("dst"))
+    pairs = cut_lineage(context_pairs(walks, context).select(
+        "src", "dst", F.col("weight").cast("double").alias("weight"), low.alias("task"), _turn(low, high, blocks).alias("turn")))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    state, written = nodes.select("id", _start(dim, seed).alias("vec"), zero.alias("m"), zero.alias("v"), F.lit(0).alias("n")), None
+    history, stop = [], False
     for epoch in range(1, epochs + 1):
-        summed = 0.0
-        for turn in range(steps):
-            done += 1
-            batch = pairs if steps == 1 else pairs.filter(F.pmod(F.xxhash64("dst", "src", F.lit(seed), F.lit(epoch)), F.lit(steps)) == turn)
-            positive = batch.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.lit(1.0).alias("label"))
-            samples = positive.unionByName(_negatives(batch, sizes, negatives, epoch))
-            ends = samples.join(state.select(F.col("id").alias("src"), F.col("vec").alias("a")), "src").join(
-                state.select(F.col("id").alias("dst"), F.col("vec").alias("b")), "dst")
-            dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-            scored = ends.withColumn("_p", 1 / (1 + F.exp(-dot))).withColumns({
-                "_g": (F.col("_p") - F.col("label")) * F.col("weight"),
-                "_loss": -F.col("weight") * F.log(F.when(F.col("label") > 0, F.col("_p")).otherwise(1 - F.col("_p")) + 1e-15)})
-            pulls = scored.select(F.explode(F.array(
-                F.struct(F.col("src").alias("id"), F.col("b").alias("w"), F.col("_g").alias("g"), "weight",
-                         F.col("_loss").alias("loss")),
-                F.struct(F.col("dst").alias("id"), F.col("a").alias("w"), F.col("_g").alias("g"), "weight",
-                         F.lit(0.0).alias("loss")))).alias("p")).select("p.*")
-            grads = pulls.groupBy("id").agg(
-                F.array(*[F.sum(F.col("w")[i] * F.col("g")) for i in range(dim)]).alias("sums"),
-                F.sum("weight").alias("_w"), F.sum("loss").alias("_new_loss"))
-            grads = grads.select("id", F.transform("sums", lambda s: s / F.col("_w")).alias("grad"), "_new_loss")
-            known = state.join(grads, "id", "left").withColumn("grad", F.coalesce("grad", zero))
-            moved = known.withColumns({
-                "m": F.zip_with("m", "grad", lambda m, g: m * DECAY_1 + g * (1 - DECAY_1)),
-                "v": F.zip_with("v", "grad", lambda v, g: v * DECAY_2 + g * g * (1 - DECAY_2))})
-            step = F.zip_with("m", "v", lambda m, v: rate * (m / (1 - DECAY_1**done)) / (
-                F.sqrt(v / (1 - DECAY_2**done)) + GUARD))
-            last, state = state, cut_lineage(moved.select(
-                "id", F.zip_with("vec", step, lambda x, d: x - d).alias("vec"), "m", "v",
-                F.coalesce("_new_loss", F.lit(0.0)).alias("loss")))
-            if done > 1:
-                released(last)
-            summed += state.agg(F.sum("loss")).first()[0]
-        loss = summed / total
-        history.append((epoch, done, float(loss)))
+        done = 0
+        for turn in range(blocks):
+            place = F.array(*map(F.lit, _partner(blocks, turn)))
+            own = state.withColumns({"task": F.get(place, block("id")), "is_pair": F.lit(False), "key": F.lit(0).cast("bigint")})
+            met = pairs.filter(F.col("turn") == turn).drop("turn").withColumns(
+                {"is_pair": F.lit(True), "key": F.xxhash64("src", "dst", F.lit(seed), F.lit(epoch))})
+            rows = own.unionByName(met, allowMissingColumns=True).repartitionById(blocks, "task").sortWithinPartitions(
+                "is_pair", "key", "src", "dst")
+            after = cut_lineage(_trained(rows, dim, rate, negatives, batch, log_steps, [seed, epoch, turn]))
+            losses = after.filter(F.col("id").isNull()).groupBy("step").agg(F.sum("loss"), F.sum("mass")).collect()  # a row per 50 batches
+            if written is not None:
+                released(written)
+            written, state = after, after.filter(F.col("id").isNotNull()).select("id", "vec", "m", "v", "n")
+            history += [(epoch, done + r[0], r[1] / r[2]) for r in sorted(losses)]
+            done += max((r[0] for r in losses), default=0)
+        if stalled([r[2] for r in history if r[0] == epoch], patience, min_delta):
+            break
+    return state.select("id", F.col("vec").cast("array<double>").alias("vec")), spark.createDataFrame(history, "epoch int, step int, loss double")
+
+
+def stalled(losses: list[float], patience: int, min_delta: float) -> bool:
+    """Whether ``patience`` losses in a row were no gain of ``min_delta`` over the best before."""
+    best, waited = float("inf"), 0
+    for loss in losses:
         best, waited = (loss, 0) if loss < best - min_delta else (best, waited + 1)
         if waited >= patience:
-            break
-    return state.select("id", "vec"), spark.createDataFrame(history, "epoch int, step int, loss double")
+            return True
+    return False
 
 
 def export_embeddings(vectors: DataFrame, nodes: DataFrame, node_type: str, labels: DataFrame | None = None,

@@ -7,7 +7,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayweave import constants as C
@@ -15,12 +15,14 @@ from stayweave.functions import geo
 from stayweave.functions.time import utc_date
 from stayweave.operators.components import radius_components
 from stayweave.operators.ordered import with_neighbours, with_running_sum
-from stayweave.operators.quantiles import exact_quantiles
+from stayweave.operators.quantiles import exact_medians, exact_quantiles
 from stayweave.session import cut_lineage
 
 DEVICE, TS, LAT, LON = "device_aid", "timestamp", "latitude", "longitude"
 PING = [DEVICE, TS, LAT, LON]
 TIES = [LAT, LON]
+#: Pings of a stretch that one task walks in order; longer stretches are cut into chunks of so many.
+CHUNK = 200_000
 
 
 def clean_pings(pings: DataFrame) -> DataFrame:
@@ -70,9 +72,9 @@ def step_runs(pings: DataFrame, radius_m: float = C.STAY_RADIUS_M, max_gap_hours
     """Stays as stretches whose every step is short in time and space; built-in functions only."""
     cut = F.col("gap_s").isNull() | (F.col("gap_s") > max_gap_hours * 3600) | (F.col("step_m") > radius_m)
     runs = with_running_sum(_with_steps(pings), [DEVICE], TS, TIES, F.when(cut, 1).otherwise(0), "run")
-    return _long_enough(runs.groupBy(DEVICE, "run").agg(
-        F.min(TS).alias("start"), F.max(TS).alias("end"), F.count("*").alias("size"),
-        F.median(LAT).alias(LAT), F.median(LON).alias(LON)))
+    runs = cut_lineage(runs.select(DEVICE, "run", TS, LAT, LON))
+    return _long_enough(exact_medians(runs, [DEVICE, "run"], {LAT: LAT, LON: LON}, [
+        F.min(TS).alias("start"), F.max(TS).alias("end"), F.count("*").alias("size")]))
 
 
 class _RunningMedian:
@@ -101,53 +103,146 @@ def _number_runs(radius_m: float):
     """Number runs inside each stretch of sorted rows, carrying the open run across batches."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stretch, run, lat_mid, lon_mid = None, 0, None, None
+        stretch, run, walk = None, 0, None
         for batch in batches:
             numbers = []
             for device, part, lat, lon in zip(batch[DEVICE], batch["stretch"], batch[LAT], batch[LON]):
                 if (device, part) != stretch:
-                    stretch, run, fresh = (device, part), 1, True
-                else:
-                    fresh = _metres(lat_mid.get(), lon_mid.get(), lat, lon) >= radius_m
-                    run += fresh
-                if fresh:
-                    lat_mid, lon_mid = _RunningMedian(lat), _RunningMedian(lon)
-                else:
-                    lat_mid.push(lat)
-                    lon_mid.push(lon)
+                    stretch, run, walk = (device, part), 0, _Walk(radius_m)
+                run += walk.step(lat, lon)
                 numbers.append(run)
             yield batch.assign(run=pd.Series(numbers, index=batch.index, dtype="int64"))
 
     return work
 
 
-def label_runs(pings: DataFrame, radius_m: float = C.STAY_RADIUS_M, max_gap_hours: int = C.MAX_GAP_HOURS) -> DataFrame:
+class _Walk:
+    """The open run of a walk through sorted pings: where it began and the medians of its pings so far."""
+
+    def __init__(self, radius_m: float):
+        self.radius, self.lat, self.lon = radius_m, None, None
+
+    def step(self, lat: float, lon: float) -> bool:
+        """Take the next ping; whether it opens a new run."""
+        fresh = self.lat is None or _metres(self.lat.get(), self.lon.get(), lat, lon) >= self.radius
+        if fresh:
+            self.lat, self.lon = _RunningMedian(lat), _RunningMedian(lon)
+        else:
+            self.lat.push(lat)
+            self.lon.push(lon)
+        return fresh
+
+
+def _guess_starts(radius_m: float):
+    """``fresh`` of each ping as if its chunk began a run; rows come sorted by stretch, chunk and position."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, walk = None, None
+        for batch in batches:
+            marks = []
+            for key, lat, lon in zip(zip(batch[DEVICE], batch["stretch"], batch["chunk"]), batch[LAT], batch[LON]):
+                if key != at:
+                    at, walk = key, _Walk(radius_m)
+                marks.append(walk.step(lat, lon))
+            yield batch.assign(fresh=pd.Series(marks, index=batch.index, dtype=bool))
+
+    return work
+
+
+def _walk_into(radius_m: float):
+    """Walk from an earlier start into the chunk ``target``. Where a run starts that the guess starts as well, both are in
+    the same state and the guess is right from there on."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, walk, met = None, None, False
+        for batch in batches:
+            marks, meets = [], []
+            keys = zip(batch[DEVICE], batch["stretch"], batch["target"])
+            for key, chunk, lat, lon, guess in zip(keys, batch["chunk"], batch[LAT], batch[LON], batch["fresh"]):
+                if key != at:
+                    at, walk, met = key, _Walk(radius_m), False
+                fresh = guess if met else walk.step(lat, lon)
+                met = met or bool(fresh and guess and chunk == key[2])
+                marks.append(fresh)
+                meets.append(met)
+            out = batch.assign(fresh=pd.Series(marks, index=batch.index, dtype=bool), met=pd.Series(meets, index=batch.index, dtype=bool))
+            yield out[out["chunk"] == out["target"]].drop(columns="target")
+
+    return work
+
+
+def label_long_stretches(rows: DataFrame, radius_m: float, chunk: int) -> DataFrame:
+    """Runs of stretches of any length, chunk by chunk: ``rows`` with ``run``.
+
+    Every chunk of ``chunk`` pings is labelled at once from a guessed fresh start. Then every chunk but the first is walked
+    again from where the chunk before it, by its guess, opened its last run, until a run starts where the guess starts
+    one. If that happens in the chunk before, this walk was right. Where it does not, the last run began elsewhere, and
+    only the chunk behind is walked once more from there.
+    """
+    key = [DEVICE, "stretch"]
+    placed = with_running_sum(rows, key, TS, TIES, F.lit(1), "pos").withColumn("chunk", F.floor((F.col("pos") - 1) / chunk))
+    schema = f"{DEVICE} string, {TS} bigint, {LAT} double, {LON} double, stretch bigint, chunk bigint, pos bigint, fresh boolean"
+    fields = [*PING, "stretch", "chunk", "pos"]
+    guessed = cut_lineage(placed.select(*fields).repartition(*key, "chunk").sortWithinPartitions(*key, "chunk", "pos").mapInPandas(
+        _guess_starts(radius_m), schema))
+    last_start = F.max(F.when(F.col("fresh"), F.col("pos"))).alias("own")
+    guesses = cut_lineage(guessed.groupBy(*key, "chunk").agg(last_start))
+    before = F.lag("open").over(Window.partitionBy(*key).orderBy("chunk"))  # a row per chunk
+    # ``open``: where the run open at the chunk's end began; ``entry``: from where the chunk was walked
+    chunks = cut_lineage(guesses.select(*key, "chunk", "own", F.col("own").alias("open"), F.lit(None).cast("bigint").alias("entry")))
+    labels = guessed.select(*key, "chunk", "pos", "fresh")
+    while True:
+        due = cut_lineage(chunks.withColumn("start", before).filter("chunk > 0 and not start <=> entry").select(*key, "chunk", "start"))
+        if due.limit(1).count() == 0:
+            break
+        sources = due.select(*key, F.col("chunk").alias("target"), "start", F.explode(F.sequence(
+            F.floor((F.col("start") - 1) / chunk), F.col("chunk"))).alias("chunk"))
+        walked = guessed.join(sources, [*key, "chunk"]).filter("pos >= start").select(*fields, "fresh", "target").repartition(
+            *key, "target").sortWithinPartitions(*key, "target", "pos").mapInPandas(_walk_into(radius_m), schema + ", met boolean")
+        walked = cut_lineage(walked.select(*key, "chunk", "pos", "fresh", "met"))
+        ends = walked.groupBy(*key, "chunk").agg(F.max("met").alias("met"), last_start.alias("walked"))
+        ends = ends.join(due, [*key, "chunk"])
+        # a chunk without any start stays in the run it was entered with
+        opened = F.when(F.col("met"), F.col("own")).otherwise(F.coalesce("walked", "start"))
+        chunks = cut_lineage(chunks.join(ends, [*key, "chunk"], "left").select(
+            *key, "chunk", "own", F.when(F.col("start").isNull(), F.col("open")).otherwise(opened).alias("open"),
+            F.coalesce("start", "entry").alias("entry")))
+        labels = cut_lineage(labels.join(due.select(*key, "chunk"), [*key, "chunk"], "left_anti").unionByName(walked.drop("met")))
+    marked = guessed.drop("fresh").join(labels.drop("chunk"), [*key, "pos"])
+    return with_running_sum(marked, key, TS, TIES, F.col("fresh").cast("int"), "run").select(*PING, "stretch", "run")
+
+
+def label_runs(pings: DataFrame, radius_m: float = C.STAY_RADIUS_M, max_gap_hours: int = C.MAX_GAP_HOURS,
+               chunk: int = CHUNK) -> DataFrame:
     """Number stationary runs: a ping joins the open run when it is near the run's median so far.
 
     A long gap, or a step of twice the radius, always opens a new run, so a device splits into
     stretches that are independent of each other. A stretch whose bounding box has a diagonal
     below the radius is one run whatever the order. The rest are walked in time order as a stream
-    of Arrow batches with two medians of state.
+    of Arrow batches with two medians of state, those longer than ``chunk`` pings chunk by chunk.
     """
     cut = F.col("gap_s").isNull() | (F.col("gap_s") > max_gap_hours * 3600) | (F.col("step_m") >= 2 * radius_m)
     rows = with_running_sum(_with_steps(pings), [DEVICE], TS, TIES, F.when(cut, 1).otherwise(0), "stretch")
     rows = cut_lineage(rows.select(*PING, "stretch"))
     boxes = rows.groupBy(DEVICE, "stretch").agg(
-        F.min(LAT).alias("_s"), F.max(LAT).alias("_n"), F.min(LON).alias("_w"), F.max(LON).alias("_e"))
+        F.min(LAT).alias("_s"), F.max(LAT).alias("_n"), F.min(LON).alias("_w"), F.max(LON).alias("_e"), F.count("*").alias("_size"))
     # The widest parallel of the box bounds its diagonal from above.
     nearest_equator = F.when(F.col("_s") * F.col("_n") <= 0, 0.0).otherwise(F.least(F.abs("_s"), F.abs("_n")))
     high = F.radians(F.col("_n") - F.col("_s"))
     wide = F.radians(F.col("_e") - F.col("_w")) * F.cos(F.radians(nearest_equator))
-    boxes = boxes.select(DEVICE, "stretch", (
-        F.sqrt(high * high + wide * wide) * (1000 * geo.EARTH_RADIUS_KM) < radius_m * 0.999).alias("still"))
+    boxes = cut_lineage(boxes.select(DEVICE, "stretch", "_size", (
+        F.sqrt(high * high + wide * wide) * (1000 * geo.EARTH_RADIUS_KM) < radius_m * 0.999).alias("still")))
     rows = rows.join(boxes, [DEVICE, "stretch"])
     schema = f"{DEVICE} string, {TS} bigint, {LAT} double, {LON} double, stretch bigint, run bigint"
     still = rows.filter("still").select(*PING, "stretch", F.lit(1).cast("bigint").alias("run"))
     moving = (
-        rows.filter("not still").select(*PING, "stretch").repartition(DEVICE, "stretch")
+        rows.filter(f"not still and _size <= {chunk}").select(*PING, "stretch").repartition(DEVICE, "stretch")
         .sortWithinPartitions(DEVICE, "stretch", TS, *TIES).mapInPandas(_number_runs(radius_m), schema)
     )
-    return still.unionByName(moving)
+    out = still.unionByName(moving)
+    if boxes.filter(f"not still and _size > {chunk}").limit(1).count():
+        out = out.unionByName(label_long_stretches(rows.filter(f"not still and _size > {chunk}").select(*PING, "stretch"), radius_m, chunk))
+    return out
 
 
 def label_stops(pings: DataFrame, radius_m: float = C.STAY_RADIUS_M, place_radius_m: float = C.PLACE_RADIUS_M,
@@ -159,9 +254,8 @@ def label_stops(pings: DataFrame, radius_m: float = C.STAY_RADIUS_M, place_radiu
     """
     rows = cut_lineage(label_runs(pings, radius_m, max_gap_hours))
     run_key = [DEVICE, "stretch", "run"]
-    stops = _long_enough(rows.groupBy(*run_key).agg(
-        F.min(TS).alias("start"), F.max(TS).alias("end"), F.count("*").alias("size"),
-        F.median(LAT).alias("mid_lat"), F.median(LON).alias("mid_lon")))
+    stops = _long_enough(exact_medians(rows, run_key, {"mid_lat": LAT, "mid_lon": LON}, [
+        F.min(TS).alias("start"), F.max(TS).alias("end"), F.count("*").alias("size")]))
     stops = geo.with_national_xy(stops, "mid_lat", "mid_lon")
     placed = cut_lineage(radius_components(stops, [DEVICE], place_radius_m, name="place").select(
         *run_key, "start", "place"))
@@ -177,8 +271,7 @@ def label_stops(pings: DataFrame, radius_m: float = C.STAY_RADIUS_M, place_radiu
 
 def place_medians(labelled: DataFrame) -> DataFrame:
     """Median coordinates of each (device, place)."""
-    return labelled.groupBy(DEVICE, "loc").agg(
-        F.median(LAT).alias("stop_latitude"), F.median(LON).alias("stop_longitude"))
+    return exact_medians(labelled, [DEVICE, "loc"], {"stop_latitude": LAT, "stop_longitude": LON}, [])
 
 
 def number_intervals(labelled: DataFrame, max_gap_hours: int = C.MAX_GAP_HOURS) -> DataFrame:

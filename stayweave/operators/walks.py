@@ -1,4 +1,4 @@
-"""Metapath-guided random walks: one equi-join per step, no neighbour lists."""
+"""Metapath-guided random walks by edge weight: one equi-join per step, no neighbour lists."""
 
 from __future__ import annotations
 
@@ -49,13 +49,25 @@ def index_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def edge_slots(edges: DataFrame) -> DataFrame:
-    """Give the edges of each (rel, src) consecutive slots from 0 by ``dst``; an edge of weight w
-    takes w slots. Neighbours are numbered in slices, so a hub is not one task."""
+def edge_intervals(edges: DataFrame) -> DataFrame:
+    """``rel, src, dst, begin, end``: the weights of each (rel, src) laid side by side from 0 on, by ``dst``. Neighbours are
+    numbered in slices, so a hub is not one task; edges without weight fall out."""
     counted = with_running_sum(
-        edges, ["rel", "src"], "dst", [], F.col("weight"), "_end", slice_seconds=SLOTS_PER_SLICE)
-    slots = F.sequence(F.col("_end") - F.col("weight"), F.col("_end") - 1)
-    return counted.filter("weight > 0").select("rel", "src", "dst", F.explode(slots).alias("slot"))
+        edges, ["rel", "src"], "dst", [], F.col("weight"), "end", slice_seconds=SLOTS_PER_SLICE)
+    return counted.filter("weight > 0").select("rel", "src", "dst", (F.col("end") - F.col("weight")).alias("begin"), "end")
+
+
+def weight_buckets(intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Intervals by bucket, and ``rel, src, total, width`` of each node.
+
+    The weight of a node is cut into as many equal buckets as it has edges, and an edge has a row for each bucket it
+    reaches: at most twice as many rows as edges, whatever the weights. A drawn weight finds its edge in its bucket, among
+    two on average.
+    """
+    nodes = intervals.groupBy("rel", "src").agg(F.max("end").alias("total"), F.count("*").alias("_n")).select(
+        "rel", "src", "total", F.ceil(F.col("total") / F.col("_n")).cast("bigint").alias("width"))
+    reach = F.sequence(F.expr("begin div width"), F.expr("(end - 1) div width"))
+    return intervals.join(nodes, ["rel", "src"]).select("rel", "src", "dst", "begin", "end", F.explode(reach).alias("bucket")), nodes
 
 
 def _mix(walk: Column, step: int, node: Column, seed: int) -> Column:
@@ -65,42 +77,56 @@ def _mix(walk: Column, step: int, node: Column, seed: int) -> Column:
     return mixed
 
 
+def _draw(mixed: Column, total: Column) -> Column:
+    """A number below ``total``; a total beyond the generator's range takes two of its numbers."""
+    wide = mixed * PRIME + (mixed * MULTIPLIER + 3) % PRIME
+    return F.when(total > PRIME, wide % total).when(total > 0, mixed % total)
+
+
 def random_walks(nodes: DataFrame, edges: DataFrame, start_type: str, relations: list[str], walk_length: int,
                  walks_per_node: int, seed: int = 42) -> DataFrame:
     """Walks of up to ``walk_length`` steps as ``(walk, path)``, ``path`` holding node numbers.
 
-    ``edges`` has numbered ends. Each edge knows the degree its target has in the next relation, so
-    a step is one equi-join on (node, slot): the walks at a hub spread over its slots. A node
-    without an edge of the relation ends the walk.
+    ``edges`` has numbered ends; the next node is drawn by weight. Each edge knows the total weight and bucket width of its
+    target in the next relation, so a step is one equi-join on (node, bucket): the walks at a hub spread over its buckets.
+    A node without an edge of the relation ends the walk; ended walks leave the loop whenever it stores its state.
     """
-    slots = cut_lineage(edge_slots(edges.filter(F.col("rel").isin(list(relations)))))
-    degree = cut_lineage(slots.groupBy("rel", "src").agg(F.count("*").alias("deg")))
+    intervals = cut_lineage(edge_intervals(edges.filter(F.col("rel").isin(list(relations)))))
+    buckets, totals = (cut_lineage(t) for t in weight_buckets(intervals))
     hops = []
     for i, rel in enumerate(relations):
         follow = relations[(i + 1) % len(relations)]
-        ahead = degree.filter(F.col("rel") == follow).select(F.col("src").alias("dst"), F.col("deg").alias("_next_deg"))
-        hops.append(cut_lineage(slots.filter(F.col("rel") == rel).join(ahead, "dst", "left").select(
-            F.col("src").alias("_at"), F.col("slot").alias("_slot"), F.col("dst").alias("_to"),
-            F.coalesce("_next_deg", F.lit(0)).alias("_next_deg"))))
-    first = degree.filter(F.col("rel") == relations[0]).select(F.col("src").alias("idx"), "deg")
+        ahead = totals.filter(F.col("rel") == follow).select(
+            F.col("src").alias("dst"), F.col("total").alias("_next_total"), F.col("width").alias("_next_width"))
+        hops.append(cut_lineage(buckets.filter(F.col("rel") == rel).join(ahead, "dst", "left").select(
+            F.col("src").alias("_at"), F.col("bucket").alias("_bucket"), "begin", "end", F.col("dst").alias("_to"),
+            "_next_total", "_next_width")))
+    first = totals.filter(F.col("rel") == relations[0]).select(F.col("src").alias("idx"), "total", "width")
     walks = (
         nodes.filter(F.col("node_type") == start_type).join(first, "idx", "left")
-        .select("idx", F.coalesce("deg", F.lit(0)).alias("deg"),
-                F.explode(F.sequence(F.lit(0), F.lit(walks_per_node - 1))).alias("_k"))
+        .select("idx", "total", "width", F.explode(F.sequence(F.lit(0), F.lit(walks_per_node - 1))).alias("_k"))
         .select((F.col("idx") * walks_per_node + F.col("_k")).alias("walk"), F.col("idx").alias("_at"),
-                "deg", F.array("idx").alias("path"))
+                "total", "width", F.array("idx").alias("path"))
     )
+    ended = []
     for step in range(walk_length):
-        # An ended walk asks for slot -1, which no edge has: the join keeps it as it is.
-        pick = F.when(F.col("deg") > 0, _mix(F.col("walk"), step, F.col("_at"), seed) % F.col("deg")).otherwise(-1)
-        walks = walks.withColumn("_slot", pick.cast("bigint")).join(
-            hops[step % len(relations)], ["_at", "_slot"], "left"
-        ).select(
-            "walk", F.coalesce("_to", "_at").alias("_at"), F.coalesce("_next_deg", F.lit(0)).alias("deg"),
+        drawn = walks.withColumn("_pick", _draw(_mix(F.col("walk"), step, F.col("_at"), seed), F.col("total")))
+        # an ended walk draws nothing and asks for bucket -1, which no node has
+        drawn = drawn.withColumn("_bucket", F.coalesce(F.expr("_pick div width"), F.lit(-1)))
+        hop = hops[step % len(relations)]
+        met = (drawn["_at"] == hop["_at"]) & (drawn["_bucket"] == hop["_bucket"]) & (
+            drawn["_pick"] >= hop["begin"]) & (drawn["_pick"] < hop["end"])
+        walks = drawn.join(hop, met, "left").select(
+            "walk", F.coalesce("_to", drawn["_at"]).alias("_at"), F.col("_next_total").alias("total"), F.col("_next_width").alias("width"),
             F.when(F.col("_to").isNotNull(), F.concat("path", F.array("_to"))).otherwise(F.col("path")).alias("path"))
-        if (step + 1) % CHECKPOINT_STEPS == 0:
+        if (step + 1) % CHECKPOINT_STEPS == 0 and step + 1 < walk_length:
             walks = cut_lineage(walks)
-    return walks.select("walk", "path")
+            ended.append(walks.filter("total is null").select("walk", "path"))
+            walks = walks.filter("total is not null")
+    out = walks.select("walk", "path")
+    for part in ended:
+        out = out.unionByName(part)
+    return out
 
 
 # A node id packs the type's number above 40 bits of node number, unique across types.

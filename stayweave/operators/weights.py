@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from stayweave.functions import geo
 from stayweave.operators.filters import first_per_key, quantile_trim
-from stayweave.operators.quantiles import exact_median
+from stayweave.operators.quantiles import exact_median, exact_medians
 
 
 def with_device_zone(stops: DataFrame, zones: DataFrame, prefix: str, length: int = 4) -> DataFrame:
@@ -110,8 +110,7 @@ def corrected_weights(visits: DataFrame, device_zones: DataFrame, eta: DataFrame
     The weight is NULL for a device without a zone.
     """
     exponents = device_zones.select("device_aid", "deso_r").distinct().join(eta, "deso_r").select("device_aid", "eta")
-    cells = visits.groupBy("device_aid", "h3_id").agg(
-        F.sum("freq").alias("freq"), F.median("d2home").alias("d2home"))
+    cells = exact_medians(visits, ["device_aid", "h3_id"], {"d2home": "d2home"}, [F.sum("freq").alias("freq")])
     return cells.join(exponents, "device_aid", "left").withColumn(
         "freq_w", F.col("freq") * F.pow("d2home", "eta")).select("device_aid", "h3_id", "freq_w")
 

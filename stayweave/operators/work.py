@@ -59,11 +59,11 @@ def _labelled_days(shares: DataFrame, days: int, missing: float, share: float, v
     scored = (
         shares.withColumns({"_sum": F.sum("share").over(by_place), "_days": F.count("*").over(by_place)})
         .join(valid_days, ["device_aid", "day"])
-        .withColumns({"_mean": F.col("_sum") / F.col("_valid"), "_visited": F.col("_days") / F.col("_valid")})
+        .withColumns({"_mean": F.round(F.col("_sum") / F.col("_valid"), 9), "_visited": F.col("_days") / F.col("_valid")})
         .filter((1 - F.col("_valid") / days <= missing) & (F.col("_mean") >= share) & (F.col("_visited") >= visited))
     )
     return scored.groupBy("device_aid", "day").agg(
-        F.max_by("loc", F.struct(F.round("_mean", 9), -F.col("loc"))).alias("loc"))
+        F.max_by("loc", F.struct("_mean", -F.col("loc"))).alias("loc"))
 
 
 def label_stays(stays: DataFrame, home_days: int, work_days: int, min_hours: int, missing_home: float,

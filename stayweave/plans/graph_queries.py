@@ -179,13 +179,75 @@ def walks_3_steps(spark, folder):
     return walks.random_walks(nodes, edges, start, path, 3, 4).select("walk", F.array_join("path", "-").alias("path"))
 
 
-def _embedded(spark, folder, epochs=6, dim=64, length=20, per_node=20, steps=8):
+# Edges by key with their weights: visits repeat, kinds of a cell have their normalised repeats.
+_W_EDGES = """SELECT 'visits' AS rel, device_aid AS src, CAST(h3_id AS VARCHAR) AS dst, n AS w FROM vc
+    UNION ALL SELECT 'visited_by', CAST(h3_id AS VARCHAR), device_aid, n FROM vc
+    UNION ALL SELECT 'has_poi', CAST(h3_id AS VARCHAR), p, 1 FROM hp UNION ALL SELECT 'located_at', p, CAST(h3_id AS VARCHAR), 1 FROM hp
+    UNION ALL SELECT 'contains', CAST(h3_id AS VARCHAR), kind, n FROM hk UNION ALL SELECT 'located_in', kind, CAST(h3_id AS VARCHAR), n FROM hk
+    UNION ALL SELECT 'includes', CAST("group" AS VARCHAR), device_aid, 1 FROM groups
+    UNION ALL SELECT 'belongs_to', device_aid, CAST("group" AS VARCHAR), 1 FROM groups"""
+_HK = """SELECT h3_id, kind, CAST(ceil(n::DOUBLE / sum(n) OVER (PARTITION BY h3_id) * 10) AS BIGINT) AS n FROM
+    (SELECT h3_id, kind, count(*) AS n FROM (SELECT h3_id, unnest(kinds) AS kind FROM linked) WHERE kind IS NOT NULL GROUP BY ALL)"""
+_W_NODES = """SELECT node_type, key, row_number() OVER (PARTITION BY node_type ORDER BY key) - 1 AS idx FROM (
+    SELECT DISTINCT 'individual' AS node_type, device_aid AS key FROM linked UNION SELECT 'hexagon', CAST(h3_id AS VARCHAR) FROM linked
+    UNION SELECT 'poi_category', "primary" FROM valid UNION SELECT 'kind', kind FROM hk UNION SELECT 'group', CAST("group" AS VARCHAR) FROM groups)"""
+_W_ENDS = {rel: tuple("kind" if t == "poi_category" and rel in ("contains", "located_in") else t for t in ends)
+           for rel, ends in walks.ENDS.items()}
+_W_INTERVALS = f"""SELECT rel, a.idx AS src, b.idx AS dst, sum(w) OVER o - w AS lo, sum(w) OVER o AS hi, sum(w) OVER (PARTITION BY rel, a.idx) AS total
+    FROM we JOIN (VALUES {", ".join(f"('{r}', '{a}', '{b}')" for r, (a, b) in _W_ENDS.items())}) AS ends(r, s, d) ON rel = r
+    JOIN wn a ON a.node_type = s AND a.key = src JOIN wn b ON b.node_type = d AND b.key = dst
+    WINDOW o AS (PARTITION BY rel, a.idx ORDER BY b.idx)"""
+
+
+def _weighted_step(step: int, rel: str, before: str) -> str:
+    """One step of every walk; ended walks have no position and keep their path."""
+    mixed = f"(walk * 7919 + {step * 104729 + 42 * 15485863} + pos * 1299709) % 2147483647"
+    for turn in (1, 2):
+        mixed = f"(({mixed}) * 48271 + {turn}) % 2147483647"
+    return f"""SELECT walk, e.dst AS pos, path || coalesce('-' || e.dst, '') AS path FROM
+        (SELECT s.*, ({mixed}) % t.total AS pick FROM {before} s LEFT JOIN
+         (SELECT DISTINCT src, total FROM iv WHERE rel = '{rel}') t ON t.src = s.pos) q
+        LEFT JOIN iv e ON e.rel = '{rel}' AND e.src = pos AND pick >= e.lo AND pick < e.hi"""
+
+
+def _weighted_parts() -> dict[str, str]:
+    parts = dict(vc="SELECT device_aid, h3_id, count(*) AS n FROM linked GROUP BY ALL", hk=_HK, we=_W_EDGES, wn=_W_NODES, iv=_W_INTERVALS)
+    for name, (start, rels) in walks.METAPATHS.items():
+        parts[f"{name}_0"] = f"""SELECT idx * 2 + k AS walk, idx AS pos, CAST(idx AS VARCHAR) AS path FROM wn,
+            (SELECT unnest([0, 1]) AS k) WHERE node_type = '{start}'"""
+        for i in range(len(rels) + 1):
+            parts[f"{name}_{i + 1}"] = _weighted_step(i, rels[i % len(rels)], f"{name}_{i}")
+    return parts
+
+
+@query("weighted_walks", X.with_parts(
+    " UNION ALL ".join(f"SELECT '{n}' AS metapath, walk, path FROM {n}_{len(r) + 1}" for n, (_, r) in walks.METAPATHS.items()),
+    "linked", "groups", cat=_CAT, valid=_VALID.format(0.01), hp=_HP, **_weighted_parts()))
+def weighted_walks(spark, folder):
+    """Once around each of the five metapaths and a step further, two walks a node."""
+    stops, valid, nodes = _places(spark, folder)
+    groups = X.device_groups(spark, folder)
+    visits = graph.weighted_visit_edges(stops.groupBy("device_aid", "h3_id").agg(F.count("*").alias("freq_wi")))
+    kinds = cut_lineage(graph.kind_edges(stops))
+    kind_nodes = graph.node_table(stops, kinds.filter("rel = 'contains'").select(F.col("dst").alias("primary")).distinct(), groups)
+    edges = visits.unionByName(graph.group_edges(groups).withColumn("weight", F.col("weight").cast("int")))
+    by_place = cut_lineage(walks.index_edges(edges.unionByName(graph.category_edges(stops, valid)), nodes))
+    by_kind = cut_lineage(walks.index_edges(edges.unionByName(kinds), kind_nodes))
+    out = None
+    for name, (start, path) in walks.METAPATHS.items():
+        walked = walks.random_walks(nodes, by_kind if "kinds" in name else by_place, start, path, len(path) + 1, 2)
+        walked = walked.select(F.lit(name).alias("metapath"), "walk", F.array_join("path", "-").alias("path"))
+        out = walked if out is None else out.unionByName(walked)
+    return out
+
+
+def _embedded(spark, folder, epochs=6, dim=64, length=20, per_node=20):
     stops, valid, nodes = _places(spark, folder)
     start, path = walks.METAPATHS["places"]
     walked = walks.random_walks(nodes, walks.index_edges(_edges(stops, valid), nodes), start, path, length, per_node)
     ids = nodes.filter("node_type <> 'group'").withColumn("id", walks.node_id(F.col("node_type"), F.col("idx")))
     ids = cut_lineage(ids)
-    vectors, losses = embed.skip_gram(ids.select("id"), walks.with_node_ids(walked, start, path), dim=dim, epochs=epochs, steps=steps)
+    vectors, losses = embed.skip_gram(ids.select("id"), walks.with_node_ids(walked, start, path), dim=dim, epochs=epochs)
     return ids, vectors, losses
 
 
@@ -262,6 +324,47 @@ def pearson_ice(spark, folder):
     return rounded(out.select("a", "b", "r", "n"), ["r"])
 
 
+def _cell_vectors(spark, folder):
+    """Vectors with the diversity of the cell each stands for; several may share one."""
+    cells = cut_lineage(D.cell_rollup(diversity(spark, folder)).select("h3_id", "ice_birth", "ice_income"))
+    numbered = cells.join(graph.dense_ids(cells, "h3_id", "number"), "h3_id")
+    vectors = X.table(spark, folder, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("embedding"), (F.col("vec_id") % cells.count()).alias("number"))
+    return vectors.join(numbered, "number")
+
+
+# The leading direction of a covariance matrix, by squaring it until only that direction is left.
+_LEADING = """SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (SELECT unnest(m) AS v FROM (
+    WITH RECURSIVE sq AS (SELECT 0 AS k, m FROM {0} UNION ALL SELECT k + 1, list_transform(t, lambda r: list_transform(r, lambda x:
+        x / sqrt(list_dot_product(flatten(t), flatten(t))))) FROM (SELECT k, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS t
+        FROM sq WHERE k < 24)) SELECT m FROM sq WHERE k = 24)) ORDER BY list_dot_product(v, v) DESC LIMIT 1"""
+_PCA = dict(
+    cv="""SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, ice_birth, ice_income FROM embeddings JOIN
+        (SELECT avg(ice_birth) AS ice_birth, avg(ice_income) AS ice_income, row_number() OVER (ORDER BY h3_id) - 1 AS r,
+         count(*) OVER () AS n FROM diversity GROUP BY h3_id) ON vec_id % n = r""",
+    un="SELECT vec_id, generate_subscripts(x, 1) AS d, unnest(x) AS v FROM cv",
+    c1="""SELECT list(m ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS m FROM (SELECT a.d AS i, b.d AS j, covar_pop(a.v, b.v) AS c
+        FROM un a JOIN un b USING (vec_id) GROUP BY ALL) GROUP BY i)""",
+    v1=_LEADING.format("c1"),
+    c2="""SELECT list_transform(m, lambda r, i: list_transform(r, lambda c, j: c - l * v[i] * v[j])) AS m FROM
+        (SELECT m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM c1, v1)""",
+    v2=_LEADING.format("c2"),
+    pcs="SELECT cv.*, list_dot_product(x, v1.v) AS pc1, list_dot_product(x, v2.v) AS pc2 FROM cv, v1, v2")
+
+
+@query("pearson_components", X.with_parts(
+    " UNION ALL ".join(f"""SELECT '{t}' AS a, '{c}' AS b, round(corr({t}, {c}) * CASE WHEN corr(ice_birth, {c}) < 0 THEN -1 ELSE 1 END, 5) AS r,
+        count(*) AS n FROM pcs""" for t in ("ice_birth", "ice_income") for c in ("pc1", "pc2")), "diversity", **_PCA))
+def pearson_components(spark, folder):
+    out = diagnose.component_correlations(_cell_vectors(spark, folder), "embedding", ["ice_birth", "ice_income"])
+    return rounded(out.select("a", "b", "r", "n"), ["r"], 5)
+
+
+@query("ridge_index")
+def ridge_index(spark, folder):
+    return diagnose.ridge_index(_cell_vectors(spark, folder), "embedding", ["ice_birth", "ice_income"], "vec_id")
+
+
 @query("loss_checks", """
     SELECT run, steps, first_loss, last_loss, round(100 * (1 - last_loss / first_loss), 4) AS reduction,
       NOT (last_loss > first_loss * 0.9) AS converged FROM (SELECT user_id AS run, count(*) AS steps,

@@ -258,7 +258,31 @@ def _work_labels(spark, folder):
     return work.label_stays(homes.load_stays(X.stays(spark, folder)), **C.WORK_PARAMS["batch"])
 
 
-@query("work_label")
+def _labelled_sql(shares: str, days: int, missing: float, share: float, visited: float) -> str:
+    """The best place of each day whose window of ``days`` around it passes."""
+    near = f"RANGE BETWEEN INTERVAL {days // 2} DAYS PRECEDING AND INTERVAL {days - days // 2 - 1} DAYS FOLLOWING"
+    return f"""SELECT device_aid, day, loc FROM (SELECT *, row_number() OVER (PARTITION BY device_aid, day ORDER BY mean DESC, loc) AS r FROM
+        (SELECT s.device_aid, s.day, loc, round(total / valid, 9) AS mean, days / valid AS visited, valid FROM
+          (SELECT *, sum(share) OVER w AS total, count(*) OVER w AS days FROM {shares}
+           WINDOW w AS (PARTITION BY device_aid, loc ORDER BY day {near})) s
+          JOIN (SELECT device_aid, day, count(*) OVER (PARTITION BY device_aid ORDER BY day {near}) AS valid FROM
+            (SELECT DISTINCT device_aid, day FROM {shares})) v ON v.device_aid = s.device_aid AND v.day = s.day)
+        WHERE 1 - valid / {days} <= {missing} AND mean >= {share} AND visited >= {visited}) WHERE r = 1"""
+
+
+def _plain_shares(condition: str) -> str:
+    return _shares_sql(condition).replace("CAST(day AS VARCHAR) AS day", "day").replace("round(least(1e0, hours / observed), 6)", "least(1e0, hours / observed)")
+
+
+@query("work_label", X.with_parts(
+    """SELECT device_aid, loc, location_type, count(*) AS n FROM (SELECT k.device_aid, k.loc,
+         CASE WHEN h.loc IS NOT NULL THEN 'H' WHEN w.loc IS NOT NULL THEN 'W' ELSE 'O' END AS location_type FROM kept k
+       LEFT JOIN homes_ h ON h.device_aid = k.device_aid AND h.loc = k.loc AND h.day = CAST(localtime_ AS DATE)
+       LEFT JOIN works w ON w.device_aid = k.device_aid AND w.loc = k.loc AND w.day = CAST(localtime_ AS DATE)) GROUP BY ALL""",
+    "timed", kept=_KEPT, presence=_PRESENCE, nights=_plain_shares("hour >= 22 OR hour < 7"), homes_=_labelled_sql("nights", 28, 0.4, 0.2, 0),
+    hours=_plain_shares("hour BETWEEN 9 AND 16 AND dow <= 5"),
+    away="SELECT * FROM hours WHERE (device_aid, loc) NOT IN (SELECT (device_aid, loc) FROM homes_)",
+    works=_labelled_sql("away", 42, 0.8, 0.2, 0.2)))
 def work_label(spark, folder):
     return _work_labels(spark, folder).groupBy("device_aid", "loc", "location_type").agg(F.count("*").alias("n"))
 

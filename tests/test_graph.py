@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stayweave.operators import cluster, community, describe, diagnose, embed, filters, graph, walks, weights
@@ -43,15 +44,29 @@ def test_dead_end_ends_the_walk(spark):
     assert lengths == {0: 9, 1: 2}
 
 
-def test_slots_repeat_by_weight_across_slices(spark):
-    edges = spark.createDataFrame([("visits", 0, d, 1 + d % 3) for d in range(30)], "rel string, src bigint, dst bigint, weight int")
-    before, walks.SLOTS_PER_SLICE = walks.SLOTS_PER_SLICE, 7
-    try:
-        rows = walks.edge_slots(edges).orderBy("slot").collect()
-    finally:
-        walks.SLOTS_PER_SLICE = before
-    assert [r["slot"] for r in rows] == list(range(60))
-    assert [r["dst"] for r in rows] == [d for d in range(30) for _ in range(1 + d % 3)]
+def test_weights_lie_side_by_side_across_slices(spark, monkeypatch):
+    edges = spark.createDataFrame([("visits", 0, d, 1 + d % 3) for d in range(30)] + [("visits", 1, 2, 0)],
+                                  "rel string, src bigint, dst bigint, weight int")
+    monkeypatch.setattr(walks, "SLOTS_PER_SLICE", 7)
+    rows = walks.edge_intervals(edges).orderBy("begin").collect()
+    assert [s for r in rows for s in range(r["begin"], r["end"])] == list(range(60))
+    assert [r["dst"] for r in rows for _ in range(r["end"] - r["begin"])] == [d for d in range(30) for _ in range(1 + d % 3)]
+    buckets, nodes = walks.weight_buckets(walks.edge_intervals(edges))
+    width = nodes.first()["width"]
+    for r in buckets.collect():
+        assert r["begin"] < (r["bucket"] + 1) * width and r["end"] > r["bucket"] * width
+    assert sum(1 for _ in buckets.collect()) <= 60
+
+
+def test_a_weight_of_ten_billion(spark):
+    nodes = spark.createDataFrame([("individual", i) for i in range(200)] + [("hexagon", i) for i in range(51)], "node_type string, idx bigint")
+    edges = spark.createDataFrame(
+        [("visits", i, c, 10_000_000_000 if c == 50 else 1_000_000_000 if c == 49 else 1) for i in range(200) for c in range(51)]
+        + [("visited_by", c, c, 1) for c in range(51)], "rel string, src bigint, dst bigint, weight bigint")
+    assert walks.weight_buckets(walks.edge_intervals(edges))[0].count() <= 2 * edges.count()
+    paths = [r["path"] for r in walks.random_walks(nodes, edges, "individual", ["visits", "visited_by"], 1, 10).collect()]
+    ends = [p[1] for p in paths]
+    assert len(paths) == 2000 and set(ends) == {49, 50} and abs(ends.count(49) / 2000 - 1 / 11) < 0.03
 
 
 def test_context_pairs(spark):
@@ -66,8 +81,8 @@ def test_training_lowers_the_loss_and_pulls_neighbours_together(spark):
     nodes = graph.node_table(stops).withColumn("id", walks.node_id(F.col("node_type"), F.col("idx")))
     start, path = walks.metapath()
     paths = walks.random_walks(nodes, walks.index_edges(graph.visit_edges(stops), nodes), start, path, 6, 6)
-    vectors, losses = embed.skip_gram(nodes.select("id"), walks.with_node_ids(paths, start, path), dim=8, epochs=12, patience=12)
-    trace = [r["loss"] for r in losses.orderBy("epoch").collect()]
+    vectors, losses = embed.skip_gram(nodes.select("id"), walks.with_node_ids(paths, start, path), dim=8, epochs=12, patience=12, rate=0.05, batch=16)
+    trace = [r["loss"] for r in losses.orderBy("epoch", "step").collect()]
     assert trace[-1] < 0.9 * trace[0]
     out = embed.export_embeddings(vectors, nodes, "individual").collect()
     unit = {int(r["key"][1:]): np.array(r["vec"]) / np.linalg.norm(r["vec"]) for r in out}
@@ -77,11 +92,50 @@ def test_training_lowers_the_loss_and_pulls_neighbours_together(spark):
     assert embed.export_embeddings(vectors, nodes, "hexagon", wide=True).columns == ["node_idx", "key", *[f"x{i}" for i in range(8)]]
 
 
-def test_batches_make_more_steps_in_an_epoch(spark):
-    walked = spark.createDataFrame([([i, (1 << walks.TYPE_BITS) + i % 3] * 4,) for i in range(12)], "nodes array<long>")
+@pytest.mark.parametrize("blocks", [1, 2, 4, 6, 10])
+def test_every_two_blocks_meet_once(spark, blocks):
+    seen = []
+    for turn in range(blocks):
+        low = embed._partner(blocks, turn)
+        pairs = {b: [c for c in range(blocks) if low[c] == b] for b in set(low)}
+        assert all(min(members) == b and len(members) <= 2 for b, members in pairs.items())
+        seen += [(min(m), max(m), turn) for m in pairs.values() if turn == blocks - 1 or len(m) == 2]
+    assert len({s[:2] for s in seen}) == len(seen) == blocks * (blocks + 1) // 2
+    df = spark.createDataFrame(seen, "low int, high int, turn int")
+    assert df.filter(embed._turn(F.col("low"), F.col("high"), blocks) != F.col("turn")).count() == 0
+
+
+def test_training_goes_over_every_pair_and_keeps_every_node(spark):
+    walked = spark.createDataFrame([([i, (1 << walks.TYPE_BITS) + i % 3] * 4,) for i in range(40)], "nodes array<long>")
     nodes = walked.select(F.explode("nodes").alias("id")).distinct()
-    got = {k: embed.skip_gram(nodes, walked, dim=8, epochs=3, patience=3, steps=k)[1].orderBy("epoch").collect() for k in (1, 4)}
-    assert [r["step"] for r in got[4]] == [4, 8, 12] and got[4][-1]["loss"] < got[1][-1]["loss"]
+    pairs = embed.context_pairs(walked).count()
+    runs = [embed.skip_gram(nodes, walked, dim=8, epochs=2, batch=16, log_steps=3, blocks=b) for b in (1, 4)]
+    for vectors, losses in runs:
+        assert vectors.count() == nodes.count() == vectors.select("id").distinct().count()
+        assert losses.filter("epoch = 1 and loss is null").count() == 0
+    assert runs[0][1].filter("epoch = 1").agg(F.max("step")).first()[0] == -(-pairs // 16)
+    again = embed.skip_gram(nodes, walked, dim=8, epochs=2, batch=16, log_steps=3, blocks=4)[0]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, runs[1][0].collect()))
+
+
+def test_training_stops_where_the_loss_does():
+    assert not embed.stalled([1.0, 0.9, 0.9, 0.9, 0.8], 3, 0.01) and embed.stalled([1.0, 0.9, 0.9, 0.9, 0.895], 3, 0.01)
+
+
+def test_planted_groups_are_told_apart(spark):
+    # sixty devices of three groups, each with its own ten cells
+    stops = spark.createDataFrame([(f"d{i:02d}", 100 * (i % 3) + (i * 7 + k) % 10) for i in range(60) for k in range(4)], "device_aid string, h3_id bigint")
+    nodes = graph.node_table(stops).withColumn("id", walks.node_id(F.col("node_type"), F.col("idx"))).persist()
+    start, path = walks.metapath()
+    paths = walks.random_walks(nodes, walks.index_edges(graph.visit_edges(stops), nodes), start, path, 20, 20)
+    vectors, losses = embed.skip_gram(nodes.select("id"), walks.with_node_ids(paths, start, path), dim=16, batch=64, epochs=6)
+    trace = [r["loss"] for r in losses.orderBy("epoch", "step").collect()]
+    assert trace[0] > 1.3 and np.mean(trace[-4:]) < 1.05
+    out = embed.export_embeddings(vectors, nodes, "individual").collect()
+    unit = {int(r["key"][1:]): np.array(r["vec"]) / np.linalg.norm(r["vec"]) for r in out}
+    same = [unit[i] @ unit[j] for i in unit for j in unit if i < j and (i - j) % 3 == 0]
+    other = [unit[i] @ unit[j] for i in unit for j in unit if i < j and (i - j) % 3]
+    assert np.mean(same) > 0.5 and np.mean(same) > np.mean(other) + 0.5
 
 
 def test_node_embeddings_are_registered_whole(spark, monkeypatch):
@@ -93,7 +147,7 @@ def test_node_embeddings_are_registered_whole(spark, monkeypatch):
     monkeypatch.setattr(walks, "random_walks", lambda *a: seen.append(a[4:]) or plain(*a[:4], 1, 1))
     monkeypatch.setattr(embed, "skip_gram", lambda *a, **b: seen.append(b) or (None, None))
     graph_queries._embedded(spark, SMALL)
-    assert seen == [(20, 20), {"dim": 64, "epochs": 6, "steps": 8}]
+    assert seen == [(20, 20), {"dim": 64, "epochs": 6}]
 
 
 def test_communities_of_two_cliques(spark):

@@ -6,6 +6,8 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from stayweave import constants as C
@@ -117,11 +119,107 @@ def test_quantiles_of_large_and_small_groups(spark):
     rows = [(k, float(v)) for k, vs in values.items() for v in vs]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = {"lo": 0.05, "mid": 0.5, "hi": 0.95, "all": 1.0}
-    for row in quantiles.exact_quantiles(df, ["k"], "v", probs, accuracy=500).collect():
+    for row in quantiles.exact_quantiles(df, ["k"], "v", probs, small=500).collect():
         for name, p in probs.items():
             assert math.isclose(row[name], np.quantile(values[row["k"]], p), rel_tol=1e-12), (row["k"], name)
 
 
+def test_ranks_where_a_sketch_would_miss(spark):
+    # a third of the rows at two neighbouring doubles around the median, the rest over all magnitudes, infinite ones included
+    rnd = np.random.default_rng(5)
+    close = np.where(rnd.random(2000) < 0.5, 1.0, np.nextafter(1.0, 2))
+    wide = np.concatenate([s * 2.0 ** rnd.integers(-1074, 1023, 1000) * (1 + rnd.random(1000)) for s in (1, -1)])
+    values = np.concatenate([close, wide, [np.inf] * 300, [-np.inf] * 300, np.zeros(50), 1.0 + 2.0 ** -rnd.integers(1, 52, 800)])
+    df = spark.createDataFrame([(None, float(v)) for v in values] + [("x", 1.0)], "k string, v double").repartition(5)
+    ordered = np.sort(values)
+    probs = {f"p{k}": k / (len(values) - 1) for k in rnd.integers(310, len(values) - 310, 6).tolist() + [0, 5, len(values) // 2, len(values) - 1]}
+    got = quantiles.exact_quantiles(df, ["k"], "v", probs, small=20, buckets=16).filter("k is null").first()
+    for name, p in probs.items():
+        rank = p * (len(values) - 1)
+        low, high = (float(ordered[int(f(rank))]) for f in (np.floor, np.ceil))
+        want = low if low == high else low + (high - low) * (rank - np.floor(rank))
+        assert got[name] == want or math.isnan(want) and math.isnan(got[name]), (name, got[name], want)
+    assert quantiles.exact_quantiles(df.filter("v > 9e307 and v < -1"), [], "v", {"m": 0.5}).count() == 0
+
+
+def test_medians_of_small_and_large_keys(spark):
+    df = spark.range(3000).selectExpr("if(id < 2500, 'big', 'k' || id % 7) AS k", "pmod(hash(id), 1000) / 7.0 AS v", "id")
+    got = quantiles.exact_medians(df, ["k"], {"m": "v"}, [F.count("*").alias("n")], small=100).collect()
+    want = {r.k: (r.n, r.m) for r in df.groupBy("k").agg(F.count("*").alias("n"), F.median("v").alias("m")).collect()}
+    assert {r.k: (r.n, r.m) for r in got} == want
+
+
+def test_busy_keys_become_rectangles(spark):
+    left = spark.range(3000).selectExpr("if(id % 3 > 0, 0, id % 5) AS k", "id AS v").withColumn("twin", F.lit(1))
+    right = spark.range(2000).selectExpr("if(id % 2 > 0, 0, id % 7) AS k", "id AS w")
+    plain = left.join(right, "k").groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("v") * F.col("w")).alias("s"))
+    dealt = skew.salted_join(left, right, ["k"], rows_per_salt=100)
+    assert sorted(map(tuple, dealt.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("v") * F.col("w")).alias("s")).collect())) == sorted(
+        map(tuple, plain.collect()))
+    grid = {r.k: (r._r, r._s) for r in skew.busy_keys(left, right, ["k"], 100).collect()}
+    assert grid[0] == (22, 12) and (1, 1) not in grid.values()
+
+
+def star(rnd, x, y, corners, size, turn=1):
+    angles = sorted(rnd.uniform(0, 2 * math.pi) for _ in range(corners))
+    return [(x + size * (0.2 + rnd.random()) * math.cos(a), y + size * (0.2 + rnd.random()) * math.sin(a)) for a in angles[::turn]]
+
+
+def polygons(seed):
+    rnd = random.Random(seed)
+    out = []
+    for k in range(25):
+        x, y = rnd.uniform(-300, 300), rnd.uniform(-300, 300)
+        rings = [star(rnd, x, y, rnd.randint(3, 30), rnd.choice([5, 40, 200]))]
+        if k % 3 == 0:
+            rings.append([(x + 900, y), (x + 1300, y), (x + 1300, y + 250), (x + 900, y + 250)])
+            rings.append([(x + 1000, y + 50), (x + 1000, y + 200), (x + 1200, y + 200), (x + 1200, y + 50)])
+        out.append((k, rings))
+    out.append((98, [[(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0), (0.0, 0.0)]]))
+    out.append((99, [[(-600.0, -600.0), (600.0, -600.0), (600.0, 600.0), (-600.0, 600.0)]]))
+    return out
+
+
+MANY = f"array<{RING}>"
+
+
+@pytest.mark.parametrize("size, reach", [(100.0, 0.0), (64.0, 30.0), (5000.0, 10.0)])
+def test_polygon_cells_equal_whole_polygons(spark, size, reach):
+    rnd = random.Random(size)
+    shapes = spark.createDataFrame(polygons(3), f"_sid long, rings {MANY}")
+    spots = [(rnd.uniform(-700, 1700), rnd.uniform(-700, 700)) for _ in range(400)]
+    spots += [(0.0, 0.0), (50.0, 0.0), (100.0, 30.0), (-600.0, 5.0), (600.0, 600.0), (0.0, 50.0), *[p for _, r in polygons(3)[:6] for p in r[0]]]
+    points = spark.createDataFrame(spots, "x double, y double")
+    whole = points.crossJoin(shapes).select("x", "y", "_sid", spatial.polygon_distance(F.col("x"), F.col("y"), F.col("rings"), True).alias("d"))
+    want = {(r.x, r.y, r._sid): r.d for r in whole.filter(F.col("d") <= reach).collect()}
+    placed = points.withColumns({"_bx": spatial._cell(F.col("x"), size), "_by": spatial._cell(F.col("y"), size)})
+    met = placed.join(spatial.edge_cells(shapes, size, reach), ["_bx", "_by"]).select("x", "y", "_sid", spatial.cell_distance(size).alias("d"))
+    got = {(r.x, r.y, r._sid): r.d for r in met.filter(F.col("d") <= reach).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+
+
+def test_a_long_outline_is_never_copied_whole(spark):
+    n = 20_000
+    ring = [(5000 * math.cos(2 * math.pi * k / n) * (1 + 0.01 * (k % 2)), 5000 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    shapes = spark.createDataFrame([(1, [ring])], f"_sid long, rings {MANY}")
+    cells = spatial.edge_cells(shapes, 500.0).select(F.size("_near").alias("n"), "_odd").collect()
+    assert max(r.n for r in cells) < n / 20 and sum(r.n for r in cells) < 2 * n
+    assert sum(r.n == 0 and r._odd for r in cells) > 200
+    strips = spatial.strip_edges(shapes, 500.0).select(F.size("_near").alias("n")).collect()
+    assert max(r.n for r in strips) < n / 4
+
+
+def test_overlay_of_any_polygon(spark):
+    shapes = spark.createDataFrame(polygons(4), f"id long, rings {MANY}")
+    tiles = [(f"{i} {j} {s}", i * s, j * s, i * s + s, j * s + s) for s, r in ((250.0, 8), (1000.0, 2), (170.0, 3)) for i in range(-r, r) for j in range(-r, r)]
+    squares = spark.createDataFrame(tiles, "Ruta string, x_min double, y_min double, x_max double, y_max double")
+    whole = shapes.crossJoin(squares).select("id", "Ruta", spatial.clipped_area(F.col("rings"), *map(
+        F.col, ["x_min", "y_min", "x_max", "y_max"]), many=True).alias("area"))
+    want = {(r.id, r.Ruta): r.area for r in whole.filter("area > 1e-6").collect()}
+    got = {(r.id, r.Ruta): r.area for r in spatial.overlay_squares(shapes, squares, 300.0).filter("area > 1e-6").collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-6) for k in want)
+
+
 def union_find(points, radius):
     parent = list(range(len(points)))
 
@@ -181,3 +279,32 @@ def test_dbscan_equals_the_definition(spark):
             assert (got[i] == -1) if not touching[i] else back[got[i]] in touching[i]
     counts = cluster.cluster_counts(df.select("i", (F.col("i") % 3 - 1).alias("cluster"))).first()
     assert counts["clusters"] == 2
+
+
+def test_two_dense_squares_that_touch(spark):
+    rnd = np.random.default_rng(6)
+    # each a square's worth of points; the closest two of the groups are just inside or just outside the radius
+    a = rnd.random((60_000, 2)) * 0.15
+    for shift, groups in ((1.14, 1), (1.16, 2)):
+        b = rnd.random((60_000, 2)) * 0.15 + [shift, 0.0]
+        both = np.concatenate([a, b])
+        df = spark.createDataFrame(pd.DataFrame({"x": both[:, 0], "y": both[:, 1]})).repartition(8)
+        gap = b[:, 0].min() - a[:, 0].max()
+        assert (gap > 1) == (groups == 2)
+        assert components.radius_components(df, [], 1.0).select("component").distinct().count() == groups
+
+
+@pytest.mark.parametrize("leaf", [1, 30])
+def test_quartered_pairs_equal_brute_force(spark, leaf, monkeypatch):
+    rnd = random.Random(leaf)
+    spots = [(cx + rnd.gauss(0, 0.1), cy + rnd.gauss(0, 0.1)) for cx, cy in ((0, 0), (1.3, 0), (2.5, 0.8), (5, 5), (6.2, 5.1)) for _ in range(40)]
+    plain = components._near_pairs
+    monkeypatch.setattr(components, "_near_pairs", lambda *a: plain(*a, leaf=leaf))
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)], "i int, x double, y double")
+    got = {}
+    for r in components.radius_components(df, [], 1.0).collect():
+        got.setdefault(r.component, set()).add(r.i)
+    want = {}
+    for i, g in enumerate(union_find(spots, 1.0)):
+        want.setdefault(g, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))

@@ -6,6 +6,7 @@ import math
 import random
 from statistics import median
 
+import pytest
 from pyspark.sql import functions as F
 
 from stayweave.operators import homes, ordered, stays, work
@@ -133,3 +134,24 @@ def test_work_place_and_labels(spark):
     assert (1, "H") in kinds and (2, "W") in kinds and (2, "H") not in kinds
     best = work.workplaces(labelled).collect()
     assert len(best) == 1 and best[0]["workplace_loc"] == 2 and best[0]["workplace_count"] >= 15
+
+
+def drifting(n, metres, seed=None):
+    """One device that never pauses: even steps, or random ones around a few spots."""
+    rnd, rows, lat, lon = random.Random(seed), [], 59.0, 18.0
+    for k in range(n):
+        rows.append(("a" if seed is None or rnd.random() < 0.9 else "b", 60 * k, lat, lon))
+        lat += metres / 111195 if seed is None else rnd.choice([0, 0, 0, 1, -1]) * metres / 111195
+        lon += 0 if seed is None else rnd.choice([0, 0, 0, 0, 1, -1]) * metres / 57000
+    return rows
+
+
+@pytest.mark.parametrize("rows, chunk", [(drifting(70, 9), 11), (drifting(400, 12, 1), 60), (drifting(300, 20, 2), 11)])
+def test_chunks_of_a_long_stretch_equal_the_plain_walk(spark, rows, chunk):
+    rows = list({(d, t): (d, t, la, lo) for d, t, la, lo in rows}.values())
+    got = stays.label_runs(pings(spark, rows).repartition(3), radius_m=30, max_gap_hours=3, chunk=chunk).collect()
+    want = plain_runs(rows, 30, 3 * 3600)
+    assert len(got) == len(rows)
+    # numbers count within a stretch here: the same pings must share a run
+    groups = lambda of: {frozenset(k for k, g in of.items() if g == x) for x in set(of.values())}
+    assert groups({(r.device_aid, r.timestamp, r.latitude, r.longitude): (r.device_aid, r.stretch, r.run) for r in got}) == groups(want)
