@@ -25,6 +25,8 @@ from stayweave.session import cut_lineage, released
 DECAY_1, DECAY_2, GUARD = 0.9, 0.999, 1e-8
 #: Nodes of a block (a task holds two), blocks at least (an even number), and pairs of a step.
 BLOCK_NODES, MIN_BLOCKS, BATCH = 50_000, 4, 1024
+#: Negatives a batch draws for each one a pair is to have: pairs share them.
+POOL = 32
 
 
 def context_pairs(walks: DataFrame, context: int = C.CONTEXT_SIZE) -> DataFrame:
@@ -48,17 +50,28 @@ class BlockTrainer:
         self.size = np.searchsorted(kinds, kinds, "right") - self.low
 
     def step(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> float:
-        """One step; the loss of the batch before it. Negatives replace the target by a held node of its type."""
+        """One step; the loss of the batch before it. The pairs of a batch with targets of one type share a pool of drawn
+        nodes of that type, the negatives of each of them."""
         s, d = np.searchsorted(self.ids, src), np.searchsorted(self.ids, dst)
         w = (weight / weight.sum()).astype(np.float32)
-        drawn = (self.draws.random((len(d), self.negatives)) * self.size[d][:, None]).astype(np.int64) + self.low[d][:, None]
-        a, b, c = self.vec[s], self.vec[d], self.vec[drawn]
+        a, b = self.vec[s], self.vec[d]
         near = 1 / (1 + np.exp(-np.einsum("ij,ij->i", a, b)))
-        far = 1 / (1 + np.exp(-np.einsum("ij,ikj->ik", a, c)))
-        loss = -(w * np.log(near + 1e-15)).sum() - (w[:, None] * np.log(1 - far + 1e-15)).sum() / self.negatives
-        g, h = ((near - 1) * w)[:, None], far * w[:, None] / self.negatives
-        pulls = np.concatenate([g * b + np.einsum("ik,ikj->ij", h, c), g * a, (h[:, :, None] * a[:, None, :]).reshape(-1, a.shape[1])])
-        rows = np.concatenate([s, d, drawn.ravel()])
+        loss = -(w * np.log(near + 1e-15)).sum()
+        g = ((near - 1) * w)[:, None]
+        rows, pulls, from_pool = [s, d], [g * b, g * a], np.zeros_like(a)
+        low = self.low[d]
+        for first in np.unique(low):
+            own = np.flatnonzero(low == first)
+            pool = first + (self.draws.random(self.negatives * POOL) * self.size[d[own[0]]]).astype(np.int64)
+            c = self.vec[pool]
+            far = 1 / (1 + np.exp(-(a[own] @ c.T)))
+            loss -= (w[own] * np.log(1 - far + 1e-15).mean(axis=1)).sum()
+            h = far * (w[own] / len(pool))[:, None]
+            from_pool[own] = h @ c
+            rows.append(pool)
+            pulls.append(h.T @ a[own])
+        pulls[0] += from_pool
+        rows, pulls = np.concatenate(rows), np.concatenate(pulls)
         order = np.argsort(rows, kind="stable")
         first = np.flatnonzero(np.diff(rows[order], prepend=-1))
         self._move(rows[order][first], np.add.reduceat(pulls[order], first, axis=0))
@@ -67,11 +80,12 @@ class BlockTrainer:
     def _move(self, rows: np.ndarray, grad: np.ndarray) -> None:
         """Adam on the rows of a batch alone; each row corrects by how often it has moved."""
         self.n[rows] += 1
-        self.m[rows] = DECAY_1 * self.m[rows] + (1 - DECAY_1) * grad
-        self.v[rows] = DECAY_2 * self.v[rows] + (1 - DECAY_2) * grad * grad
-        turns = self.n[rows][:, None].astype(np.float64)
-        m, v = self.m[rows] / (1 - DECAY_1**turns), self.v[rows] / (1 - DECAY_2**turns)
-        self.vec[rows] -= (self.rate * m / (np.sqrt(v) + GUARD)).astype(np.float32)
+        m = self.m[rows] = np.float32(DECAY_1) * self.m[rows] + np.float32(1 - DECAY_1) * grad
+        v = self.v[rows] = np.float32(DECAY_2) * self.v[rows] + np.float32(1 - DECAY_2) * grad * grad
+        turns = self.n[rows].astype(np.float64)
+        pace = (self.rate / (1 - DECAY_1**turns)).astype(np.float32)[:, None]
+        spread = (1 / np.sqrt(1 - DECAY_2**turns)).astype(np.float32)[:, None]
+        self.vec[rows] -= pace * m / (np.sqrt(v) * spread + np.float32(GUARD))
 
 
 def _partner(blocks: int, turn: int) -> list[int]:
@@ -94,16 +108,41 @@ def _turn(low: Column, high: Column, blocks: int) -> Column:
     return F.when(low == high, blocks - 1).otherwise(met)
 
 
+def _first_vectors(ids: np.ndarray, dim: int, seed: int) -> np.ndarray:
+    """Small vectors that depend on the node's id alone."""
+    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, dim + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    x += np.uint64(seed)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (((x ^ (x >> np.uint64(31))) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24) - np.float32(0.5)) / np.float32(dim**0.5)
+
+
 def _trained(rows: DataFrame, dim: int, rate: float, negatives: int, batch: int, log_steps: int, seed: list[int]) -> DataFrame:
-    """Train each partition's pairs on its vectors. A partition has its vectors first, then the pairs in their order."""
+    """Train each partition's pairs on its vectors. A partition has its nodes first, then the pairs in their order.
+
+    A node's ``state`` is its vector and Adam's two means as 32-bit floats, NULL before the first turn.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        grid = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         held, trainer, losses = [], None, []
         left = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
 
+        def begun() -> BlockTrainer:
+            ids, n = (np.concatenate([h[k] for h in held] + [np.zeros(0, dtype=np.int64)]) for k in (0, 2))
+            state = np.zeros((len(ids), 3, dim), dtype=np.float32)
+            at = 0
+            for own, raw, _ in held:
+                for k, one in enumerate(raw):
+                    if one is None:
+                        state[at + k, 0] = _first_vectors(own[k:k + 1], dim, seed[0])[0]
+                    else:
+                        state[at + k] = np.frombuffer(one, dtype="<f4").reshape(3, dim)
+                at += len(own)
+            return BlockTrainer(ids, [*(np.ascontiguousarray(state[:, k]) for k in range(3)), n], rate, negatives,
+                                [*seed, TaskContext.get().partitionId()])
+
         def train(pairs: list[np.ndarray], least: int) -> list[np.ndarray]:
             at = 0
             while len(pairs[0]) - at >= least and at < len(pairs[0]):
@@ -116,42 +155,42 @@ def _trained(rows: DataFrame, dim: int, rate: float, negatives: int, batch: int,
             is_pair = part.column("is_pair").to_numpy(zero_copy_only=False)
             nodes, pairs = part.filter(pa.array(~is_pair)), part.filter(pa.array(is_pair))
             if nodes.num_rows:
-                held.append([nodes.column("id").to_numpy(), *[grid(nodes.column(c)) for c in ("vec", "m", "v")],
-                             nodes.column("n").to_numpy()])
+                held.append((nodes.column("id").to_numpy(), nodes.column("state").to_pylist(), nodes.column("n").to_numpy().astype(np.int64)))
             if pairs.num_rows:
-                if trainer is None:
-                    ids, *state = [np.concatenate(x) for x in zip(*held)]
-                    trainer = BlockTrainer(ids, state, rate, negatives, [*seed, TaskContext.get().partitionId()])
-                    held = []
+                trainer = trainer or begun()
                 own = [pairs.column(c).to_numpy() for c in ("src", "dst", "weight")]
                 left = train([np.concatenate(x) for x in zip(left, own)], batch)
+        if trainer is None and held:
+            trainer = begun()
         if trainer is not None:
             train(left, 1)
-            held = [[trainer.ids, trainer.vec, trainer.m, trainer.v, trainer.n]]
-        for ids, vec, m, v, n in held:
-            for at in range(0, len(ids), 4096):
-                flat = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * dim, pa.int32()), pa.array(x.ravel().astype(np.float32)))
-                        for x in (y[at:at + 4096] for y in (vec, m, v))]
-                some = len(flat[0])
+            state = np.stack([trainer.vec, trainer.m, trainer.v], axis=1).astype("<f4")
+            for at in range(0, len(state), 4096):
+                own = state[at:at + 4096]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at:at + 4096]), *flat, pa.array(n[at:at + 4096], pa.int32()), pa.nulls(some, pa.int32()),
-                     pa.nulls(some, pa.float64()), pa.nulls(some, pa.float64())], names=names)
+                    [pa.array(trainer.ids[at:at + 4096]), pa.array([x.tobytes() for x in own], pa.binary()),
+                     pa.array(trainer.n[at:at + 4096], pa.int32()), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.float64()),
+                     pa.nulls(len(own), pa.float64())], names=names)
         if losses:
             loss, weight = (np.array(x) for x in zip(*losses))
             edges = np.arange(0, len(loss), log_steps)
             total, mass = np.add.reduceat(loss * weight, edges), np.add.reduceat(weight, edges)
-            nothing = [pa.nulls(len(edges), pa.int64()), *[pa.nulls(len(edges), pa.list_(pa.float32()))] * 3, pa.nulls(len(edges), pa.int32())]
-            ends = np.minimum(edges + log_steps, len(loss))
-            yield pa.RecordBatch.from_arrays([*nothing, pa.array(ends, pa.int32()), pa.array(total), pa.array(mass)], names=names)
+            k = len(edges)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()),
+                 pa.array(np.minimum(edges + log_steps, len(loss)), pa.int32()), pa.array(total), pa.array(mass)], names=names)
 
-    names = ["id", "vec", "m", "v", "n", "step", "loss", "mass"]
-    return rows.mapInArrow(run, "id bigint, vec array<float>, m array<float>, v array<float>, n int, step int, loss double, mass double")
+    names = ["id", "state", "n", "step", "loss", "mass"]
+    return rows.mapInArrow(run, "id bigint, state binary, n int, step int, loss double, mass double")
 
 
-def _start(dim: int, seed: int) -> Column:
-    unit = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: (
-        F.pmod(F.xxhash64("id", j, F.lit(seed)), F.lit(1 << 20)) / (1 << 20) - 0.5) / dim**0.5)
-    return unit.cast("array<float>")
+def _vectors(state: DataFrame, dim: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [np.frombuffer(b, dtype="<f4")[:dim].astype(np.float64) for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["id", "vec"])
+
+    return state.select("id", "state").mapInArrow(run, "id bigint, vec array<double>")
 
 
 def skip_gram(nodes: DataFrame, walks: DataFrame, dim: int = C.EMBEDDING_DIM, context: int = C.CONTEXT_SIZE,
@@ -172,8 +211,7 @@ def skip_gram(nodes: DataFrame, walks: DataFrame, dim: int = C.EMBEDDING_DIM, co
     low, high = F.least(block("src"), block("dst")), F.greatest(block("src"), block("dst"))
     pairs = cut_lineage(context_pairs(walks, context).select(
         "src", "dst", F.col("weight").cast("double").alias("weight"), low.alias("task"), _turn(low, high, blocks).alias("turn")))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    state, written = nodes.select("id", _start(dim, seed).alias("vec"), zero.alias("m"), zero.alias("v"), F.lit(0).alias("n")), None
+    state, written = nodes.select("id", F.lit(None).cast("binary").alias("state"), F.lit(0).alias("n")), None
     history, stop = [], False
     for epoch in range(1, epochs + 1):
         done = 0
@@ -188,12 +226,12 @@ def skip_gram(nodes: DataFrame, walks: DataFrame, dim: int = C.EMBEDDING_DIM, co
             losses = after.filter(F.col("id").isNull()).groupBy("step").agg(F.sum("loss"), F.sum("mass")).collect()  # a row per 50 batches
             if written is not None:
                 released(written)
-            written, state = after, after.filter(F.col("id").isNotNull()).select("id", "vec", "m", "v", "n")
+            written, state = after, after.filter(F.col("id").isNotNull()).select("id", "state", "n")
             history += [(epoch, done + r[0], r[1] / r[2]) for r in sorted(losses)]
             done += max((r[0] for r in losses), default=0)
         if stalled([r[2] for r in history if r[0] == epoch], patience, min_delta):
             break
-    return state.select("id", F.col("vec").cast("array<double>").alias("vec")), spark.createDataFrame(history, "epoch int, step int, loss double")
+    return _vectors(state, dim), spark.createDataFrame(history, "epoch int, step int, loss double")
 
 
 def stalled(losses: list[float], patience: int, min_delta: float) -> bool:

@@ -335,9 +335,11 @@ def _cell_vectors(spark, folder):
 
 # The leading direction of a covariance matrix, by squaring it until only that direction is left.
 _LEADING = """SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (SELECT unnest(m) AS v FROM (
-    WITH RECURSIVE sq AS (SELECT 0 AS k, m FROM {0} UNION ALL SELECT k + 1, list_transform(t, lambda r: list_transform(r, lambda x:
-        x / sqrt(list_dot_product(flatten(t), flatten(t))))) FROM (SELECT k, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS t
-        FROM sq WHERE k < 24)) SELECT m FROM sq WHERE k = 24)) ORDER BY list_dot_product(v, v) DESC LIMIT 1"""
+    WITH RECURSIVE sq AS (SELECT 0 AS k, m FROM {0} UNION ALL
+      SELECT k + 1, list_transform(t, lambda r: list_transform(r, lambda x: x / s)) FROM
+        (SELECT k, t, sqrt(list_dot_product(flatten(t), flatten(t))) AS s FROM
+          (SELECT k, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS t FROM sq WHERE k < 24)))
+    SELECT m FROM sq WHERE k = 24)) ORDER BY list_dot_product(v, v) DESC LIMIT 1"""
 _PCA = dict(
     cv="""SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, ice_birth, ice_income FROM embeddings JOIN
         (SELECT avg(ice_birth) AS ice_birth, avg(ice_income) AS ice_income, row_number() OVER (ORDER BY h3_id) - 1 AS r,
