@@ -15,6 +15,8 @@ from functools import lru_cache
 import regex
 from tokenizers import Tokenizer
 
+from stayweave.llm.bytepairs import byte_letters, file_encoder
+
 #: Entries of a word cache before it starts anew.
 CACHE_WORDS = 500_000
 #: Letters from here on take the tokenizer's own normaliser and cutter instead of the short way.
@@ -23,17 +25,6 @@ PLAIN_BELOW = "ɐ"
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are written as little-endian 32-bit integers")
 
-_SPACES = re.compile(r"\s\s|^\s|\s$")
-_CUTS = re.compile(r"(?<=\S)(?= \S)")
-
-
-def byte_letters() -> dict[int, str]:
-    """The letter by which byte-level vocabularies write each byte: printable Latin-1 stands for itself, the rest
-    follows from 256 on in order."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
 
 class _Words(dict):
     """Piece of text to the little-endian 32-bit ids it encodes to."""
@@ -50,23 +41,20 @@ class _Words(dict):
 
 
 class WordEncoder:
-    """Encodes texts with one tokenizer file; special tokens in a text are ordinary text."""
+    """Encodes texts with a tokenizer file that drops white space; strings of added tokens get their ids, as the library does."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         spec = json.loads(open(path, encoding="utf-8").read())
-        self.drops_space = spec["normalizer"] is not None
-        self.pattern = regex.compile(
-            spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if self.drops_space
-            else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = byte_letters()
         self.space = self.letters[32]
         self.tokens = _Words(self._token)
-        self.pieces = _Words(self._piece)
-        self.starts = _Words(self._cut)
+        self.pieces = _Words(self._cut)
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]}
+        self.marks = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.added, key=len, reverse=True)))
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -83,26 +71,37 @@ class WordEncoder:
             return b""
         if max(piece) >= PLAIN_BELOW:
             return self._whole(piece)
-        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(piece.lower() if self.drops_space else piece)))
+        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(piece.lower())))
 
-    def _piece(self, piece: str) -> bytes:
-        if self.drops_space or piece[:1] == "\n":
-            return self._cut(piece)
-        return self._cut(" " + piece)
+    def _ordinary(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; a null text counts as an empty one."""
         if not text:
             return b""
-        if self.drops_space:
-            return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
-        if _SPACES.search(text):  # spaces that touch: cut only at single ones between words
-            return b"".join(map(self.starts.__getitem__, _CUTS.split(text)))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.starts[first] + b"".join(map(self.pieces.__getitem__, rest))
+        if self.marks.search(text) is None:
+            return self._ordinary(text)
+        out, at = [], 0
+        for found in self.marks.finditer(text):
+            out += [self._ordinary(text[at:found.start()]), self.added[found.group()]]
+            at = found.end()
+        return b"".join([*out, self._ordinary(text[at:])])
+
+
+class ByteTokens:
+    """Encodes texts with a byte-level tokenizer file; strings of added tokens get their ids."""
+
+    def __init__(self, path: str):
+        self.own = file_encoder(path, special=True)
+
+    def encode(self, text: str | None) -> bytes:
+        return self.own.encode(text).tobytes()
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | ByteTokens:
     """One encoder per worker and file."""
-    return WordEncoder(path)
+    with open(path, encoding="utf-8") as file:
+        drops_space = json.load(file)["normalizer"] is not None
+    return WordEncoder(path) if drops_space else ByteTokens(path)

@@ -18,13 +18,12 @@ from stayweave.llm import bitplanes, packing, pieces, queries, wordpiece
 from stayweave.llm.tokens import encoder
 
 TEXTS = ["", " a", "a ", "a  b", "x\n\ny \n z", "a\tb c", "<|endoftext|> hi", "it's 'd x's", "ΑΣ ΟΔΟΣ. ς", "é ́x İ 日本 語\n語", "a\n b",
-         "1 22 333,4.5", "\n", "don't\nI'll", "A b 　 c", "a\x1cb\x1f c"]
+         "1 22 333,4.5", "\n", "don't\nI'll", "a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|> <|endoftext|><|endoftext|>Y ", "A b 　 c", "a\x1cb\x1f c"]
 WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
 def library(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
