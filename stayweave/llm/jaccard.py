@@ -49,8 +49,8 @@ def spare(n: int, num: int, den: int) -> int:
 
 
 def signatures(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _row, n, h1, h2, point, keys, may_drop`` of each row."""
-    schema = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("point", pa.binary()),
+    """``_id, _check, _row, n, h1, h2, point, keys, may_drop`` of each row; ``_check`` is a hash of the text."""
+    schema = pa.schema([("_id", pa.int64()), ("_check", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("point", pa.binary()),
                         ("keys", pa.list_(pa.int64())), ("may_drop", pa.int32())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,11 +69,11 @@ def signatures(docs: DataFrame, width: int, num: int, den: int, id_col: str, tex
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(points, pa.binary()),
+                batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(points, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(drops, pa.int32())], schema=schema)
 
-    found = arrow(docs.select(F.col(id_col).cast("bigint").alias("_id"), text_of(text_col).alias("_text")), sign,
-                  "_id bigint, n bigint, h1 bigint, h2 bigint, point binary, keys array<bigint>, may_drop int")
+    found = arrow(docs.select(F.col(id_col).cast("bigint").alias("_id"), text_of(text_col).alias("_text"), F.xxhash64(text_of(text_col))), sign,
+                  "_id bigint, _check bigint, n bigint, h1 bigint, h2 bigint, point binary, keys array<bigint>, may_drop int")
     return stored(found.withColumn("_row", F.monotonically_increasing_id()))
 
 
@@ -235,10 +235,11 @@ class JaccardJoin:
         self.rows = signatures(docs, width, num, den, id_col, text_col)
 
     def run(self) -> DataFrame:
-        """``_row, _id, n, component_id`` for each row."""
+        """``_row, _id, _check, n, component_id, keep_check`` for each row; the last two tell the row of a class that stays."""
         num, den = self.num, self.den
         filled = self.rows.filter("n > 0")
-        self.nodes = stored(filled.groupBy("h1", "h2").agg(F.min("_row").alias("node"), F.min("_id").alias("least_id")))
+        known_id = F.when(F.col("_id").isNotNull(), F.struct("_id", "_check"))
+        self.nodes = stored(filled.groupBy("h1", "h2").agg(F.min("_row").alias("node"), F.min(known_id).alias("least")))
         one = filled.join(self.nodes.select(F.col("node").alias("_row")), "_row", "left_semi")
         self.points = stored(one.select(F.col("_row").alias("node"), "_id", "n", "point", "may_drop"))
         leading = one.select(F.col("_row").alias("node"), "may_drop", F.explode("keys").alias("key"))
@@ -317,11 +318,13 @@ class JaccardJoin:
         return stored(arrow(trees, _search_trees(self.num, self.den), "a bigint, b bigint").distinct())
 
     def _classes(self, labels: DataFrame) -> DataFrame:
-        known = self.nodes.join(labels, "node", "left").select("h1", "h2", "least_id", F.coalesce("component", "node").alias("label"))
-        least = stored(known.groupBy("label").agg(F.min("least_id").alias("component_id")))
-        named = stored(known.join(least, "label").select("h1", "h2", "component_id"))
-        linked = self.rows.filter("n > 0").select("_row", "_id", "n", "h1", "h2").join(named, ["h1", "h2"]).select("_row", "_id", "n", "component_id")
-        alone = self.rows.filter("n = 0").select("_row", "_id", "n", F.col("_id").alias("component_id"))
+        known = self.nodes.join(labels, "node", "left").select("h1", "h2", "least", F.coalesce("component", "node").alias("label"))
+        least = stored(known.groupBy("label").agg(F.min("least").alias("one")))
+        named = stored(known.join(least, "label").select("h1", "h2", F.col("one._id").alias("component_id"), F.col("one._check").alias("keep_check")))
+        linked = self.rows.filter("n > 0").select("_row", "_id", "_check", "n", "h1", "h2").join(named, ["h1", "h2"]).select(
+            "_row", "_id", "_check", "n", "component_id", "keep_check")
+        alone = self.rows.filter("n = 0").select(
+            "_row", "_id", "_check", "n", F.col("_id").alias("component_id"), F.col("_check").alias("keep_check"))
         return linked.unionByName(alone)
 
 
@@ -339,7 +342,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class, that of the smallest id; columns unchanged. Documents without words
-    and null ids all stay."""
-    found = jaccard_classes(docs, width, num, den, id_col, text_col)
-    gone = broadcast_if_small(stored(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    and null ids all stay. Rows that share an id but not a text are documents of their own."""
+    found = JaccardJoin(docs, width, num, den, id_col, text_col).run().filter("_id <> component_id or _check <> keep_check")
+    gone = broadcast_if_small(stored(found.select(F.col("_id").alias("_gone"), F.col("_check").alias("_gone_check")).distinct()))
+    same = (F.col(id_col) == F.col("_gone")) & (F.xxhash64(text_of(text_col)) == F.col("_gone_check"))
+    return docs.join(gone, same, "left_anti")

@@ -60,10 +60,11 @@ def _hash_some(raw: list[bytes], lower: bool, hashes: list, starts: list, ends:
     before = np.concatenate([[True], space[:-1]])
     first = np.flatnonzero(~space & before)
     last = np.flatnonzero(space & ~before)
-    n = 1 << max(10, int(len(data) + 1).bit_length())
-    ahead, back = _powers(n)
-    running = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_bytes(lower)[data] * ahead[:len(data)])])
-    hashes.append(mix((running[last] - running[first]) * back[first]))
+    # each byte is mixed with its place in its word before the sum, so the hash is no polynomial in them
+    word = np.maximum(np.cumsum(~space & before) - 1, 0)
+    place = (np.arange(len(data)) - (first[word] if len(first) else 0)).astype(np.uint64)
+    running = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(_bytes(lower)[data] ^ place * np.uint64(_BASE)))])
+    hashes.append(mix(running[last] - running[first]))
     sizes = np.array([len(r) + 1 for r in raw], dtype=np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
     edges = np.searchsorted(first, begins)

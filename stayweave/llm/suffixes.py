@@ -205,27 +205,32 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     Words are compared exactly, white space between them is not. Null, empty and short texts have no passages; a
     repeated input row is one document; an empty table gives none.
     """
+    return _spans(docs, min_words, gram, id_col, text_col).drop("_check")
+
+
+def _spans(docs: DataFrame, min_words: int, gram: int, id_col: str, text_col: str) -> DataFrame:
+    """``repeated_spans`` with ``_check``, a hash of the text they lie in: texts may share an id."""
     own = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_of(text_col).alias("_text"))
     own = own.select("_id", F.xxhash64("_text").alias("_check"), "_text")
     found = matches(own, min_words, gram).select("_id", "_check", "later", "start")
     near = found.repartition("_id", "_check", F.floor(F.col("start") / BLOCK)).sortWithinPartitions("_id", "_check", "later", "start")
     runs = arrow(near, _runs(min_words), "_id bigint, _check bigint, later boolean, start int, stop int")
-    spans = runs.groupBy(F.col("_id").alias("doc_id"), "later").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = runs.groupBy(F.col("_id").alias("doc_id"), "_check", "later").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     @F.pandas_udf("array<struct<start:int,stop:int>>")
     def merged(spans: pd.Series) -> pd.Series:
         return pd.Series([[{"start": a, "stop": b} for a, b in _merge([(s["start"], s["stop"]) for s in row])] for row in spans])
 
-    return spans.select("doc_id", "later", F.explode(merged("spans")).alias("s")).select(
-        "doc_id", F.col("s.start").alias("start_word"), F.col("s.stop").alias("stop_word"), "later")
+    return spans.select("doc_id", "_check", "later", F.explode(merged("spans")).alias("s")).select(
+        "doc_id", "_check", F.col("s.start").alias("start_word"), F.col("s.stop").alias("stop_word"), "later")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
                     size_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with later passages cut out of their texts; columns unchanged, ``size_col`` counted anew for texts that
     changed. A document of which nothing is left goes; all others stay."""
-    later = repeated_spans(docs, min_words, gram, id_col, text_col).filter("later").groupBy("doc_id").agg(
-        F.collect_list(F.struct("start_word", "stop_word")).alias("_spans")).withColumnRenamed("doc_id", "_cut_id")
+    later = _spans(docs, min_words, gram, id_col, text_col).filter("later").groupBy(
+        F.col("doc_id").alias("_cut_id"), F.col("_check").alias("_cut_check")).agg(F.collect_list(F.struct("start_word", "stop_word")).alias("_spans"))
     later = broadcast_if_small(stored(later))
 
     @F.pandas_udf("string")
@@ -241,7 +246,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
             out.append((b"".join(parts) + raw[at:]).decode("utf-8", "surrogatepass"))
         return pd.Series(out)
 
-    marked = docs.join(later, F.col(id_col) == F.col("_cut_id"), "left")
+    own = (F.col(id_col) == F.col("_cut_id")) & (F.xxhash64(text_of(text_col)) == F.col("_cut_check"))
+    marked = docs.join(later, own, "left")
     changed = marked.filter("_spans is not null").withColumn(text_col, cut(text_col, "_spans")).filter(F.trim(text_col) != "")
     if size_col in docs.columns:
         changed = changed.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))

@@ -160,3 +160,12 @@ def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_a_clean_text_with_a_toxic_ones_id_stays(spark):
+    docs = spark.createDataFrame([(1, "bad", "x"), (1, "good", "y"), (None, "bad", "z"), (2, None, "u")], "doc_id long, text string, extra string")
+    scored = docs.select("doc_id", F.when(F.col("text") == "bad", 1).otherwise(0).alias("predicted"),
+                         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    left = toxicity.drop_predicted(docs, scored)
+    assert left.columns == docs.columns and sorted(r.extra for r in left.collect()) == ["u", "y"]
+    assert toxicity.drop_predicted(docs.limit(0), scored.limit(0)).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -260,3 +260,30 @@ def brute_across(texts, least):
 def test_queries_match_sql(spark, name):
     ok, note = compare(spark, duck(SMALL), SMALL, name, queries.QUERIES[name], queries.ORACLES[name])
     assert ok, note
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_classes(docs, 3, 90).collect()} == {1: 1, 2: 2}
+    words = [f"w{k}" for k in range(60)]
+    long = [(k, " ".join([*words[:30], x, *words[30:]])) for k, x in ((1, one), (2, two))]
+    assert suffixes.repeated_spans(spark.createDataFrame(long, "doc_id long, text string")).count() == 0
+
+
+def test_texts_that_share_an_id(spark):
+    rng = random.Random(3)
+    draw = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    base, other, short = draw(200), draw(200), draw(10)
+    near = base.replace(" ", "  ").rsplit(" ", 1)[0] + " changed"
+    docs = spark.createDataFrame([(1, base), (2, near), (2, other), (3, short)], "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in jaccard.keep_one(docs, 3, 90).collect())
+    assert kept == sorted([(1, base), (2, other), (3, short)])
+    twice = spark.createDataFrame([(2, near), (2, base), (5, other)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.keep_one(twice, 3, 90).collect()) == [2, 5]
+    cut = Counter((r.doc_id, r.text.split()[-1] if r.text else "") for r in suffixes.without_repeats(docs).collect())
+    assert cut == Counter([(1, base.split()[-1]), (2, "changed"), (2, other.split()[-1]), (3, short.split()[-1])])
