@@ -234,26 +234,20 @@ def test_minimisers_reach_every_window():
 
 def test_repeat_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    got, _ = covered(queries.QUERIES["op10_suffix_dedup"](spark, SMALL).collect())
-    want, _ = brute_repeats(texts, 50)
-    other = brute_across(texts, 50)
-    assert all(got[i] <= want[i] for i in got)
-    assert all(other[i] <= got.get(i, set()) for i in other)
-
-
-def brute_across(texts, least):
-    """Only passages that two documents share."""
-    places = defaultdict(list)
-    for i, t in texts.items():
-        words = [w for w in re.split(r"[ \t-\r]+", t or "") if w]
-        for p in range(len(words) - least + 1):
-            places[tuple(words[p:p + least])].append((i, p))
-    out = defaultdict(set)
-    for found in places.values():
-        if len({i for i, _ in found}) > 1:
-            for i, p in found:
-                out[i].update(range(p, p + least))
-    return out
+    assert covered(queries.QUERIES["op10_suffix_dedup"](spark, SMALL).collect()) == brute_repeats(texts, 50)
+
+
+@pytest.mark.parametrize("rows", [3, 40])
+def test_repeats_over_many_tasks(spark, monkeypatch, rows):
+    """One passage in most texts, after and before others: it spans tasks, and twins are seldom neighbours."""
+    rng = random.Random(rows)
+    word = lambda: f"r{rng.randint(0, 99999)}"
+    common, heads = [word() for _ in range(9)], [[word() for _ in range(5)] for _ in range(4)]
+    texts = {k: " ".join([*(word() for _ in range(rng.randint(0, 4))), *rng.choice(heads), *common, *rng.choice(heads), word()])
+             for k in range(120)}
+    monkeypatch.setattr(suffixes, "TASK_ROWS", rows)
+    docs = spark.createDataFrame([*texts.items(), *list(texts.items())[:9]], "doc_id long, text string").repartition(3)
+    assert covered(suffixes.repeated_spans(docs, min_words=12, gram=6).collect()) == brute_repeats(texts, 12)
 
 
 @pytest.mark.parametrize("name", ["op2_embedding_neardup", "op3_ngram_jaccard"])
