@@ -10,8 +10,8 @@ so only the suffixes that start at minimisers are kept, one row each, and of the
    ``min_words - a`` from it on hold the same passage. A twin may agree less to the right than the next neighbour
    does, and more to the left, so each length asks all suffixes that stand together. Longer matches have
    a minimiser in each of their passages, and touching passages are merged.
-4. What stands together at a task's first or last row may go on in the next one: one row for each passage there, told by
-   SHA-256, settles which is the earliest of all.
+4. What stands together at a task's first or last row may go on in the next one: one row for each passage there and task,
+   told by SHA-256, settles which is the earliest of all.
 
 Words are told apart by their own bytes; hashes only choose the positions.
 """
@@ -25,7 +25,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +40,7 @@ TASK_ROWS = 100_000
 SLICE = 4096
 BLOCK = 4096
 PLACE = "struct<_id:bigint,start:int,_check:bigint>"
-FOUND = f"_id bigint, _check bigint, start int, stop int, later boolean, part int, cls bigint, digest binary, low {PLACE}, high {PLACE}"
+FOUND = f"_id bigint, _check bigint, start int, stop int, later boolean, digest binary, low {PLACE}, high {PLACE}"
 
 
 def _least(grams: np.ndarray, window: int) -> np.ndarray:
@@ -143,8 +142,8 @@ def _digest(right: bytes, left: bytes, before: int, min_words: int) -> bytes:
 def _passages(min_words: int, width: int):
     """Sorted suffixes of one task: passages that occur again within it, and what must be settled with other tasks."""
     schema = pa.schema([
-        ("_id", pa.int64()), ("_check", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("later", pa.bool_()), ("part", pa.int32()),
-        ("cls", pa.int64()), ("digest", pa.binary()), *((n, pa.struct([("_id", pa.int64()), ("start", pa.int32()), ("_check", pa.int64())]))
+        ("_id", pa.int64()), ("_check", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("later", pa.bool_()),
+        ("digest", pa.binary()), *((n, pa.struct([("_id", pa.int64()), ("start", pa.int32()), ("_check", pa.int64())]))
                                                        for n in ("low", "high"))])
 
     def out(**columns) -> Iterator[pa.RecordBatch]:
@@ -157,13 +156,13 @@ def _passages(min_words: int, width: int):
         if not held:
             return
         rows = pa.Table.from_batches(held).combine_chunks()
-        part, n = TaskContext.get().partitionId(), len(rows)
+        n = len(rows)
         right, left, rank = _codes(rows["right"], min_words), _codes(rows["left"], width), _ranks(rows)
         at, least, most = (rows[k].to_numpy() for k in ("at", "least", "most"))
         agree = np.minimum.accumulate((right[1:] == right[:-1]) & (right[1:] >= 0), axis=1).sum(axis=1)
         del right
         again, later = np.zeros((n, width + 3), dtype=bool), np.zeros((n, width + 3), dtype=bool)
-        before, count = np.zeros(n, dtype=np.int64), 0
+        before = np.zeros(n, dtype=np.int64)
 
         def place(of: np.ndarray, a: int) -> pa.StructArray:
             some = rows.take(pa.array(of)).combine_chunks()
@@ -184,19 +183,12 @@ def _passages(min_words: int, width: int):
             last = np.append(first[1:], len(order)) - 1
             low, high = own[order[first]], own[order[last]]
             edge = (group[low] == 0) | (group[low] == group[-1])
-            inner = ~edge[kind]
-            again[own, a + 1] = inner & (rank[low] != rank[high])[kind]
-            later[own, a + 1] = inner & (rank[low][kind] != rank[own])
-            if edge.any():
-                member = own[~inner]
-                where = place(member, a)
-                yield from out(_id=where.field("_id"), _check=where.field("_check"), start=where.field("start"),
-                               part=pa.array(np.full(len(member), part, dtype=np.int32)), cls=pa.array(count + kind[~inner].astype(np.int64)))
-                one, number = low[edge], count + np.flatnonzero(edge)
+            again[own, a + 1] = (~edge & (rank[low] != rank[high]))[kind]
+            later[own, a + 1] = rank[low][kind] != rank[own]  # whatever other tasks hold
+            if edge.any():  # the earliest one here may be later than one elsewhere, or alone
+                one = low[edge]
                 digests = [_digest(rows["right"][k].as_py(), rows["left"][k].as_py(), a, min_words) for k in one.tolist()]
-                yield from out(part=pa.array(np.full(len(one), part, dtype=np.int32)), cls=pa.array(number.astype(np.int64)),
-                               digest=pa.array(digests, pa.binary()), low=place(one, a), high=place(high[edge], a))
-                count += len(first)
+                yield from out(digest=pa.array(digests, pa.binary()), low=place(one, a), high=place(high[edge], a))
         for flag, found in ((True, later), (False, again & ~later)):
             step = np.diff(found.astype(np.int8), axis=1)
             (row, begin), (_, end) = np.nonzero(step == 1), np.nonzero(step == -1)
@@ -226,15 +218,12 @@ def matches(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     near = stored(arrow(dealt, _passages(min_words, min_words - gram), FOUND))
     released(rows)
-    # at the edges of tasks: the earliest of all, then every place against it
-    ends = near.filter("digest is not null")
+    # at the edges of tasks: the earliest of each task against the earliest of all
+    ends = near.filter("digest is not null").select("digest", "low", "high")
     least = ends.groupBy("digest").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).filter("not (_low <=> _high)")
-    settled = ends.select("digest", "part", "cls").join(least, "digest").select("part", "cls", "_low")
-    members = near.filter("later is null and digest is null").join(settled, ["part", "cls"])
-    late = ~F.struct("_id", "start", "_check").eqNullSafe(F.col("_low"))
+    settled = ends.join(least, "digest").select("low.*", (F.col("low.start") + min_words).alias("stop"), (~F.col("low").eqNullSafe(F.col("_low"))).alias("later"))
     columns = ["_id", "_check", "start", "stop", "later"]
-    open_ = members.withColumn("stop", F.col("start") + min_words).withColumn("later", late)
-    return near.filter("later is not null").select(*columns).unionByName(open_.select(*columns))
+    return near.filter("digest is null").select(*columns).unionByName(settled.select(*columns))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
