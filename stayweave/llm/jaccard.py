@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from stayweave.llm.base import arrow, stored, text_of
 from stayweave.llm.shingles import mix, shingle_sets
 from stayweave.operators.components import connected_components
-from stayweave.session import broadcast_if_small
+from stayweave.session import broadcast_if_small, released
 
 GROUPS = 64
 #: Sets of this many shingles have this many groups instead: many shingles in few groups would all look alike. Points of
@@ -251,6 +251,7 @@ class JaccardJoin:
         stay = met.filter(~frequent).select("key", "node").unionByName(
             met.filter(frequent).join(full, "node", "left_semi").select("key", "node"))
         members = stored(stay)
+        released(often, met)
         leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("many")).filter("many > 1").drop("many")
         star = members.join(leaders, "key").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("times"))
         best = star.groupBy("node").agg(F.max(F.struct(F.col("times"), (-F.col("leader")).alias("minus"))).alias("best")).select(
@@ -260,7 +261,10 @@ class JaccardJoin:
         up = links.select(F.col("a").alias("node"), F.col("b").alias("up"))
         labels = up.join(links.select(F.col("a").alias("up"), F.col("b").alias("top")), "up", "left").select(
             "node", F.coalesce("top", "up").alias("component"))
-        more = self._links(self._searched(members, labels))
+        pairs = self._searched(members, labels)
+        released(members)
+        more = self._links(pairs)
+        released(pairs, self.points)
         return self._classes(self._labels(links.unionByName(more)))
 
     def _labels(self, links: DataFrame) -> DataFrame:
@@ -282,7 +286,9 @@ class JaccardJoin:
         texts = stored(self._named(texts, ends))
         text = lambda end: texts.select(F.col("node").alias(end), F.col("_text").alias("t" + end))
         joined = near.join(text("a"), "a").join(text("b"), "b").filter(_verified(self.num, self.den, self.width)("ta", "tb"))
-        return stored(joined.select("a", "b").distinct())
+        links = stored(joined.select("a", "b").distinct())
+        released(near, ends, texts)
+        return links
 
     def _named(self, texts: DataFrame, ends: DataFrame) -> DataFrame:
         """``node, _text``: rows that share an id are told apart by their set."""
@@ -315,7 +321,9 @@ class JaccardJoin:
             "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "label")
         rows = dealt.join(self.points.select("node", "n", "point"), "node")
         trees = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "own", "node", "label", "n", "point")
-        return stored(arrow(trees, _search_trees(self.num, self.den), "a bigint, b bigint").distinct())
+        pairs = stored(arrow(trees, _search_trees(self.num, self.den), "a bigint, b bigint").distinct())
+        released(marked, open_)
+        return pairs
 
     def _classes(self, labels: DataFrame) -> DataFrame:
         known = self.nodes.join(labels, "node", "left").select("h1", "h2", "least", F.coalesce("component", "node").alias("label"))
