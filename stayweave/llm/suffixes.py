@@ -36,7 +36,7 @@ MIN_WORDS = 50
 #: Words of the n-gram at a minimiser. With windows of ``MIN_WORDS - GRAM + 1`` n-grams every passage has one.
 GRAM = 20
 #: Suffixes of one task of the sort, suffixes of one batch, and words of a text whose passages are merged together.
-TASK_ROWS = 100_000
+TASK_ROWS = 25_000
 SLICE = 4096
 BLOCK = 4096
 PLACE = "struct<_id:bigint,start:int,_check:bigint>"
