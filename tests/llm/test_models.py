@@ -105,7 +105,7 @@ def test_plain_words_stay(restorer):
 @pytest.mark.parametrize(("written", "meant"), [
     ("such an i d i o t, indeed", "idiot"), ("a m.o.r.o.n indeed", "moron"), ("an i d ! o t here", "idiot"), ("so $ t u p 1 d", "stupid"),
     ("i d i o t m o r o n", "moron"), ("i d i o t m o r o n", "idiot"), ("you l  o  s  e  r", "loser"), ("what tr.ash", "trash"),
-    ("i-d-i-o-t", "idiot"), ("it is in", "is")])
+    ("i-d-i-o-t", "idiot"), ("it is in", "is"), ("well-known", "known")])
 def test_spacing_is_read_by_the_lattice(restorer, written, meant):
     assert meant in {w for t in toxicity.tokens_of(written) for w in restorer.words(t)}
 
