@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stayweave import constants as C
 from stayweave.functions import geo
-from stayweave.session import cut_lineage
+from stayweave.session import broadcast_if_small, cut_lineage
 
 ROW_BITS = 33  # bits below the partition number in monotonically_increasing_id
 
@@ -64,45 +64,60 @@ def weighted_visit_edges(weights: DataFrame, weight: str = "freq_wi") -> DataFra
         F.col(weight).cast("int").alias("weight")), "visits", "visited_by")
 
 
-def category_devices(stops: DataFrame) -> DataFrame:
+def list_items(stops: DataFrame, by: str, column: str, places: DataFrame | None = None) -> DataFrame:
+    """``by, item, n``: how often each item is in the lists ``column`` of the stops of each ``by``; NULL items are left out.
+
+    Stops hold their lists, or a ``place`` whose lists are in ``places``, one row each. Either way equal lists are counted
+    first, so a list is read once for each ``by`` that has it and not once a stop.
+    """
+    if places is None:
+        lists = stops.groupBy(by, column).agg(F.count("*").alias("_stops"))
+        met = lists.select(by, "_stops", F.explode(column).alias("item"), F.lit(1).alias("_in_list")).filter("item is not null")
+    else:
+        items = places.select("place", F.explode(column).alias("item")).filter("item is not null").groupBy("place", "item").agg(
+            F.count("*").alias("_in_list"))
+        lists = stops.groupBy(by, "place").agg(F.count("*").alias("_stops"))
+        met = lists.join(broadcast_if_small(cut_lineage(items)), "place")
+    return met.groupBy(by, "item").agg(F.sum(F.col("_stops") * F.col("_in_list")).alias("n"))
+
+
+def category_devices(stops: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Distinct devices seen at each category of the stops' lists."""
-    return stops.select("device_aid", F.explode("primary").alias("primary")).filter("primary is not null").distinct(
-    ).groupBy("primary").agg(F.count("*").alias("devices"))
+    return list_items(stops, "device_aid", "primary", places).groupBy(F.col("item").alias("primary")).agg(F.count("*").alias("devices"))
 
 
-def valid_categories(stops: DataFrame, min_share: float = C.CATEGORY_DEVICE_SHARE) -> DataFrame:
+def valid_categories(stops: DataFrame, min_share: float = C.CATEGORY_DEVICE_SHARE, places: DataFrame | None = None) -> DataFrame:
     """Categories seen by at least the given share of all devices (share times devices, cut to an integer)."""
     total = stops.select(F.countDistinct("device_aid").alias("n")).select(
         F.floor(F.col("n") * F.lit(min_share)).alias("n")).scalar()
-    return category_devices(stops).filter(F.col("devices") >= total)
+    return category_devices(stops, places).filter(F.col("devices") >= total)
 
 
-def top_categories(stops: DataFrame, n: int = C.TOP_CATEGORIES) -> DataFrame:
+def top_categories(stops: DataFrame, n: int = C.TOP_CATEGORIES, places: DataFrame | None = None) -> DataFrame:
     """The ``n`` categories with most devices."""
-    return category_devices(stops).orderBy(F.desc("devices"), "primary").limit(n)
+    return category_devices(stops, places).orderBy(F.desc("devices"), "primary").limit(n)
 
 
-def category_edges(stops: DataFrame, categories: DataFrame) -> DataFrame:
+def category_edges(stops: DataFrame, categories: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Cell - category edges from the stops' lists, valid categories only, distinct, both directions."""
     pairs = (
-        stops.select(F.col("h3_id").cast("string").alias("src"), F.explode("primary").alias("dst")).distinct()
+        list_items(stops, "h3_id", "primary", places).select(F.col("h3_id").cast("string").alias("src"), F.col("item").alias("dst"))
         .join(categories.select(F.col("primary").alias("dst")), "dst", "left_semi")
     )
     return both_ways(pairs.withColumn("weight", F.lit(1)), "has_poi", "located_at")
 
 
-def cell_kind_weights(stops: DataFrame, repeats: int = C.KIND_REPEATS) -> DataFrame:
+def cell_kind_weights(stops: DataFrame, repeats: int = C.KIND_REPEATS, places: DataFrame | None = None) -> DataFrame:
     """Repeats of each kind in each cell: its share of the cell's kinds, in tenths, rounded up."""
-    counts = stops.select("h3_id", F.explode("kind").alias("kind")).filter("kind is not null").groupBy(
-        "h3_id", "kind").agg(F.count("*").alias("count"))
+    counts = list_items(stops, "h3_id", "kind", places).select("h3_id", F.col("item").alias("kind"), F.col("n").alias("count"))
     totals = counts.groupBy("h3_id").agg(F.sum("count").alias("_total"))
     share = F.col("count").cast("double") / F.col("_total") * repeats
     return counts.join(totals, "h3_id").select("h3_id", "kind", "count", F.ceil(share).cast("int").alias("count_n"))
 
 
-def kind_edges(stops: DataFrame) -> DataFrame:
+def kind_edges(stops: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Cell - kind edges with the normalised repeats as weight, both directions."""
-    return both_ways(cell_kind_weights(stops).select(
+    return both_ways(cell_kind_weights(stops, places=places).select(
         F.col("h3_id").cast("string").alias("src"), F.col("kind").alias("dst"), F.col("count_n").alias("weight")),
         "contains", "located_in")
 

@@ -155,13 +155,18 @@ def device_homes(spark, folder) -> DataFrame:
         f"{longitude('(100000 + user_id)')} AS longitude")
 
 
-def linked_stops(spark, folder) -> DataFrame:
-    """City visits with the category and kind lists of all parts at their place; every part is at one place."""
-    visits = demographics.city_visits(stops(spark, folder)).withColumn("place", F.col("loc") % 400)
-    parts = table(spark, folder, "part").groupBy((F.col("p_partkey") % 400).alias("place")).agg(
+def place_lists(spark, folder) -> DataFrame:
+    """The category and kind lists of all parts at each place; every part is at one place."""
+    return table(spark, folder, "part").groupBy((F.col("p_partkey") % 400).alias("place")).agg(
         F.flatten(F.collect_list(F.split("p_name", " "))).alias("primary"),
         F.flatten(F.collect_list(F.array("p_brand", "p_type"))).alias("kind"))
-    return visits.join(parts, "place")
+
+
+def linked_visits(spark, folder) -> DataFrame:
+    """City visits with their place, where that has parts; the lists of a place are in ``place_lists``, once each."""
+    visits = demographics.city_visits(stops(spark, folder)).withColumn("place", F.col("loc") % 400)
+    known = table(spark, folder, "part").select((F.col("p_partkey") % 400).alias("place")).distinct()
+    return visits.join(known, "place", "left_semi")
 
 
 def device_groups(spark, folder) -> DataFrame:

@@ -19,13 +19,13 @@ _VALID = "SELECT * FROM cat WHERE devices >= (SELECT floor(count(DISTINCT device
 @query("category_filter", X.with_parts(
     'SELECT "primary", devices FROM valid', "linked", cat=_CAT, valid=_VALID.format(0.3)))
 def category_filter(spark, folder):
-    return graph.valid_categories(X.linked_stops(spark, folder), 0.3)
+    return graph.valid_categories(X.linked_visits(spark, folder), 0.3, X.place_lists(spark, folder))
 
 
 @query("top_categories", X.with_parts(
     'SELECT "primary", devices FROM cat ORDER BY devices DESC, "primary" LIMIT 20', "linked", cat=_CAT))
 def top_categories(spark, folder):
-    return graph.top_categories(X.linked_stops(spark, folder))
+    return graph.top_categories(X.linked_visits(spark, folder), places=X.place_lists(spark, folder))
 
 
 _NODES = """SELECT node_type, key, row_number() OVER (PARTITION BY node_type ORDER BY key) - 1 AS idx FROM (
@@ -36,17 +36,18 @@ _NODES = """SELECT node_type, key, row_number() OVER (PARTITION BY node_type ORD
 
 
 def _places(spark, folder):
-    """Linked stops, valid categories and the node table of the full graph."""
-    stops = cut_lineage(X.linked_stops(spark, folder).select("device_aid", "h3_id", "primary", "kind"))
-    valid = cut_lineage(graph.valid_categories(stops, 0.01))
+    """Linked stops, the lists of their places, valid categories and the node table of the full graph."""
+    stops = cut_lineage(X.linked_visits(spark, folder).select("device_aid", "h3_id", "place"))
+    lists = X.place_lists(spark, folder)
+    valid = cut_lineage(graph.valid_categories(stops, 0.01, lists))
     nodes = cut_lineage(graph.node_table(stops, valid, X.device_groups(spark, folder)))
-    return stops, valid, nodes
+    return stops, lists, valid, nodes
 
 
 @query("graph_nodes", X.with_parts(
     "SELECT node_type, key, idx FROM nodes", "linked", "groups", cat=_CAT, valid=_VALID.format(0.01), nodes=_NODES))
 def graph_nodes(spark, folder):
-    return _places(spark, folder)[2]
+    return _places(spark, folder)[3]
 
 
 _EDGES = """SELECT 'visits' AS rel, device_aid AS src, CAST(h3_id AS VARCHAR) AS dst, 1 AS weight FROM (SELECT DISTINCT device_aid, h3_id FROM linked)
@@ -55,22 +56,22 @@ _EDGES = """SELECT 'visits' AS rel, device_aid AS src, CAST(h3_id AS VARCHAR) AS
 _HP = """SELECT DISTINCT h3_id, p FROM (SELECT h3_id, unnest(prim) AS p FROM linked) WHERE p IN (SELECT "primary" FROM valid)"""
 
 
-def _edges(stops, valid):
-    return graph.visit_edges(stops).unionByName(graph.category_edges(stops, valid))
+def _edges(stops, lists, valid):
+    return graph.visit_edges(stops).unionByName(graph.category_edges(stops, valid, lists))
 
 
 @query("graph_edges", X.with_parts(
     "SELECT rel, src, dst, weight FROM edges", "linked", cat=_CAT, valid=_VALID.format(0.01), hp=_HP, edges=_EDGES))
 def graph_edges(spark, folder):
-    stops = X.linked_stops(spark, folder)
-    return _edges(stops, graph.valid_categories(stops, 0.01))
+    stops, lists = cut_lineage(X.linked_visits(spark, folder).select("device_aid", "h3_id", "place")), X.place_lists(spark, folder)
+    return _edges(stops, lists, graph.valid_categories(stops, 0.01, lists))
 
 
 @query("hex_kind_weights", X.with_parts(
     """SELECT h3_id, kind, n AS count, CAST(ceil(n::DOUBLE / sum(n) OVER (PARTITION BY h3_id) * 10) AS INT) AS count_n FROM
        (SELECT h3_id, kind, count(*) AS n FROM (SELECT h3_id, unnest(kinds) AS kind FROM linked) GROUP BY ALL)""", "linked"))
 def hex_kind_weights(spark, folder):
-    return graph.cell_kind_weights(X.linked_stops(spark, folder))
+    return graph.cell_kind_weights(X.linked_visits(spark, folder), places=X.place_lists(spark, folder))
 
 
 @query("weighted_edges", X.with_parts(
@@ -96,9 +97,9 @@ def group_edges(spark, folder):
          ON node_type = 'hexagon' AND key = s.h WHERE node_type IN ('individual', 'hexagon')""",
     "linked", "groups", cat=_CAT, valid=_VALID.format(0.01), nodes=_NODES))
 def node_labels(spark, folder):
-    space = X.linked_stops(spark, folder).groupBy("h3_id").agg(
+    space = X.linked_visits(spark, folder).groupBy("h3_id").agg(
         F.max((F.col("weekday") >= 5).cast("int")).alias("group"))
-    return graph.node_labels(_places(spark, folder)[2], X.device_groups(spark, folder), space)
+    return graph.node_labels(_places(spark, folder)[3], X.device_groups(spark, folder), space)
 
 
 _PAIRS = """SELECT "primary", secondary, count(*) AS weight FROM
@@ -225,13 +226,13 @@ def _weighted_parts() -> dict[str, str]:
     "linked", "groups", cat=_CAT, valid=_VALID.format(0.01), hp=_HP, **_weighted_parts()))
 def weighted_walks(spark, folder):
     """Once around each of the five metapaths and a step further, two walks a node."""
-    stops, valid, nodes = _places(spark, folder)
+    stops, lists, valid, nodes = _places(spark, folder)
     groups = X.device_groups(spark, folder)
     visits = graph.weighted_visit_edges(stops.groupBy("device_aid", "h3_id").agg(F.count("*").alias("freq_wi")))
-    kinds = cut_lineage(graph.kind_edges(stops))
+    kinds = cut_lineage(graph.kind_edges(stops, lists))
     kind_nodes = graph.node_table(stops, kinds.filter("rel = 'contains'").select(F.col("dst").alias("primary")).distinct(), groups)
     edges = visits.unionByName(graph.group_edges(groups).withColumn("weight", F.col("weight").cast("int")))
-    by_place = cut_lineage(walks.index_edges(edges.unionByName(graph.category_edges(stops, valid)), nodes))
+    by_place = cut_lineage(walks.index_edges(edges.unionByName(graph.category_edges(stops, valid, lists)), nodes))
     by_kind = cut_lineage(walks.index_edges(edges.unionByName(kinds), kind_nodes))
     out = None
     for name, (start, path) in walks.METAPATHS.items():
@@ -242,9 +243,9 @@ def weighted_walks(spark, folder):
 
 
 def _embedded(spark, folder, epochs=6, dim=64, length=20, per_node=20):
-    stops, valid, nodes = _places(spark, folder)
+    stops, lists, valid, nodes = _places(spark, folder)
     start, path = walks.METAPATHS["places"]
-    walked = walks.random_walks(nodes, walks.index_edges(_edges(stops, valid), nodes), start, path, length, per_node)
+    walked = walks.random_walks(nodes, walks.index_edges(_edges(stops, lists, valid), nodes), start, path, length, per_node)
     ids = nodes.filter("node_type <> 'group'").withColumn("id", walks.node_id(F.col("node_type"), F.col("idx")))
     ids = cut_lineage(ids)
     vectors, losses = embed.skip_gram(ids.select("id"), walks.with_node_ids(walked, start, path), dim=dim, epochs=epochs)

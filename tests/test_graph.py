@@ -168,6 +168,28 @@ def test_category_threshold_is_cut_to_an_integer(spark):
     assert {r["primary"] for r in graph.valid_categories(stops, 0.39).collect()} == {"x", "y"}
 
 
+def test_lists_of_a_place_count_for_every_stop_there(spark):
+    lists = {1: ["x", "y", "x", None], 2: ["y"], 3: []}
+    at = [("a", 7, 1)] * 3 + [("b", 7, 2), ("b", 8, 1), ("c", 8, 3), ("c", 7, 2), ("d", 9, 4)]
+    places = spark.createDataFrame([(p, v, v) for p, v in lists.items()], "place int, primary array<string>, kind array<string>")
+    visits = spark.createDataFrame(at, "device_aid string, h3_id bigint, place int").filter("place < 4")
+    whole = visits.join(places, "place")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(graph.category_devices(visits, places)) == rows(graph.category_devices(whole)) == [("x", 2), ("y", 3)]
+    assert rows(graph.cell_kind_weights(visits, places=places)) == rows(graph.cell_kind_weights(whole)) == [
+        (7, "x", 6, 6), (7, "y", 5, 5), (8, "x", 2, 7), (8, "y", 1, 4)]
+    valid = graph.valid_categories(visits, 0.9, places)
+    assert rows(valid) == rows(graph.valid_categories(whole, 0.9)) and rows(graph.top_categories(visits, 1, places)) == [("y", 3)]
+    assert rows(graph.category_edges(visits, valid, places)) == rows(graph.category_edges(whole, valid))
+
+
+def test_a_long_list_is_not_repeated_at_every_stop(spark):
+    # 10^10 items if every stop brought its list along
+    places = spark.range(1).select(F.col("id").alias("place"), F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: i.cast("string")).alias("primary"))
+    visits = spark.range(100_000).select((F.col("id") % 2).cast("string").alias("device_aid"), (F.col("id") * 0).alias("place"))
+    assert {r["devices"] for r in graph.category_devices(visits, places).select("devices").distinct().collect()} == {2}
+
+
 def test_distance_zero_is_left_out_and_p_value(spark):
     rows = [("z", d, f) for d, f in [(0.0, 9), (1.0, 10), (2.0, 6), (4.0, 4), (8.0, 1)]]
     fit = weights.distance_decay(spark.createDataFrame(rows, "deso_r string, d2home double, freq bigint")).first()
