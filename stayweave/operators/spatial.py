@@ -319,6 +319,8 @@ def overlay_squares(buildings: DataFrame, squares: DataFrame, size: float = 1000
     met = salted_join(pieces, tiles, ["_bx", "_by"]).filter(first & overlap)
     strips = met.withColumn("_strip", F.explode(F.sequence(
         _cell(F.greatest("_w", "x_min"), size), _cell(F.least("_e", "x_max"), size)))).select("id", "Ruta", *box, "_sid", "_strip")
-    parts = strips.join(strip_edges(shapes.select("_sid", "rings"), size), ["_sid", "_strip"]).select(
+    # the edges grow with the shapes, and their compressed file looks small enough to broadcast
+    near = strip_edges(shapes.select("_sid", "rings"), size).hint("merge")
+    parts = strips.join(near, ["_sid", "_strip"]).select(
         "_sid", "id", "Ruta", held_area(F.col("_near"), *map(F.col, box)).alias("area"))
     return parts.groupBy("_sid", "id", "Ruta").agg(F.abs(F.sum("area")).alias("area")).select("id", "Ruta", "area").filter("area > 0")

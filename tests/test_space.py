@@ -308,3 +308,13 @@ def test_quartered_pairs_equal_brute_force(spark, leaf, monkeypatch):
     for i, g in enumerate(union_find(spots, 1.0)):
         want.setdefault(g, set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_edges_of_an_overlay_are_not_broadcast(spark):
+    shapes = spark.range(4).selectExpr("id", "array(struct(id * 10e0 AS x, 0e0 AS y), struct(id * 10e0 + 5 AS x, 0e0 AS y), "
+                                       "struct(id * 10e0 + 5 AS x, 4e0 AS y), struct(id * 10e0 AS x, 4e0 AS y)) AS ring")
+    tiles = spark.createDataFrame([("a", -100.0, -100.0, 900.0, 900.0)], "Ruta string, x_min double, y_min double, x_max double, y_max double")
+    out = spatial.overlay_squares(shapes, tiles)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert any("Merge" in line and "_strip" in line for line in plan.splitlines())
+    assert [(r["id"], r["area"]) for r in out.orderBy("id").collect()] == [(i, 20.0) for i in range(4)]
