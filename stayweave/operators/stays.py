@@ -14,7 +14,7 @@ from stayweave import constants as C
 from stayweave.functions import geo
 from stayweave.functions.time import utc_date
 from stayweave.operators.components import radius_components
-from stayweave.operators.ordered import with_neighbours, with_running_sum
+from stayweave.operators.ordered import sliced, with_neighbours, with_running_sum
 from stayweave.operators.quantiles import exact_medians, exact_quantiles
 from stayweave.session import cut_lineage
 
@@ -56,8 +56,8 @@ def displacement(pings: DataFrame) -> DataFrame:
 
 
 def _with_steps(pings: DataFrame) -> DataFrame:
-    """Add seconds and metres since the previous ping of the device."""
-    moved = with_neighbours(pings, [DEVICE], TS, TIES, prev={"_pt": TS, "_plat": LAT, "_plon": LON})
+    """Add seconds and metres since the previous ping of the device; the rows stay sliced."""
+    moved = with_neighbours(sliced(pings, [DEVICE], TS), [DEVICE], TS, TIES, prev={"_pt": TS, "_plat": LAT, "_plon": LON})
     return moved.withColumns({
         "gap_s": F.col(TS) - F.col("_pt"),
         "step_m": geo.haversine_km("_plon", "_plat", LON, LAT) * 1000,
@@ -276,10 +276,10 @@ def place_medians(labelled: DataFrame) -> DataFrame:
 
 def number_intervals(labelled: DataFrame, max_gap_hours: int = C.MAX_GAP_HOURS) -> DataFrame:
     """Number visits per device from 1; moving pings use up numbers and are dropped afterwards."""
-    moved = with_neighbours(labelled, [DEVICE], TS, TIES, prev={"_ploc": "loc", "_pts": TS})
+    moved = with_neighbours(sliced(labelled, [DEVICE], TS), [DEVICE], TS, TIES, prev={"_ploc": "loc", "_pts": TS})
     same = (F.col("loc") == F.col("_ploc")) & (F.col(TS) - F.col("_pts") < max_gap_hours * 3600)
     change = F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
-    return with_running_sum(moved, [DEVICE], TS, TIES, change, "interval").drop("_ploc", "_pts").filter("loc > 0")
+    return with_running_sum(moved, [DEVICE], TS, TIES, change, "interval").drop("_ploc", "_pts", "_slice").filter("loc > 0")
 
 
 def collapse_stays(intervals: DataFrame) -> DataFrame:

@@ -155,3 +155,13 @@ def test_chunks_of_a_long_stretch_equal_the_plain_walk(spark, rows, chunk):
     # numbers count within a stretch here: the same pings must share a run
     groups = lambda of: {frozenset(k for k, g in of.items() if g == x) for x in set(of.values())}
     assert groups({(r.device_aid, r.timestamp, r.latitude, r.longitude): (r.device_aid, r.stretch, r.run) for r in got}) == groups(want)
+
+
+def test_slices_are_shuffled_once(spark):
+    pings = spark.createDataFrame([("a", 1000 * i, 59.0, 18.0 + i % 3) for i in range(500)], "device_aid string, timestamp bigint, latitude double, longitude double")
+    steps = stays._with_steps(stays.fill_gaps(pings))
+    assert len(steps.collect()) >= 500
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    # the slices of either step have two readers: those ordered in them, and their edges
+    assert final.count("ReusedExchange") >= 2
