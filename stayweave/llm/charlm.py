@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stayweave.llm.base import arrow, stored
 
 ORDER = 4
-#: Table cells (n-grams times classes) a model may have; beyond, it is built with a lower order.
+#: Table cells (n-grams times classes) of a model that is to be ``bounded``; beyond, it is built with a lower order.
 MODEL_CELLS = 20_000_000
 START, GAP = 1, 32
 #: Characters scored at a time.
@@ -177,15 +177,16 @@ class KneserNey:
         return -sums / np.maximum(chars, 1)[:, None], chars
 
 
-def fit(docs: DataFrame, class_col: str, text_col: str, order: int = ORDER) -> KneserNey:
-    """Model of all rows with a text and a class. The table of n-grams comes to the driver; its cells are counted
-    first, and beyond ``MODEL_CELLS`` the order is lowered."""
+def fit(docs: DataFrame, class_col: str, text_col: str, order: int = ORDER, bounded: bool = True) -> KneserNey:
+    """Model of all rows with a text and a class. The table of n-grams comes to the driver; if ``bounded``, its cells are
+    counted first, and beyond ``MODEL_CELLS`` the order is lowered. The operators take the whole model of the one order."""
     counts = gram_counts(docs, class_col, text_col, order)
     classes = [r[0] for r in counts.select("cls").distinct().orderBy("cls").collect()]
-    while order > 1 and counts.select("gram").distinct().count() * max(1, len(classes)) > MODEL_CELLS:
+    while bounded and order > 1 and counts.select("gram").distinct().count() * max(1, len(classes)) > MODEL_CELLS:
         order -= 1
         counts = stored(counts.groupBy("cls", F.col("gram").bitwiseAND((1 << (16 * order)) - 1).alias("gram")).agg(F.sum("n").alias("n")))
-    got = counts.toPandas()
-    number = {c: i for i, c in enumerate(classes)}
-    return KneserNey(classes, got["cls"].map(number).to_numpy(dtype=np.int64), got["gram"].to_numpy(dtype=np.int64).view(np.uint64),
+    # numbers alone, no text a row
+    number = F.array_position(F.array(*map(F.lit, classes)), F.col("cls")) - 1 if classes else F.lit(0)
+    got = counts.select(number.cast("bigint").alias("cls"), "gram", "n").toPandas()
+    return KneserNey(classes, got["cls"].to_numpy(dtype=np.int64), got["gram"].to_numpy(dtype=np.int64).view(np.uint64),
                      got["n"].to_numpy(dtype=np.int64), order)

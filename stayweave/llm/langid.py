@@ -31,9 +31,9 @@ def predict(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_c
     letter gets ``und`` and score 0, as do all where nothing was learned. Equal cross-entropies go to the language that
     comes first in the alphabet. Repeated rows and null ids are predicted like others.
     """
-    model = fit(training, lang_col, text_col, order)
+    model = fit(training, lang_col, text_col, order, bounded=False)
     classes = model.classes
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # cells bounded by MODEL_CELLS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with the distinct n-grams
     schema = docs.select(F.col(id_col), *keep).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
