@@ -222,7 +222,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trained_on, id_col: str =
     """
     spark = docs.sparkSession
     mine = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    model = spark.sparkContext.broadcast(fit(mine.withColumn("_all", F.lit("all")), "_all", "_text"))
+    model = spark.sparkContext.broadcast(fit(mine.withColumn("_all", F.lit("all")), "_all", "_text", bounded=False))
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna().groupBy("_id").agg(
         F.max("_label").alias("_label"))
     marked = docs.withColumn("_trained", F.coalesce(trained_on, F.lit(False))).select(

@@ -68,6 +68,18 @@ def test_order_falls_with_size(spark, monkeypatch):
     assert charlm.fit(rows, "cls", "text").order < charlm.ORDER
 
 
+def test_operators_keep_the_order_at_any_size(odd, monkeypatch):
+    def scored():
+        langs = langid.predict_and_reject(odd, F.lit(True)).select("doc_id", "lang_pred", "score").collect()
+        marks = odd.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+        tox = toxicity.score_toxicity(odd, marks, F.lit(True)).select("doc_id", "score").collect()
+        return sorted(map(repr, langs)), sorted(map(repr, tox))
+
+    before = scored()
+    monkeypatch.setattr(charlm, "MODEL_CELLS", 30)
+    assert scored() == before
+
+
 def test_language_held_out(spark):
     found = queries.QUERIES["op7_language_id"](spark, LARGER).join(
         spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
