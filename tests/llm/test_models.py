@@ -75,9 +75,13 @@ def test_operators_keep_the_order_at_any_size(odd, monkeypatch):
         tox = toxicity.score_toxicity(odd, marks, F.lit(True)).select("doc_id", "score").collect()
         return sorted(map(repr, langs)), sorted(map(repr, tox))
 
+    orders, plain = [], charlm.fit
+    for module in (langid, toxicity):
+        monkeypatch.setattr(module, "fit", lambda *a, **b: orders.append(plain(*a, **b)) or orders[-1])
     before = scored()
     monkeypatch.setattr(charlm, "MODEL_CELLS", 30)
     assert scored() == before
+    assert [m.order for m in orders] == [charlm.ORDER] * 4
 
 
 def test_language_held_out(spark):
