@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stayweave.operators.components import radius_components, square_of, square_offsets
 from stayweave.operators.filters import sample_rows
 from stayweave.operators.graph import dense_ids
-from stayweave.session import cut_lineage
+from stayweave.session import broadcast_or_shuffle, by_shuffle, cut_lineage, released
 
 
 def standardise(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -140,30 +140,34 @@ def dbscan(points: DataFrame, key: str, x: str, y: str, eps: float, min_samples:
         return table.withColumn("_m", F.explode(moves)).withColumns({
             "tx": F.col("sx") + F.col("_m.dx"), "ty": F.col("sy") + F.col("_m.dy")}).drop("_m")
 
+    occupied = broadcast_or_shuffle(squares)
     company = around(squares.select("sx", "sy"), sure, True).join(
-        squares.select(F.col("sx").alias("tx"), F.col("sy").alias("ty"), "n"), ["tx", "ty"]
+        occupied.select(F.col("sx").alias("tx"), F.col("sy").alias("ty"), "n"), ["tx", "ty"]
     ).groupBy("sx", "sy").agg(F.sum("n").alias("near"))
-    placed = cut_lineage(spots.join(company, ["sx", "sy"]))
+    placed = cut_lineage(spots.join(by_shuffle(company), ["sx", "sy"]))
     thin = placed.filter(F.col("near") < min_samples)
-    far = spots.select(F.col("sx").alias("tx"), F.col("sy").alias("ty"), F.col("x").alias("ox"), F.col("y").alias("oy"), "n")
+    held = broadcast_or_shuffle(spots)
+    far = held.select(F.col("sx").alias("tx"), F.col("sy").alias("ty"), F.col("x").alias("ox"), F.col("y").alias("oy"), "n")
     close = F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2) <= eps * eps
     counted = around(thin.select("x", "y", "sx", "sy"), partial, False).join(far, ["tx", "ty"]).filter(close).groupBy(
         "x", "y").agg(F.sum("n").alias("more"))
-    judged = cut_lineage(placed.join(counted, ["x", "y"], "left").withColumn(
+    judged = cut_lineage(placed.join(by_shuffle(counted), ["x", "y"], "left").withColumn(
         "core", F.col("near") + F.coalesce("more", F.lit(0)) >= min_samples).select("x", "y", "sx", "sy", "core"))
+    released(spots, squares, placed)
     core = cut_lineage(radius_components(judged.filter("core").select("x", "y"), [], eps, name="_c").select(
         "x", "y", square_of("x", eps).alias("sx"), square_of("y", eps).alias("sy"), "_c"))
     border = judged.filter("not core").select("x", "y", "sx", "sy")
-    core_squares = core.select(F.col("sx").alias("tx"), F.col("sy").alias("ty"), "_c").distinct()
+    core_squares = broadcast_or_shuffle(cut_lineage(
+        core.select(F.col("sx").alias("tx"), F.col("sy").alias("ty"), "_c").distinct()))
     touched = around(border, sure, True).join(core_squares, ["tx", "ty"]).select("x", "y", "_c")
-    core_points = core.select(F.col("sx").alias("tx"), F.col("sy").alias("ty"), F.col("x").alias("ox"),
-                              F.col("y").alias("oy"), "_c")
+    core_points = broadcast_or_shuffle(core).select(
+        F.col("sx").alias("tx"), F.col("sy").alias("ty"), F.col("x").alias("ox"), F.col("y").alias("oy"), "_c")
     touched = touched.unionByName(
         around(border, partial, False).join(core_points, ["tx", "ty"]).filter(close).select("x", "y", "_c"))
     labelled = core.select("x", "y", "_c").unionByName(touched.groupBy("x", "y").agg(F.min("_c").alias("_c")))
-    numbers = dense_ids(core.select("_c"), "_c", "cluster")
-    named = labelled.join(numbers, "_c").select("x", "y", "cluster")
-    return rows.join(named, ["x", "y"], "left").select(
+    numbers = cut_lineage(dense_ids(core.select("_c"), "_c", "cluster"))
+    named = labelled.join(broadcast_or_shuffle(numbers), "_c").select("x", "y", "cluster")
+    return rows.join(by_shuffle(named), ["x", "y"], "left").select(
         key, "x", "y", F.coalesce(F.col("cluster").cast("int"), F.lit(-1)).alias("cluster"))
 
 

@@ -79,6 +79,15 @@ def released(*frames: DataFrame) -> None:
                 target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """Hint that joins with ``df`` shuffle, whatever size Spark guesses.
+
+    It takes a written table to be as large as its compressed files, and rows repeated by ``explode`` to be one, so it would
+    broadcast tables that are hundreds of times larger in the driver. AQE still splits skewed keys.
+    """
+    return df.hint("merge")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` stays under ``max_rows``.
 
@@ -86,3 +95,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     the plain table is returned, so the join shuffles and AQE may split skewed keys.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def broadcast_or_shuffle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of up to ``max_rows`` rows and a shuffle beyond, so Spark's guess of the size counts in neither case."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else by_shuffle(df)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stayweave import constants as C
+from stayweave import session
 from stayweave.functions import geo
 from stayweave.functions import segregation as S
 from stayweave.operators import census, cluster, components, quantiles, skew, spatial
@@ -318,3 +319,34 @@ def test_edges_of_an_overlay_are_not_broadcast(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert any("Merge" in line and "_strip" in line for line in plan.splitlines())
     assert [(r["id"], r["area"]) for r in out.orderBy("id").collect()] == [(i, 20.0) for i in range(4)]
+
+
+def test_repeated_squares_are_not_broadcast(spark, monkeypatch):
+    plans, plain = [], cluster.cut_lineage
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().splitlines())
+        return plain(df)
+
+    monkeypatch.setattr(cluster, "cut_lineage", kept)
+    monkeypatch.setattr(components, "cut_lineage", kept)
+    df = spark.range(400).selectExpr("id", "id % 20 / 10e0 AS px", "id div 20 / 10e0 AS py")
+    out = cluster.dbscan(df, "id", "px", "py", 0.5)
+    plans.append(out._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert out.select("cluster").distinct().count() == 1
+    assert any("Generate" in line for plan in plans for line in plan)
+    for plan in plans:
+        for at, line in enumerate(plan):
+            depth = line.find("BroadcastExchange")
+            for below in plan[at + 1:] if depth >= 0 else []:
+                if len(below) - len(below.lstrip(" :+-")) <= depth:
+                    break
+                assert "Generate explode" not in below
+
+
+def test_many_rows_are_joined_by_shuffle_whatever_their_file_size(spark):
+    rows = session.cut_lineage(spark.range(5000).selectExpr("id", "repeat('x', 200) AS text"))
+    plan = lambda side: rows.join(side, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(rows.select("id"))
+    assert "SortMergeJoin" in plan(session.broadcast_or_shuffle(rows, 4999)) and "Broadcast" not in plan(session.broadcast_or_shuffle(rows, 4999))
+    assert "BroadcastHashJoin" in plan(session.broadcast_or_shuffle(rows, 5000))
