@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from stayweave.functions import geo
 from stayweave.operators.filters import first_per_key, quantile_trim
-from stayweave.operators.quantiles import exact_median, exact_medians
+from stayweave.operators.quantiles import exact_medians
+from stayweave.session import cut_lineage
 
 
 def with_device_zone(stops: DataFrame, zones: DataFrame, prefix: str, length: int = 4) -> DataFrame:
@@ -45,10 +46,14 @@ def distance_from_home(frequency: DataFrame, homes: DataFrame) -> DataFrame:
 
 
 def zone_cell_visits(visits: DataFrame, device_zones: DataFrame) -> DataFrame:
-    """Median distance and total visits of each (zone, cell)."""
-    zoned = visits.join(device_zones.select("device_aid", "deso_r").distinct(), "device_aid")
-    totals = zoned.groupBy("deso_r", "h3_id").agg(F.sum("freq").alias("freq"))
-    return totals.join(exact_median(zoned, ["deso_r", "h3_id"], "d2home", "d2home"), ["deso_r", "h3_id"])
+    """Median distance and total visits of each (zone, cell).
+
+    The zoned visits are written once: medians read their rows several times, which would derive them anew each time.
+    """
+    zoned = cut_lineage(visits.join(device_zones.select("device_aid", "deso_r").distinct(), "device_aid").select(
+        "deso_r", "h3_id", "freq", "d2home").filter("deso_r is not null and h3_id is not null"))
+    cells = exact_medians(zoned, ["deso_r", "h3_id"], {"d2home": "d2home"}, [F.sum("freq").alias("freq")])
+    return cells.filter("d2home is not null").select("deso_r", "h3_id", "freq", "d2home")
 
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:

@@ -14,7 +14,7 @@ from stayweave import constants as C
 from stayweave import session
 from stayweave.functions import geo
 from stayweave.functions import segregation as S
-from stayweave.operators import census, cluster, components, quantiles, skew, spatial
+from stayweave.operators import census, cluster, components, quantiles, skew, spatial, weights
 
 
 def test_projection_reference_point_and_inverse(spark):
@@ -350,3 +350,22 @@ def test_many_rows_are_joined_by_shuffle_whatever_their_file_size(spark):
     assert "BroadcastHashJoin" in plan(rows.select("id"))
     assert "SortMergeJoin" in plan(session.broadcast_or_shuffle(rows, 4999)) and "Broadcast" not in plan(session.broadcast_or_shuffle(rows, 4999))
     assert "BroadcastHashJoin" in plan(session.broadcast_or_shuffle(rows, 5000))
+
+
+def test_zone_cell_visits_derive_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(d):
+        seen.add(1)
+        return d
+
+    rows = [(f"d{i % 7}", i % 3, 1 + i % 2, float(i * i % 11)) for i in range(60)] + [("d1", 9, 4, None), ("none", 0, 5, 1.0)]
+    visits = spark.createDataFrame(rows, "device_aid string, h3_id int, freq int, d2home double").withColumn("d2home", counted("d2home"))
+    zones = spark.createDataFrame([(f"d{i}", f"z{i % 2}") for i in range(7)] * 2, "device_aid string, deso_r string")
+    got = {(r["deso_r"], r["h3_id"]): (r["freq"], r["d2home"]) for r in weights.zone_cell_visits(visits, zones).collect()}
+    want = {}
+    for device, cell, freq, d in rows[:60]:
+        want.setdefault((f"z{int(device[1:]) % 2}", cell), []).append((freq, d))
+    assert got == {k: (sum(f for f, _ in v), float(np.median([d for _, d in v]))) for k, v in want.items()}
+    assert seen.value <= len(rows)
