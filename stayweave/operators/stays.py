@@ -16,7 +16,7 @@ from stayweave.functions.time import utc_date
 from stayweave.operators.components import radius_components
 from stayweave.operators.ordered import sliced, with_neighbours, with_running_sum
 from stayweave.operators.quantiles import exact_medians, exact_quantiles
-from stayweave.session import cut_lineage
+from stayweave.session import broadcast_or_shuffle, cut_lineage
 
 DEVICE, TS, LAT, LON = "device_aid", "timestamp", "latitude", "longitude"
 PING = [DEVICE, TS, LAT, LON]
@@ -230,18 +230,21 @@ def label_runs(pings: DataFrame, radius_m: float = C.STAY_RADIUS_M, max_gap_hour
     nearest_equator = F.when(F.col("_s") * F.col("_n") <= 0, 0.0).otherwise(F.least(F.abs("_s"), F.abs("_n")))
     high = F.radians(F.col("_n") - F.col("_s"))
     wide = F.radians(F.col("_e") - F.col("_w")) * F.cos(F.radians(nearest_equator))
-    boxes = cut_lineage(boxes.select(DEVICE, "stretch", "_size", (
-        F.sqrt(high * high + wide * wide) * (1000 * geo.EARTH_RADIUS_KM) < radius_m * 0.999).alias("still")))
-    rows = rows.join(boxes, [DEVICE, "stretch"])
+    still = F.sqrt(high * high + wide * wide) * (1000 * geo.EARTH_RADIUS_KM) < radius_m * 0.999
+    # Only stretches that move meet the rows again; the pings of the others stay where they are.
+    moved = cut_lineage(boxes.filter(~still).select(DEVICE, "stretch", "_size"))
+    away = broadcast_or_shuffle(moved)
     schema = f"{DEVICE} string, {TS} bigint, {LAT} double, {LON} double, stretch bigint, run bigint"
-    still = rows.filter("still").select(*PING, "stretch", F.lit(1).cast("bigint").alias("run"))
+    out = rows.join(away.select(DEVICE, "stretch"), [DEVICE, "stretch"], "left_anti").select(
+        *PING, "stretch", F.lit(1).cast("bigint").alias("run"))
+    walked = rows.join(away, [DEVICE, "stretch"])
     moving = (
-        rows.filter(f"not still and _size <= {chunk}").select(*PING, "stretch").repartition(DEVICE, "stretch")
+        walked.filter(F.col("_size") <= chunk).select(*PING, "stretch").repartition(DEVICE, "stretch")
         .sortWithinPartitions(DEVICE, "stretch", TS, *TIES).mapInPandas(_number_runs(radius_m), schema)
     )
-    out = still.unionByName(moving)
-    if boxes.filter(f"not still and _size > {chunk}").limit(1).count():
-        out = out.unionByName(label_long_stretches(rows.filter(f"not still and _size > {chunk}").select(*PING, "stretch"), radius_m, chunk))
+    out = out.unionByName(moving)
+    if moved.filter(F.col("_size") > chunk).limit(1).count():
+        out = out.unionByName(label_long_stretches(walked.filter(F.col("_size") > chunk).select(*PING, "stretch"), radius_m, chunk))
     return out
 
 

@@ -165,3 +165,22 @@ def test_slices_are_shuffled_once(spark):
     final = plan.split("== Initial Plan ==")[0]
     # the slices of either step have two readers: those ordered in them, and their edges
     assert final.count("ReusedExchange") >= 2 and final.count("REPARTITION_BY_COL") >= 2
+
+
+def test_pings_of_still_stretches_are_not_joined_with_their_boxes(spark, monkeypatch):
+    written, plain = [], stays.cut_lineage
+
+    def kept(df):
+        written.append(plain(df))
+        return written[-1]
+
+    monkeypatch.setattr(stays, "cut_lineage", kept)
+    # twenty still stretches, then one that drifts beyond the radius by short steps
+    rows = [("a", 20_000 * k + 300 * i, 59.0 + k * 0.01, 18.0) for k in range(20) for i in range(4)]
+    rows += [("a", 500_000 + 300 * i, 60.0 + 0.0001 * i, 18.0) for i in range(8)]
+    got = stays.label_runs(pings(spark, rows), radius_m=30)
+    assert [df.count() for df in written] == [len(rows), 1]
+    assert got.count() == len(rows)
+    want = plain_runs(rows, 30, 10800)
+    groups = {(r["stretch"], r["run"], want[(r["device_aid"], r["timestamp"], r["latitude"], r["longitude"])]) for r in got.collect()}
+    assert len(groups) == len({g[:2] for g in groups}) == len(set(want.values())) > 21
