@@ -326,12 +326,19 @@ def gap_sweep(pings: DataFrame, hours: range = range(1, 13), radius_m: float = C
     runs = runs.groupBy(DEVICE, "run").agg(
         F.min(TS).alias("start"), F.max(TS).alias("end"), F.count("*").alias("size"),
         F.max(F.when(cut, F.col("gap_s"))).alias("gap_s"), F.max(F.when(cut, long_step)).alias("moved"))
-    runs = runs.withColumn("max_gap", F.explode(F.array(*[F.lit(h) for h in hours])))
+    # A run that no gap joins with its neighbours is a stay by itself under every gap; only the others are ordered again.
+    hard = F.col("gap_s").isNull() | (F.col("gap_s") > max(hours) * 3600) | F.col("moved")
+    runs = with_neighbours(runs.withColumn("_hard", hard), [DEVICE], "start", ["run"], following={"_next": "_hard"})
+    runs = cut_lineage(runs.select(DEVICE, "run", "start", "end", "size", "gap_s", "moved", (
+        F.col("_hard") & F.coalesce("_next", F.lit(True))).alias("_alone")))
+    every = F.explode(F.array(*[F.lit(h) for h in hours])).alias("max_gap")
     apart = F.col("gap_s").isNull() | (F.col("gap_s") > F.col("max_gap") * 3600) | F.col("moved")
     joined = with_running_sum(
-        runs, [DEVICE, "max_gap"], "start", ["run"], F.when(apart, 1).otherwise(0), "stay", slice_seconds=86400)
+        runs.filter("not _alone").select("*", every), [DEVICE, "max_gap"], "start", ["run"], F.when(apart, 1).otherwise(0), "stay",
+        slice_seconds=86400)
     stays = joined.groupBy(DEVICE, "max_gap", "stay").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("size").alias("size"))
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("size").alias("size")).drop(DEVICE, "stay")
+    stays = stays.unionByName(runs.filter("_alone").select(every, "start", "end", "size"))
     return stay_summary(_long_enough(stays))
 
 

@@ -184,3 +184,35 @@ def test_pings_of_still_stretches_are_not_joined_with_their_boxes(spark, monkeyp
     want = plain_runs(rows, 30, 10800)
     groups = {(r["stretch"], r["run"], want[(r["device_aid"], r["timestamp"], r["latitude"], r["longitude"])]) for r in got.collect()}
     assert len(groups) == len({g[:2] for g in groups}) == len(set(want.values())) > 21
+
+
+def test_the_sweep_orders_lone_runs_once(spark, monkeypatch):
+    swept, plain = [], stays.with_running_sum
+
+    def kept(df, keys, *args, **kwargs):
+        swept.append(df.count() if "max_gap" in keys else 0)
+        return plain(df, keys, *args, **kwargs)
+
+    monkeypatch.setattr(stays, "with_running_sum", kept)
+    rnd = random.Random(2)
+    # places far apart; at some of them the device falls silent for half an hour to seven hours
+    rows, ts, silent = [], 0, 0
+    for place in range(40):
+        for part in range(1 + (place % 8 == 0)):
+            ts += rnd.choice([1900, 9000, 12000, 25000]) if part else rnd.choice([600, 90_000])
+            silent += part
+            for _ in range(6):
+                rows.append(("ab"[place // 20], ts, 59 + place * 0.01, 18.0))
+                ts += 300
+    got = {r["max_gap"]: r for r in stays.gap_sweep(pings(spark, rows), hours=range(1, 5)).collect()}
+    for hours in range(1, 5):
+        found, last = [], None
+        for device, t, lat, _ in rows:
+            if last is None or last[0] != device or t - last[1] > hours * 3600 or lat != last[2]:
+                found.append([t, t])
+            found[-1][1], last = t, (device, t, lat)
+        minutes = [(b - a) / 60 for a, b in found if b - a >= 900]
+        r = got[hours]
+        assert (r["dur_min"], r["dur_max"], r["dur_med"]) == (min(minutes), max(minutes), median(minutes))
+    # a run per part of a place, and every run of a place with two parts that a gap of four hours joins
+    assert 0 < sum(swept) <= 4 * 2 * silent
