@@ -29,6 +29,8 @@ ENDS = {
 PRIME, MULTIPLIER = 2147483647, 48271
 SLOTS_PER_SLICE = 100_000
 CHECKPOINT_STEPS = 10
+#: Walks of one task. A node table of a few KB makes millions of walks, so Spark's guess by bytes leaves them in one task.
+TASK_WALKS = 20_000
 
 
 def metapath(kinds: bool = False, groups: bool = False) -> tuple[str, list[str]]:
@@ -102,8 +104,10 @@ def random_walks(nodes: DataFrame, edges: DataFrame, start_type: str, relations:
             F.col("src").alias("_at"), F.col("bucket").alias("_bucket"), "begin", "end", F.col("dst").alias("_to"),
             "_next_total", "_next_width")))
     first = totals.filter(F.col("rel") == relations[0]).select(F.col("src").alias("idx"), "total", "width")
+    starts = nodes.filter(F.col("node_type") == start_type)
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-starts.count() * walks_per_node // TASK_WALKS))
     walks = (
-        nodes.filter(F.col("node_type") == start_type).join(first, "idx", "left")
+        starts.join(first, "idx", "left").repartition(tasks, "idx")
         .select("idx", "total", "width", F.explode(F.sequence(F.lit(0), F.lit(walks_per_node - 1))).alias("_k"))
         .select((F.col("idx") * walks_per_node + F.col("_k")).alias("walk"), F.col("idx").alias("_at"),
                 "total", "width", F.array("idx").alias("path"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stayweave.operators import cluster, community, describe, diagnose, embed, filters, graph, walks, weights
+from stayweave.session import cut_lineage
 
 
 def test_dense_ids_follow_key_order(spark):
@@ -44,6 +45,20 @@ def test_dead_end_ends_the_walk(spark):
     assert lengths == {0: 9, 1: 2}
 
 
+def test_walks_of_a_small_node_table_spread_over_tasks(spark, monkeypatch):
+    stops = spark.createDataFrame([(f"d{i:02d}", c) for i in range(40) for c in range(3)], "device_aid string, h3_id bigint")
+    nodes = cut_lineage(graph.node_table(stops).coalesce(1))
+    edges = cut_lineage(walks.index_edges(graph.visit_edges(stops), nodes).coalesce(1))
+    start, path = walks.metapath()
+    made = {}
+    for bound in (100, walks.TASK_WALKS):
+        monkeypatch.setattr(walks, "TASK_WALKS", bound)
+        rows = walks.random_walks(nodes, edges, start, path, 2, 100).withColumn("task", F.spark_partition_id())
+        assert rows.groupBy("task").count().agg(F.max("count")).first()[0] <= 2000
+        made[bound] = {(r["walk"], *r["path"]) for r in rows.collect()}
+    assert len(made[100]) == 4000 and made[100] == made[walks.TASK_WALKS]
+
+
 def test_weights_lie_side_by_side_across_slices(spark, monkeypatch):
     edges = spark.createDataFrame([("visits", 0, d, 1 + d % 3) for d in range(30)] + [("visits", 1, 2, 0)],
                                   "rel string, src bigint, dst bigint, weight int")
