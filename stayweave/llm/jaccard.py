@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayweave.llm.base import arrow, stored, text_of
@@ -36,6 +36,8 @@ FREQUENT = 128
 #: Points of one tree; larger trees are built in parts and every pair of parts is searched.
 TREE_POINTS = 2000
 LEAF = 16
+#: How many of the trees that a document is in before this one its row there names.
+BEFORE = 8
 
 
 def least_shared(n: int, num: int, den: int) -> int:
@@ -49,13 +51,14 @@ def spare(n: int, num: int, den: int) -> int:
 
 
 def signatures(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _check, _row, n, h1, h2, point, keys, may_drop`` of each row; ``_check`` is a hash of the text."""
+    """``_id, _check, _row, n, h1, h2, point, coarse, keys, may_drop`` of each row; ``_check`` is a hash of the text, ``coarse``
+    the point in ``GROUPS`` groups."""
     schema = pa.schema([("_id", pa.int64()), ("_check", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("point", pa.binary()),
-                        ("keys", pa.list_(pa.int64())), ("may_drop", pa.int32())])
+                        ("coarse", pa.binary()), ("keys", pa.list_(pa.int64())), ("may_drop", pa.int32())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2, points, keys, drops = [], [], [], [], [], []
+            n, h1, h2, points, coarse, keys, drops = [], [], [], [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 size = len(s)
                 n.append(size)
@@ -63,6 +66,7 @@ def signatures(docs: DataFrame, width: int, num: int, den: int, id_col: str, tex
                 h2.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(0xA0761D6478BD642F))).view(np.int64)) if size else 0)
                 groups = LONG if size >= LONG else GROUPS
                 points.append(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).clip(0, 65535).astype("<u2").tobytes())
+                coarse.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
                 first = size - least_shared(size, num, den) + 1 + spare(size, num, den)
                 keys.append(s[:first].view(np.int64) if size else s.view(np.int64))
                 drops.append(spare(least_shared(size, num, den), num, den))
@@ -70,10 +74,10 @@ def signatures(docs: DataFrame, width: int, num: int, den: int, id_col: str, tex
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(points, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(drops, pa.int32())], schema=schema)
+                pa.array(coarse, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(drops, pa.int32())], schema=schema)
 
     found = arrow(docs.select(F.col(id_col).cast("bigint").alias("_id"), text_of(text_col).alias("_text"), F.xxhash64(text_of(text_col))), sign,
-                  "_id bigint, _check bigint, n bigint, h1 bigint, h2 bigint, point binary, keys array<bigint>, may_drop int")
+                  "_id bigint, _check bigint, n bigint, h1 bigint, h2 bigint, point binary, coarse binary, keys array<bigint>, may_drop int")
     return stored(found.withColumn("_row", F.monotonically_increasing_id()))
 
 
@@ -126,8 +130,18 @@ class PointTree:
                 yield rows[i], leaf[j]
 
 
+def _trees_before(lists: pa.ListArray, keys: np.ndarray) -> np.ndarray:
+    """``BEFORE`` keys a row; where there are fewer, the row's own one stands for none."""
+    out = np.repeat(keys[:, None], BEFORE, axis=1)
+    sizes = lists.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(keys)), sizes)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
+    return out
+
+
 def _search_trees(num: int, den: int):
-    """Over rows sorted by tree: pairs of different labels whose bound reaches the threshold."""
+    """Over rows sorted by tree: pairs of different labels whose bound reaches the threshold. Near copies share many trees:
+    a pair is left to an earlier tree where both rows name one. In the first tree that holds both there is none to name."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def near(rows: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +149,15 @@ def _search_trees(num: int, den: int):
         ok = (rows["label"][i] != rows["label"][j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
         return i[ok], j[ok]
 
+    def first(rows: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fresh = np.ones(len(i), dtype=bool)
+        for at in range(0, len(i), 1 << 15):
+            part = slice(at, at + (1 << 15))
+            one, two, key = rows["before"][i[part]], rows["before"][j[part]], rows["key"][i[part], None]
+            for k in range(BEFORE):
+                fresh[part] &= ~((one == two[:, k:k + 1]) & (one != key)).any(axis=1)
+        return i[fresh], j[fresh]
+
     def pairs(rows: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         a, b = rows["node"][i], rows["node"][j]
         return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
@@ -142,7 +165,7 @@ def _search_trees(num: int, den: int):
     def one_leaf(rows: dict, starts: np.ndarray, size: int) -> Iterator[np.ndarray]:
         """All trees of one size that are a leaf each."""
         one, two = np.triu_indices(size, 1)
-        i, j = near(rows, (starts[:, None] + one).ravel(), (starts[:, None] + two).ravel())
+        i, j = first(rows, *near(rows, (starts[:, None] + one).ravel(), (starts[:, None] + two).ravel()))
         if len(i):
             _, fresh = np.unique(pairs(rows, i, j), axis=0, return_index=True)
             i, j = i[fresh], j[fresh]
@@ -159,7 +182,7 @@ def _search_trees(num: int, den: int):
         if len(left) and len(right):
             tree = PointTree(rows["point"][right], rows["n"][right])
             for i, j in tree.search(rows["point"][left], rows["n"][left], num, den):
-                x, y = near(rows, left[i], right[j])
+                x, y = first(rows, *near(rows, left[i], right[j]))
                 keep = (x < y) if p == q else slice(None)
                 yield pairs(rows, x[keep], y[keep])
 
@@ -178,7 +201,9 @@ def _search_trees(num: int, den: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = {n: batch.column(n).to_numpy() for n in ("key", "p", "q", "own", "node", "label", "n")} | {"point": _points(batch.column("point").to_pylist())}
+            new = {n: batch.column(n).to_numpy() for n in ("key", "p", "q", "own", "node", "label", "n")} | {
+                "point": np.stack([np.frombuffer(p, dtype="<u4") for p in batch.column("coarse").to_pylist()]).astype(np.int32),
+                "before": _trees_before(batch.column("before"), batch.column("key").to_numpy())}
             rows = new if held is None else {k: np.concatenate([held[k], v]) for k, v in new.items()}
             change = np.flatnonzero((rows["key"][1:] != rows["key"][:-1]) | (rows["p"][1:] != rows["p"][:-1]) | (rows["q"][1:] != rows["q"][:-1])) + 1
             edges = np.concatenate([[0], change])
@@ -241,7 +266,7 @@ class JaccardJoin:
         known_id = F.when(F.col("_id").isNotNull(), F.struct("_id", "_check"))
         self.nodes = stored(filled.groupBy("h1", "h2").agg(F.min("_row").alias("node"), F.min(known_id).alias("least")))
         one = filled.join(self.nodes.select(F.col("node").alias("_row")), "_row", "left_semi")
-        self.points = stored(one.select(F.col("_row").alias("node"), "_id", "n", "point", "may_drop"))
+        self.points = stored(one.select(F.col("_row").alias("node"), "_id", "n", "point", "coarse", "may_drop"))
         leading = one.select(F.col("_row").alias("node"), "may_drop", F.explode("keys").alias("key"))
         often = stored(leading.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"))
         met = stored(leading.join(often, "key"))
@@ -316,11 +341,12 @@ class JaccardJoin:
         # a large tree is built in parts; a point goes to every pair of parts it is in
         parts = F.ceil(F.col("many") / TREE_POINTS).cast("int")
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        dealt = marked.join(open_, "key").withColumn("parts", parts).withColumn("own", own).withColumn(
+        before = F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(-BEFORE, -1))
+        placed = marked.join(open_, "key").withColumn("before", before).join(self.points.select("node", "n", "coarse"), "node")
+        rows = placed.withColumn("parts", parts).withColumn("own", own).withColumn(
             "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-            "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "label")
-        rows = dealt.join(self.points.select("node", "n", "point"), "node")
-        trees = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "own", "node", "label", "n", "point")
+            "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "label", "n", "coarse", "before")
+        trees = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
         pairs = stored(arrow(trees, _search_trees(self.num, self.den), "a bigint, b bigint").distinct())
         released(marked, open_)
         return pairs

@@ -89,6 +89,27 @@ def test_jaccard_query(spark):
     assert got == brute_jaccard(texts, 3, 90, 100)
 
 
+@pytest.mark.parametrize("tree", [2000, 7])
+def test_near_copies_are_paired_in_one_tree(spark, monkeypatch, tree):
+    # copies that stay just below the threshold share many trees
+    rng, base = random.Random(3), [f"w{k}" for k in range(300)]
+    texts = {i: " ".join(w if rng.random() > 0.02 else f"{w}x{i}" for w in base) for i in range(40)}
+    monkeypatch.setattr(jaccard, "TREE_POINTS", tree)
+    counts, plain = [], jaccard.arrow
+
+    def counted(df, function, schema):
+        out = plain(df, function, schema)
+        if schema.startswith("a bigint"):
+            counts.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "arrow", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(
+        spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 90).collect()}
+    assert got == brute_jaccard(texts, 3, 90, 100)
+    assert counts[0][1] > 50 and counts[0][0] <= 1.5 * counts[0][1]
+
+
 def test_tree_finds_all():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 6, (20, jaccard.GROUPS))
