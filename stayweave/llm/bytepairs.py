@@ -12,7 +12,7 @@ import base64
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +66,16 @@ class ByteEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, special: dict[str, int] | None = None):
         self.by_match = tiktoken.Encoding("matches", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
-        self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.ranks = ranks
         self.special = set(special or ())
         self.cut = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if special else None
         self.names = dict(special or {})
 
+    @cached_property
+    def whole(self) -> tiktoken.Encoding:
+        """Only long white space needs it, and it takes as much memory as the other."""
+        return tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})
+
     def _ordinary(self, text: str, out: list[np.ndarray]) -> None:
         for chunk in safe_chunks(text):
             for part, alone in long_spaces_apart(chunk) if _SPACES.search(chunk) else ((chunk, False),):

@@ -58,6 +58,28 @@ def grams(codes: np.ndarray, order: int = ORDER) -> np.ndarray:
     return out
 
 
+def count_grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of whole texts and how often each occurs. Some texts and a slice of their codes go at a time: the
+    arrays between take some ten times the bytes of the text."""
+    kinds, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    at, size = 0, 0
+    for end in range(1, len(texts) + 1):  # a text longer than a slice goes alone
+        size += len(texts[end - 1])
+        if size < SLICE and end < len(texts):
+            continue
+        codes, _ = coded(texts[at:end], order)
+        at, size = end, 0
+        for begin in range(0, len(codes), SLICE):
+            before = min(begin, order - 1)  # codes that the first n-grams of the slice reach back to
+            part = codes[begin - before:begin + SLICE]
+            more, m = np.unique(grams(part, order)[before:][part[before:] != START], return_counts=True)
+            kinds, row = np.unique(np.concatenate([kinds, more]), return_inverse=True)
+            total = np.zeros(len(kinds), dtype=np.int64)
+            np.add.at(total, row, np.concatenate([n, m]))
+            n = total
+    return kinds, n
+
+
 def gram_counts(docs: DataFrame, class_col: str, text_col: str, order: int = ORDER) -> DataFrame:
     """``cls, gram, n`` over all rows with a text and a class."""
     schema = pa.schema([("cls", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -66,11 +88,9 @@ def gram_counts(docs: DataFrame, class_col: str, text_col: str, order: int = ORD
         for batch in batches:
             classes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in sorted(set(classes)):
-                codes, _ = coded([t for c, t in zip(classes, texts) if c == name], order)
-                kinds, n = np.unique(grams(codes, order)[codes != START], return_counts=True)
+                kinds, n = count_grams([t for c, t in zip(classes, texts) if c == name], order)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([name] * len(kinds), pa.string()), pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))],
-                    schema=schema)
+                    pa.array([name] * len(kinds), pa.string()), pa.array(kinds.view(np.int64)), pa.array(n)], schema=schema)
 
     rows = docs.select(F.col(class_col).cast("string").alias("cls"), F.col(text_col).alias("text")).filter(
         "cls is not null and text is not null")

@@ -319,13 +319,15 @@ class JaccardJoin:
         """``node, _text``: rows that share an id are told apart by their set."""
         width = self.width
 
-        @F.pandas_udf("bigint")
-        def set_hash(text: pd.Series) -> pd.Series:
-            return pd.Series([int(mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
-                              for s in shingle_sets(list(text), width)], dtype="int64")
+        # a function as a column would be computed once more for the join's null check, by a second worker beside the first
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sums = [int(mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
+                        for s in shingle_sets(batch.column(0).to_pylist(), width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], names=["_text", "h1"])
 
         own = ends.join(self.nodes.select("node", "h1"), "node").select("node", "h1")
-        return texts.withColumn("h1", set_hash("_text")).join(own, "h1").select("node", "_text").dropDuplicates(["node"])
+        return arrow(texts.select("_text"), hashed, "_text string, h1 bigint").join(own, "h1").select("node", "_text").dropDuplicates(["node"])
 
     def _searched(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of different classes that the trees of open shingles let through."""

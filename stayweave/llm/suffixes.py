@@ -306,6 +306,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
             out.append((b"".join(parts) + raw[at:]).decode("utf-8", "surrogatepass"))
         return pd.Series(out)
 
+    # as one that may differ it is not computed once more for the filter, by a second worker beside the first
+    cut = cut.asNondeterministic()
     own = (F.col(id_col) == F.col("_cut_id")) & (F.xxhash64(text_of(text_col)) == F.col("_cut_check"))
     marked = docs.join(later, own, "left")
     changed = marked.filter("_spans is not null").withColumn(text_col, cut(text_col, "_spans")).filter(F.trim(text_col) != "")

@@ -53,6 +53,14 @@ def test_safe_chunks_encode_alike(size):
         assert [i for p in parts for i in library().encode_ordinary(p)] == library().encode_ordinary(text)
 
 
+def test_one_vocabulary_until_spaces_are_long():
+    own = bytepairs.ByteEncoder(bytepairs.encoder(RANKS).ranks)
+    own.encode("it's  plain text")
+    assert "whole" not in vars(own)
+    long = "a" + " " * 1000 + "b"
+    assert own.encode(long).tolist() == library().encode_ordinary(long) and "whole" in vars(own)
+
+
 def test_long_spaces_encode_alike(monkeypatch):
     monkeypatch.setattr(bytepairs, "_SPACES", re.compile(bytepairs._SPACES.pattern.replace("256", "2")))
     own = bytepairs.ByteEncoder(bytepairs.encoder(RANKS).by_match._mergeable_ranks)

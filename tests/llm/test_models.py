@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -62,6 +64,30 @@ def test_model_by_brute_force(spark):
         assert got == pytest.approx([math.log(prob(g)) for g in seen + unseen], abs=1e-4)
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 50, 1 << 19])
+def test_grams_by_slices(monkeypatch, size):
+    texts = ["the cat sat on the mat", "", "a cat and a hat, that's all" * 3, "t", "  \x01 ", "日本語 日本", "the cat"]
+    codes, _ = charlm.coded(texts)
+    kinds, n = np.unique(charlm.grams(codes)[codes != charlm.START], return_counts=True)
+    monkeypatch.setattr(charlm, "SLICE", size)
+    got = charlm.count_grams(texts)
+    assert np.array_equal(got[0], kinds) and np.array_equal(got[1], n)
+    assert not len(charlm.count_grams([])[0])
+
+
+def test_counting_grams_takes_little_memory(spark, monkeypatch):
+    counting, plain = [], charlm.arrow
+    monkeypatch.setattr(charlm, "arrow", lambda df, function, schema: counting.append(function) or plain(df, function, schema))
+    charlm.gram_counts(spark.createDataFrame([("x", "a cat")], "cls string, text string"), "cls", "text")
+    texts = [" ".join(str(k * 7919 + j).translate(str.maketrans("0123456789", "abcdefghij")) for j in range(400)) for k in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * len(texts)), pa.array(texts)], names=["cls", "text"])
+    tracemalloc.start()
+    list(counting[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * sum(map(len, texts))
+
+
 def test_order_falls_with_size(spark, monkeypatch):
     rows = spark.createDataFrame([("x", "the cat sat on the mat"), ("y", "le chat est là")], "cls string, text string")
     monkeypatch.setattr(charlm, "MODEL_CELLS", 30)

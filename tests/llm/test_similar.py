@@ -110,6 +110,27 @@ def test_near_copies_are_paired_in_one_tree(spark, monkeypatch, tree):
     assert counts[0][1] > 50 and counts[0][0] <= 1.5 * counts[0][1]
 
 
+def evaluations(df):
+    return len(re.findall(r"EvalPython|InArrow", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_no_step_takes_two_python_workers(spark, monkeypatch):
+    """A worker lives on after its task: two in a task are twice the memory for all that follows."""
+    steps, plain = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df: steps.append(evaluations(df)) or plain(df))
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(300)}" for _ in range(400)]
+    rows = [(k, " ".join(words[:200 + k])) for k in range(4)] + [(9, " ".join(words[300:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect()) == [0, 9]
+    assert max(steps) == 1
+    left = suffixes.without_repeats(docs)
+    assert evaluations(left) == 1
+    kept = {r["doc_id"]: r["text"].split() for r in left.collect()}
+    assert kept[0] == words[:200] and kept[9] == words[300:]
+    assert all(kept[k] == words[199 + k:200 + k] for k in (1, 2, 3))
+
+
 def test_tree_finds_all():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 6, (20, jaccard.GROUPS))
