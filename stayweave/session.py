@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +81,21 @@ def released(*frames: DataFrame) -> None:
                 target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries run inside go as each ends, not when the driver happens to collect its garbage.
+
+    For loops that write their steps: nothing else reads the shuffles of a write.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def by_shuffle(df: DataFrame) -> DataFrame:
     """Hint that joins with ``df`` shuffle, whatever size Spark guesses.
 

@@ -186,6 +186,34 @@ def test_vectors_of_two_lengths(spark):
     assert got == brute_vectors(rows, 0.93) and got[112] == (1, 12, False)
 
 
+@pytest.mark.parametrize("tiles", [1, 2, 5, 6])
+def test_every_two_tiles_meet_once(spark, tiles):
+    points = spark.createDataFrame([("x", tiles, t, t, 1, [1.0]) for t in range(tiles)],
+                                   "_label string, tiles int, tile int, node long, weight long, _v array<float>")
+    met = Counter()
+    for turn in range(tiles + tiles % 2 - 1):
+        rows = neardup._dealt(points, turn).collect()
+        assert len({r.node for r in rows}) == len(rows)
+        met.update({(r.p, r.q) for r in rows if r.q < tiles})
+    assert met == Counter((p, q) for q in range(tiles) for p in range(q))
+
+
+def test_no_step_repeats_the_vectors(spark, monkeypatch):
+    rows, sizes, plain = vectors(7), [], neardup.stored
+
+    def counted(df, *name):
+        out = plain(df, *name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stored", counted)
+    monkeypatch.setattr(neardup, "CELL_ROWS", 6)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_copies(table).collect()}
+    assert got == brute_vectors(rows, 0.93)
+    assert max(sizes) <= len(rows)  # a row for each block and cell of a vector before
+
+
 def test_vector_query(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.QUERIES["op2_embedding_neardup"](spark, SMALL).collect()}
