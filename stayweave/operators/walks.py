@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayweave.operators.ordered import with_running_sum
-from stayweave.session import cut_lineage
+from stayweave.session import broadcast_or_shuffle, by_shuffle, cut_lineage
 
 # Metapaths of the four graph variants, as (start type, relations).
 METAPATHS = {
@@ -39,9 +39,10 @@ def metapath(kinds: bool = False, groups: bool = False) -> tuple[str, list[str]]
 
 
 def index_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Replace the keys of ``(rel, src, dst, weight)`` by node numbers within their type."""
+    """Replace the keys of ``(rel, src, dst, weight)`` by node numbers within their type. ``nodes`` should be cheap to count."""
     ends = F.create_map(*[F.lit(v) for rel, pair in ENDS.items() for v in (rel, F.array(*map(F.lit, pair)))])
     typed = edges.withColumn("_t", ends[F.col("rel")])
+    nodes = broadcast_or_shuffle(nodes)
     source = nodes.select(F.col("node_type").alias("_st"), F.col("key").alias("src"), F.col("idx").alias("_s"))
     target = nodes.select(F.col("node_type").alias("_dt"), F.col("key").alias("dst"), F.col("idx").alias("_d"))
     return (
@@ -69,7 +70,7 @@ def weight_buckets(intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = intervals.groupBy("rel", "src").agg(F.max("end").alias("total"), F.count("*").alias("_n")).select(
         "rel", "src", "total", F.ceil(F.col("total") / F.col("_n")).cast("bigint").alias("width"))
     reach = F.sequence(F.expr("begin div width"), F.expr("(end - 1) div width"))
-    return intervals.join(nodes, ["rel", "src"]).select("rel", "src", "dst", "begin", "end", F.explode(reach).alias("bucket")), nodes
+    return intervals.join(by_shuffle(nodes), ["rel", "src"]).select("rel", "src", "dst", "begin", "end", F.explode(reach).alias("bucket")), nodes
 
 
 def _mix(walk: Column, step: int, node: Column, seed: int) -> Column:
@@ -92,6 +93,7 @@ def random_walks(nodes: DataFrame, edges: DataFrame, start_type: str, relations:
     ``edges`` has numbered ends; the next node is drawn by weight. Each edge knows the total weight and bucket width of its
     target in the next relation, so a step is one equi-join on (node, bucket): the walks at a hub spread over its buckets.
     A node without an edge of the relation ends the walk; ended walks leave the loop whenever it stores its state.
+    Edges are joined by counted rows: their files are far smaller than they are, and Spark would broadcast millions of them for each step.
     """
     intervals = cut_lineage(edge_intervals(edges.filter(F.col("rel").isin(list(relations)))))
     buckets, totals = (cut_lineage(t) for t in weight_buckets(intervals))
@@ -100,14 +102,14 @@ def random_walks(nodes: DataFrame, edges: DataFrame, start_type: str, relations:
         follow = relations[(i + 1) % len(relations)]
         ahead = totals.filter(F.col("rel") == follow).select(
             F.col("src").alias("dst"), F.col("total").alias("_next_total"), F.col("width").alias("_next_width"))
-        hops.append(cut_lineage(buckets.filter(F.col("rel") == rel).join(ahead, "dst", "left").select(
+        hops.append(broadcast_or_shuffle(cut_lineage(buckets.filter(F.col("rel") == rel).join(broadcast_or_shuffle(ahead), "dst", "left").select(
             F.col("src").alias("_at"), F.col("bucket").alias("_bucket"), "begin", "end", F.col("dst").alias("_to"),
-            "_next_total", "_next_width")))
+            "_next_total", "_next_width"))))
     first = totals.filter(F.col("rel") == relations[0]).select(F.col("src").alias("idx"), "total", "width")
     starts = nodes.filter(F.col("node_type") == start_type)
     tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-starts.count() * walks_per_node // TASK_WALKS))
     walks = (
-        starts.join(first, "idx", "left").repartition(tasks, "idx")
+        starts.join(broadcast_or_shuffle(first), "idx", "left").repartition(tasks, "idx")
         .select("idx", "total", "width", F.explode(F.sequence(F.lit(0), F.lit(walks_per_node - 1))).alias("_k"))
         .select((F.col("idx") * walks_per_node + F.col("_k")).alias("walk"), F.col("idx").alias("_at"),
                 "total", "width", F.array("idx").alias("path"))

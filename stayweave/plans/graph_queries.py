@@ -10,7 +10,7 @@ from stayweave.operators import demographics as D
 from stayweave.plans import fixtures as X
 from stayweave.plans.base_queries import diversity, rounded
 from stayweave.plans.registry import query
-from stayweave.session import cut_lineage
+from stayweave.session import cut_lineage, shuffles_removed
 
 _CAT = "SELECT \"primary\", count(DISTINCT device_aid) AS devices FROM (SELECT device_aid, unnest(prim) AS \"primary\" FROM linked) GROUP BY 1"
 _VALID = "SELECT * FROM cat WHERE devices >= (SELECT floor(count(DISTINCT device_aid) * {0}) FROM linked)"
@@ -230,14 +230,15 @@ def weighted_walks(spark, folder):
     groups = X.device_groups(spark, folder)
     visits = graph.weighted_visit_edges(stops.groupBy("device_aid", "h3_id").agg(F.count("*").alias("freq_wi")))
     kinds = cut_lineage(graph.kind_edges(stops, lists))
-    kind_nodes = graph.node_table(stops, kinds.filter("rel = 'contains'").select(F.col("dst").alias("primary")).distinct(), groups)
+    kind_nodes = cut_lineage(graph.node_table(stops, kinds.filter("rel = 'contains'").select(F.col("dst").alias("primary")).distinct(), groups))
     edges = visits.unionByName(graph.group_edges(groups).withColumn("weight", F.col("weight").cast("int")))
     by_place = cut_lineage(walks.index_edges(edges.unionByName(graph.category_edges(stops, valid, lists)), nodes))
     by_kind = cut_lineage(walks.index_edges(edges.unionByName(kinds), kind_nodes))
     out = None
     for name, (start, path) in walks.METAPATHS.items():
         walked = walks.random_walks(nodes, by_kind if "kinds" in name else by_place, start, path, len(path) + 1, 2)
-        walked = walked.select(F.lit(name).alias("metapath"), "walk", F.array_join("path", "-").alias("path"))
+        with shuffles_removed(spark):  # the steps of one metapath at a time
+            walked = cut_lineage(walked.select(F.lit(name).alias("metapath"), "walk", F.array_join("path", "-").alias("path")))
         out = walked if out is None else out.unionByName(walked)
     return out
 

@@ -59,6 +59,16 @@ def test_walks_of_a_small_node_table_spread_over_tasks(spark, monkeypatch):
     assert len(made[100]) == 4000 and made[100] == made[walks.TASK_WALKS]
 
 
+def test_edges_of_small_files_are_not_broadcast(spark):
+    pairs = spark.range(250_000).selectExpr("id div 500 as src", "id % 500 as dst", "1 as weight")
+    edges = cut_lineage(graph.both_ways(pairs, "visits", "visited_by"))
+    nodes = spark.range(1000).selectExpr("if(id < 500, 'individual', 'hexagon') as node_type", "id % 500 as idx")
+    start, path = walks.metapath()
+    rows = walks.random_walks(nodes, edges, start, path, 1, 2)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
+    assert all(len(r["path"]) == 2 for r in rows.collect()) and rows.count() == 1000
+
+
 def test_weights_lie_side_by_side_across_slices(spark, monkeypatch):
     edges = spark.createDataFrame([("visits", 0, d, 1 + d % 3) for d in range(30)] + [("visits", 1, 2, 0)],
                                   "rel string, src bigint, dst bigint, weight int")
